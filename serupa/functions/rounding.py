@@ -13,6 +13,8 @@ from fractions import Fraction
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from serupa.functions.binding import bind
+
 
 def _exact_units(value: Column, units: int, power: int) -> Column:
     """``value * units`` rounded to a whole number (value >= 0 and value * 2**power < 2**63)."""
@@ -33,14 +35,19 @@ def _exact_units(value: Column, units: int, power: int) -> Column:
 
 def round4(value: Column) -> Column:
     """Four decimals, for values in (-2, 2)."""
-    return F.signum(value) * (_exact_units(F.abs(value), 10_000, 62) / F.lit(10_000.0))
+    return bind(value, lambda v: F.signum(v) * (_exact_units(F.abs(v), 10_000, 62) / F.lit(10_000.0)))
 
 
 def percent_text(score: Column) -> Column:
     """``87.3%`` for a score between -1 and 1."""
-    tenths = _exact_units(F.abs(score) * 100.0, 10, 56)
-    sign = F.when(F.signum(score).cast("string").startswith("-"), "-").otherwise("")  # also for -0.0
-    return F.concat(sign, F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("%"))
+
+    def text(v: Column) -> Column:
+        sign = F.when(F.signum(v).cast("string").startswith("-"), "-").otherwise("")  # also for -0.0
+        tenths = _exact_units(F.abs(v) * 100.0, 10, 56)
+        body = bind(tenths, lambda t: F.concat(F.floor(t / 10).cast("string"), F.lit("."), (t % 10).cast("string")))
+        return F.concat(sign, body, F.lit("%"))
+
+    return bind(score, text)
 
 
 def snap(value: Column, digits: int = 10) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from serupa.config import DEFAULTS, Settings
+from serupa.functions.binding import bind
 from serupa.functions.rounding import percent_text, round4
 from serupa.functions.text import SPACE
 
@@ -14,11 +15,19 @@ def word_set(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(text, f"{SPACE}+"), lambda w: w != ""))
 
 
+def set_jaccard(a: Column, b: Column) -> Column:
+    """Shared share of two arrays of distinct words; 0 when both are empty."""
+
+    def share(s: Column) -> Column:
+        shared = F.size(F.array_intersect(s["a"], s["b"]))
+        return bind(shared.cast("double"), lambda n: n / F.nullif(F.size(s["a"]) + F.size(s["b"]) - n, F.lit(0.0)))
+
+    return F.coalesce(bind(F.struct(a.alias("a"), b.alias("b")), share), F.lit(0.0))
+
+
 def jaccard(text_a: Column, text_b: Column) -> Column:
-    """Shared share of two white-space token sets; 0 when both are empty."""
-    a, b = word_set(text_a), word_set(text_b)
-    union = F.size(F.array_union(a, b))
-    return F.coalesce(F.size(F.array_intersect(a, b)) / F.nullif(union.cast("double"), F.lit(0.0)), F.lit(0.0))
+    """Jaccard similarity of two white-space token sets."""
+    return set_jaccard(word_set(text_a), word_set(text_b))
 
 
 def hybrid(semantic: Column, lexical: Column, settings: Settings = DEFAULTS) -> Column:

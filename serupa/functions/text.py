@@ -23,7 +23,7 @@ STOPWORDS = (
 # Unicode white space; Java's \s alone is ASCII.
 SPACE = r"[\s\p{Z}\x1c-\x1f\x85]"
 # k-means, ui/ux and c4.5 become one word; look-behind keeps the word start Unicode-aware on every JVM.
-_COMPOUND = r"(?<![\p{L}\p{N}_])([a-z0-9]+)[-/.](([a-z0-9]+)(?![\p{L}\p{N}_]))?"
+_COMPOUND = r"(?<![\p{L}\p{N}_])([a-z0-9]++)[-/.](([a-z0-9]++)(?![\p{L}\p{N}_]))?"
 MIN_WORD = 3
 
 
@@ -34,9 +34,9 @@ def strip(text: Column) -> Column:
 def title_words(title: Column, dynamic: Iterable[str] = ()) -> Column:
     """Words of a title that carry meaning: lower-case, compounds joined, stopwords and short words dropped."""
     joined = F.regexp_replace(F.lower(title), _COMPOUND, "$1$3")
-    plain = F.regexp_replace(joined, r"[^a-z0-9\s]", " ")
+    plain = F.regexp_replace(joined, "[^a-z0-9]+", " ")
     stop = sorted(set(STOPWORDS).union(dynamic))
-    return F.filter(F.split(plain, r"\s+"), lambda w: (F.length(w) >= MIN_WORD) & ~w.isin(stop))
+    return F.filter(F.split(plain, " "), lambda w: (F.length(w) >= MIN_WORD) & ~w.isin(stop))
 
 
 def words_or_title(words: Column, title: Column) -> Column:

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-EPSILON = 1e-9
-
+from serupa.functions.binding import bind
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it in ``body``; a plain reference inside a lambda would run per element."""
-    return F.transform(F.array(value), body)[0]
+EPSILON = 1e-9
 
 
 def doubles(vector: Column) -> Column:

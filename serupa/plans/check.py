@@ -75,17 +75,20 @@ def similarity_hits(
     found = search(cleaned, index, encoder.dim, floor=floor, settings=settings)
     bounded = lowest[1] * (lowest[2] or 1) <= settings.broadcast_rows
     titles = index.select("id", "document", "document_id", "document_type")
-    if bounded:
-        hits = titles.join(F.broadcast(found), "id")
+    words = scoring.word_set(tx.clean_title(F.col("document"), dynamic))
+    if bounded:  # all hits of a document in one small row, so that each text is cleaned once, inside the scan
+        lists = found.groupBy("id").agg(F.collect_list(F.struct("query_id", "cosine", "semantic_rank")).alias("_hits"))
+        cleaned_hits = titles.join(F.broadcast(lists), "id").withColumn("_hit_words", words).drop("document")
+        hits = cleaned_hits.select(*[c for c in cleaned_hits.columns if c != "_hits"], F.inline("_hits"))
     else:  # one document may be the hit of very many queries, its copies for instance
         found = stage(found, "found")
         uses = found.groupBy("id").agg(F.count("*").alias("_uses"))
-        hits = join_unique(found, stage(titles.join(uses, "id"), "titles"), "id", "_uses")
-    asked = cleaned.select("query_id", "_clean", "threshold")
-    both = hits.join(asked, "query_id")
+        texts = titles.join(uses, "id").withColumn("_hit_words", words).drop("document")
+        hits = join_unique(found, stage(texts, "titles"), "id", "_uses")
+    asked = cleaned.select("query_id", scoring.word_set(F.col("_clean")).alias("_words"), "threshold")
     semantic = round4(F.col("cosine"))
-    lexical = scoring.jaccard(F.col("_clean"), tx.clean_title(F.col("document"), dynamic))
-    scored = both.withColumn("similarity_score", scoring.hybrid(semantic, lexical, settings))
+    lexical = scoring.set_jaccard(F.col("_words"), F.col("_hit_words"))
+    scored = hits.join(asked, "query_id").withColumn("similarity_score", scoring.hybrid(semantic, lexical, settings))
     number, kind = parse_hit_id(F.coalesce("document_id", "id"), F.col("document_type"), settings)
     kept = scored.where(F.col("similarity_score") >= F.col("threshold"))
     return kept.select(
