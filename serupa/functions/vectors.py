@@ -36,10 +36,11 @@ def cosine(a: Column, b: Column) -> Column:
 
 def l2_normalize(vector: Column) -> Column:
     """Unit vector; a (nearly) zero vector is returned unchanged."""
-    return bind(
-        F.struct(doubles(vector).alias("v"), norm(vector).alias("n")),
-        lambda s: F.when(s["n"] > EPSILON, F.transform(s["v"], lambda x: x / s["n"])).otherwise(s["v"]),
-    )
+
+    def divide(v: Column) -> Column:
+        return bind(norm(v), lambda n: F.when(n > EPSILON, F.transform(v, lambda x: x / n)).otherwise(v))
+
+    return bind(doubles(vector), divide)
 
 
 def scale(vector: Column, weight: Column) -> Column:

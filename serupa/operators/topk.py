@@ -59,6 +59,9 @@ def _objects(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def _side(data: pa.Table | pa.RecordBatch, query: bool) -> _Side:
+    # Rows without a vector are skipped here: a filter would be pushed down and compute every vector twice.
+    if data.column("embedding").null_count:
+        data = data.filter(data.column("embedding").is_valid())
     column = data.column("embedding")
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -175,7 +178,7 @@ def _prepare(queries: DataFrame, corpus: DataFrame, k: int | None, settings: Set
     )
     c_type = F.col("document_type") if "document_type" in corpus.columns and "document_type" in have else F.lit(None)
     c = corpus.select("id", "embedding", c_type.cast("string").alias("document_type"))
-    return q.where("embedding is not null"), c.where("embedding is not null")
+    return q, c
 
 
 def _final(found: DataFrame, settings: Settings, limit: int | None) -> DataFrame:
@@ -306,7 +309,7 @@ def topk_cosine_lsh(
     q, c = _prepare(queries, corpus, k, settings)
     rows = c.count()
     if bits is None:
-        bits = max(4, (rows // 4096).bit_length())
+        bits = max(4, (rows // 256).bit_length())
 
     def search(qs: DataFrame, cs: DataFrame) -> DataFrame:
         banded = _signatures(dim, bands, bits, seed)

@@ -88,7 +88,9 @@ def similarity_hits(
     asked = cleaned.select("query_id", scoring.word_set(F.col("_clean")).alias("_words"), "threshold")
     semantic = round4(F.col("cosine"))
     lexical = scoring.set_jaccard(F.col("_words"), F.col("_hit_words"))
-    scored = hits.join(asked, "query_id").withColumn("similarity_score", scoring.hybrid(semantic, lexical, settings))
+    score = F.struct(scoring.hybrid(semantic, lexical, settings).alias("similarity_score"))
+    # As a generated row the score is computed once; a plain column would also move into the join condition.
+    scored = hits.join(asked, "query_id").select("*", F.inline(F.array(score)))
     number, kind = parse_hit_id(F.coalesce("document_id", "id"), F.col("document_type"), settings)
     kept = scored.where(F.col("similarity_score") >= F.col("threshold"))
     return kept.select(

@@ -9,8 +9,9 @@ from pyspark.sql import types as T
 from serupa import schemas
 from serupa.functions.text import strip
 
-_ITEMS = T.ArrayType(schemas.DOC)
-_PAYLOAD = T.StructType([T.StructField("data", _ITEMS), T.StructField("reset_index", T.BooleanType())])
+_PAYLOAD = T.StructType(
+    [T.StructField("data", T.ArrayType(schemas.DOC)), T.StructField("reset_index", T.BooleanType())]
+)
 
 
 def read_export(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
@@ -40,10 +41,9 @@ def to_payloads(docs: DataFrame, group: Column, reset_index: bool = False) -> Da
 def from_payloads(payloads: DataFrame, column: str = "payload") -> DataFrame:
     """Documents and ``reset_index`` of payloads; a bare list is the old form and never resets."""
     text = F.col(column)
-    bare = strip(text).startswith("[")
-    body = F.from_json(F.when(~bare, text), _PAYLOAD)
-    items = F.when(bare, F.from_json(F.when(bare, text), _ITEMS)).otherwise(body["data"])
-    reset = F.coalesce(body["reset_index"], F.lit(False))
+    whole = F.when(text.rlike(r"^\s*\["), F.concat(F.lit('{"data":'), text, F.lit("}"))).otherwise(text)
     others = [c for c in payloads.columns if c != column]
-    rows = payloads.select(*others, reset.alias("reset_index"), F.explode(items).alias("_item"))
-    return rows.select(*others, "reset_index", *[F.col("_item")[n].alias(n) for n in schemas.DOC.names])
+    # One generated row per payload keeps the parsed body from being parsed again per field.
+    bodies = payloads.select(*others, F.inline(F.array(F.from_json(whole, _PAYLOAD))))
+    rows = bodies.select(*others, F.coalesce("reset_index", F.lit(False)).alias("reset_index"), F.inline("data"))
+    return rows.select(*others, "reset_index", *schemas.DOC.names)
