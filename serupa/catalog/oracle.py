@@ -33,10 +33,22 @@ def clean(t: str) -> str:
     return f"coalesce(nullif(array_to_string({words(t)}, ' '), ''), {strip(t)}, '')"
 
 
+def word_set(t: str) -> str:
+    return f"list_filter(list_distinct(regexp_split_to_array({t}, '{WS}+')), lambda w: w <> '')"
+
+
+def set_jaccard(a: str, b: str) -> str:
+    both = f"len(list_intersect({a}, {b}))"
+    return f"coalesce({both} / nullif((len({a}) + len({b}) - {both})::DOUBLE, 0), 0.0)"
+
+
 def jaccard(a: str, b: str) -> str:
-    left, right = (f"list_filter(list_distinct(regexp_split_to_array({x}, '{WS}+')), lambda w: w <> '')" for x in (a, b))
-    both = f"len(list_intersect({left}, {right}))"
-    return f"coalesce({both} / nullif((len({left}) + len({right}) - {both})::DOUBLE, 0), 0.0)"
+    return set_jaccard(word_set(a), word_set(b))
+
+
+def with_words(name: str) -> str:
+    """CTE ``name_w``(k, ws): word sets of the cleaned texts, computed once."""
+    return f"{name}_w AS MATERIALIZED (SELECT k, {word_set('cleaned')} AS ws FROM {name})"
 
 
 def r4(x: str) -> str:
@@ -78,16 +90,19 @@ def hashed(name: str, source: str, text: str, key: str = "k", dim: int = 256) ->
 {length_of(name)}"""
 
 
-def length_of(name: str) -> str:
-    return f"{name}_len AS (SELECT k, sqrt(sum(v * v)) AS l FROM {name} GROUP BY k)"
+def length_of(name: str, dim: int = 256) -> str:
+    """CTEs: vector lengths and the vectors as fixed-size arrays."""
+    return f"""{name}_len AS (SELECT k, sqrt(sum(v * v)) AS l FROM {name} GROUP BY k),
+{name}_all AS (SELECT k, b, sum(v) AS v FROM (
+  SELECT k, b, v FROM {name} UNION ALL SELECT k, unnest(range({dim}))::INTEGER, 0.0::DOUBLE FROM {name}_len) GROUP BY ALL),
+{name}_arr AS (SELECT k, list(v ORDER BY b)::DOUBLE[{dim}] AS e FROM {name}_all GROUP BY k)"""
 
 
 def cosines(q: str, c: str) -> str:
-    """Snapped cosines of all pairs that share a bucket: (qk, ck, cosine)."""
+    """Snapped cosines of all pairs of texts with tokens: (qk, ck, cosine)."""
     return f"""
-  SELECT d.qk, d.ck, {snap("(d.s / (a.l * b.l))")} AS cosine
-  FROM (SELECT x.k AS qk, y.k AS ck, sum(x.v * y.v) AS s FROM {q} x JOIN {c} y ON x.b = y.b GROUP BY ALL) d
-  JOIN {q}_len a ON a.k = d.qk JOIN {c}_len b ON b.k = d.ck"""
+  SELECT x.k AS qk, y.k AS ck, {snap("(array_inner_product(x.e, y.e) / (a.l * b.l))")} AS cosine
+  FROM {q}_arr x JOIN {q}_len a ON a.k = x.k, {c}_arr y JOIN {c}_len b ON b.k = y.k"""
 
 
 def doc_type(n: str) -> str:
@@ -171,19 +186,19 @@ _number, _kind = parsed("id", "document_type")
 CHECK = f"""
 WITH {docs()}, {BENCH},
 qc AS (SELECT query_id AS k, judul, top_k, threshold, document_type, {clean("judul")} AS cleaned FROM bench),
-dc AS (SELECT document_id AS k, document_type, {clean("judul")} AS cleaned FROM docs),
+dc AS MATERIALIZED (SELECT document_id AS k, document_type, {clean("judul")} AS cleaned FROM docs),
+{with_words("qc")}, {with_words("dc")},
 {hashed("qv", "qc", "cleaned")},
 {hashed("dv", "dc", "cleaned")},
 pairs AS ({cosines("qv", "dv")}),
 ranked AS (
   SELECT qc.k AS query_id, dc.k AS id, dc.document_type, cosine, threshold, top_k,
-         qc.cleaned AS q_clean, dc.cleaned AS d_clean,
          row_number() OVER (PARTITION BY qc.k ORDER BY cosine DESC, dc.k) AS semantic_rank
   FROM pairs JOIN qc ON qc.k = qk JOIN dc ON dc.k = ck
   WHERE qc.document_type IS NULL OR qc.document_type = dc.document_type),
 scored AS (
-  SELECT *, {hybrid(r4("cosine"), jaccard("q_clean", "d_clean"))} AS similarity_score
-  FROM ranked WHERE semantic_rank <= top_k),
+  SELECT r.*, {hybrid(r4("cosine"), set_jaccard("a.ws", "b.ws"))} AS similarity_score
+  FROM ranked r JOIN qc_w a ON a.k = query_id JOIN dc_w b ON b.k = id WHERE semantic_rank <= top_k),
 hits AS (
   SELECT query_id, id, {_number} AS document_id, {_kind} AS document_type, similarity_score,
          {persen("similarity_score")} AS similarity_persen, {level("similarity_score")} AS level, semantic_rank
@@ -210,13 +225,13 @@ FROM bench b LEFT JOIN hits h USING (query_id) GROUP BY b.query_id, b.judul
 def self_check(ctes: str, vectors: str, queries: str, texts: str, key: str, threshold: float = 0.5) -> str:
     """Every document against all others, top 5."""
     return f"""
-WITH {ctes},
+WITH {ctes}, {with_words(texts)},
 pairs AS ({cosines(queries, vectors)}),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY qk ORDER BY cosine DESC, ck) AS semantic_rank FROM pairs WHERE qk <> ck),
 scored AS (
-  SELECT r.*, {hybrid(r4("cosine"), jaccard("a.cleaned", "b.cleaned"))} AS similarity_score
-  FROM ranked r JOIN {texts} a ON a.k = qk JOIN {texts} b ON b.k = ck WHERE semantic_rank <= 5)
+  SELECT r.*, {hybrid(r4("cosine"), set_jaccard("a.ws", "b.ws"))} AS similarity_score
+  FROM ranked r JOIN {texts}_w a ON a.k = qk JOIN {texts}_w b ON b.k = ck WHERE semantic_rank <= 5)
 SELECT qk AS {key}, ck AS id, similarity_score, {persen("similarity_score")} AS similarity_persen,
        {level("similarity_score")} AS level, semantic_rank::INTEGER AS semantic_rank
 FROM scored WHERE similarity_score >= {threshold}
@@ -224,7 +239,7 @@ FROM scored WHERE similarity_score >= {threshold}
 
 
 ORACLE["near_duplicates"] = self_check(
-    f"{docs()}, dc AS (SELECT document_id AS k, {clean('judul')} AS cleaned FROM docs), {hashed('dv', 'dc', 'cleaned')}",
+    f"{docs()}, dc AS MATERIALIZED (SELECT document_id AS k, {clean('judul')} AS cleaned FROM docs), {hashed('dv', 'dc', 'cleaned')}",
     "dv", "dv", "dc", "source_id",
 )
 ORACLE["similarity_check_weighted"] = self_check(f"{PAGES}, {weighted_pages()}", "pv", "pj", "pc", "query_id")

@@ -66,7 +66,8 @@ def _side(data: pa.Table | pa.RecordBatch, query: bool) -> _Side:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     rows = len(column)
-    raw = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    raw = flat.reshape(rows, len(flat) // rows if rows else 0)
     norms = np.sqrt(np.square(raw).sum(axis=1, keepdims=True))
     unit = np.divide(raw, norms, out=np.zeros_like(raw), where=norms > 0)
     types = _objects(data.column("document_type"))
@@ -125,6 +126,8 @@ class _Best:
         self.rows = pd.DataFrame({"row": pd.Series(dtype="int64"), "id": [], "cosine": pd.Series(dtype="float64")})
 
     def add(self, corpus: _Side) -> None:
+        if not len(corpus.ids) or not len(self.q.ids):
+            return
         corpus = _in_id_order(corpus)
         found = []
         for i in range(0, len(self.q.ids), _CHUNK):
@@ -215,8 +218,7 @@ def _scan_with_broadcast(q: DataFrame, c: DataFrame, floor: float) -> DataFrame:
     def scan(batches):
         best = _Best(shared.value, floor)
         for batch in batches:
-            if batch.num_rows:
-                best.add(_side(batch, query=False))
+            best.add(_side(batch, query=False))
         yield from best.table(schema).to_batches()
 
     return c.mapInArrow(scan, ddl)
@@ -231,8 +233,7 @@ def _meet(q: DataFrame, c: DataFrame, keys: list[str], tasks: int, floor: float)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         best = _Best(_side(left, query=True), floor)
-        if left.num_rows and right.num_rows:
-            best.add(_side(right, query=False))
+        best.add(_side(right, query=False))
         return best.table(schema)
 
     tasks = min(max(tasks, q.sparkSession.sparkContext.defaultParallelism), _MAX_TASKS)
