@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -78,7 +78,7 @@ class PandasEncoder(Encoder):
     def __init__(self, load: Callable[[], Callable[[list[str]], np.ndarray]], dim: int, name: str, batch: int = 32):
         self.name, self.dim = name, dim
 
-        def encode(batches: Iterable[pd.Series]) -> Iterable[pd.Series]:
+        def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             model = load()
             for texts in batches:
                 parts = [
@@ -89,8 +89,7 @@ class PandasEncoder(Encoder):
                 unit = np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
                 yield pd.Series(list(unit.astype(np.float32)), index=texts.index)
 
-        encode.__annotations__ = {"batches": "Iterator[pd.Series]", "return": "Iterator[pd.Series]"}
-        self._udf = F.pandas_udf(encode, VECTOR, F.PandasUDFType.SCALAR_ITER)
+        self._udf = F.pandas_udf(encode, VECTOR)
 
     def column(self, text: Column) -> Column:
         return self._udf(text)
