@@ -4,7 +4,7 @@ A commit appends its rows as one Parquet folder and then one small commit record
 exist for readers, so a failed load stays invisible. ``replace`` and ``compact`` commits hold a full
 index, partitioned by document type. ``merge`` and ``delete`` commits hold just the changed rows: a
 change costs what the change is large. A read is the last full index without the changed ids, plus
-their latest rows. One writer at a time.
+their latest rows. ``squash`` commits fold the changes so far into one folder. One writer at a time.
 """
 
 from __future__ import annotations
@@ -23,7 +23,9 @@ from serupa.operators.ingest import delete_key, last_per_key, metadata
 
 _FULL = ("replace", "compact")
 _ROWS = T.StructType([*schemas.INDEX.fields, T.StructField("op", T.StringType())])
-_COMMIT = schemas.schema_of("commit BIGINT, kind STRING, source STRING, expected BIGINT, total BIGINT, at TIMESTAMP")
+_COMMIT = schemas.schema_of(
+    "commit BIGINT, kind STRING, source STRING, changed BIGINT, expected BIGINT, total BIGINT, at TIMESTAMP"
+)
 
 
 class InconsistentIndex(RuntimeError):
@@ -111,28 +113,42 @@ class IndexTable:
             *_ROWS.names, F.col("commit").cast("bigint").alias("commit")
         )
 
-    def _state(self) -> tuple[DataFrame | None, DataFrame | None]:
-        """The last full index and the latest row per id changed since."""
-        commits = self.commits()
-        full = [c for c in commits if c.kind in _FULL]
-        later = [c for c in commits if not full or c.commit > full[-1].commit]
-        base = self._read(full[-1:]).drop("op", "commit") if full else None
-        changes = last_per_key(self._read(later), "id", "commit") if later else None
-        return base, changes
+    def _current(self) -> tuple[list, list]:
+        """The commit of the last full index, if any, and the commits with all changes since."""
+        full, later = [], []
+        for c in self.commits():
+            if c.kind in _FULL:
+                full, later = [c], []
+            elif c.kind == "squash":
+                later = [c]
+            else:
+                later.append(c)
+        return full, later
+
+    def pending(self) -> tuple[int, int, int]:
+        """Size of the last full index, rows changed since, and in how many commits."""
+        full, later = self._current()
+        return full[0].total if full else 0, sum(c.changed for c in later), len(later)
+
+    def _changes(self, later: list) -> DataFrame:
+        return last_per_key(self._read(later), "id", "commit")
 
     def read(self) -> DataFrame:
         """The current index."""
-        base, changes = self._state()
-        if changes is None:
-            return base if base is not None else self.spark.createDataFrame([], schemas.INDEX)
+        full, later = self._current()
+        base = self._read(full).select(*schemas.INDEX.names) if full else None
+        if not later:
+            return base if full else self.spark.createDataFrame([], schemas.INDEX)
+        changes = self._changes(later)
         kept = changes.where("op = 'upsert'").select(*schemas.INDEX.names)
-        if base is None:
+        if not full:
             return kept
-        return base.join(self._small(changes.select("id")), "id", "left_anti").unionByName(kept)
+        changed = self._small(self._read(later).select("id"), sum(c.changed for c in later))
+        return base.join(changed, "id", "left_anti").unionByName(kept)
 
-    def _small(self, ids: DataFrame) -> DataFrame:
+    def _small(self, ids: DataFrame, rows: int) -> DataFrame:
         """Broadcast the changed ids while they are few; otherwise the join shuffles."""
-        return F.broadcast(ids) if ids.count() <= self.settings.broadcast_rows else ids
+        return F.broadcast(ids) if rows <= self.settings.broadcast_rows else ids
 
     def count(self) -> int:
         return self.read().count()
@@ -140,51 +156,58 @@ class IndexTable:
     def contains_source(self, source: str) -> bool:
         return any(c.source == source for c in self.commits())
 
-    def _commit(self, rows: DataFrame, kind: str, source: str | None, replace: bool, verify: bool = True) -> int:
+    def _commit(self, rows: DataFrame, kind: str, source: str | None, allow_empty: bool = False) -> int:
         """Write rows, check the index they would give, then record the commit."""
         commits = self.commits()
         number = commits[-1].commit + 1 if commits else 1
         writer = rows.select(*_ROWS.names).write.mode("overwrite")
         (writer.partitionBy("document_type") if kind in _FULL else writer).parquet(self._folder(number))
         written = self.spark.read.schema(_ROWS).parquet(self._folder(number))
-        expected = written.where("op = 'upsert'").count()
-        if kind in _FULL:
-            total = expected
+        saved = F.when(F.col("op") == "upsert", F.col("id"))
+        changed, saves, distinct = written.agg(F.count("*"), F.count(saved), F.countDistinct(saved)).first()
+        if not changed and not allow_empty:
+            raise EmptyInput("nothing to load")
+        if kind == "squash":
+            total = commits[-1].total
+        elif kind in _FULL or not commits:
+            total = saves
         else:
-            total = self.read().join(self._small(written.select("id")), "id", "left_anti").count() + expected
-        distinct = written.where("op = 'upsert'").select("id").distinct().count() if verify else expected
-        if (replace and total != distinct) or total < distinct:
+            total = saves + self.read().join(self._small(written.select("id"), changed), "id", "left_anti").count()
+        if kind != "squash" and (total != distinct if kind in _FULL else total < distinct):
             raise InconsistentIndex(f"expected={distinct}, vector={total}")
-        record = [(number, kind, source, distinct, total, datetime.now(timezone.utc))]
+        record = [(number, kind, source, changed, distinct, total, datetime.now(timezone.utc))]
         self.spark.createDataFrame(record, _COMMIT).coalesce(1).write.mode("append").json(f"{self.path}/commits")
         return total
 
     def replace(self, rows: DataFrame, source: str | None = None) -> int:
         """Reset the index to exactly these rows (the last one of an id, by ``position`` if present)."""
-        return self._commit(self._latest(rows).withColumn("op", F.lit("upsert")), "replace", source, True)
+        return self._commit(self._latest(rows).withColumn("op", F.lit("upsert")), "replace", source)
 
     def upsert(self, rows: DataFrame, source: str | None = None) -> int:
         """Merge rows by id."""
-        return self._commit(self._latest(rows).withColumn("op", F.lit("upsert")), "merge", source, False)
+        return self._commit(self._latest(rows).withColumn("op", F.lit("upsert")), "merge", source)
 
     def delete(self, keys: DataFrame, source: str | None = None) -> int:
         """Delete by key; idempotent."""
         ids = keys.select(delete_key(F.col("key"), self.settings).alias("id")).distinct()
-        return self._commit(_deletes(ids), "delete", source, False)
+        return self._commit(_deletes(ids), "delete", source, allow_empty=True)
 
     def change(self, upserts: DataFrame, deleted_ids: DataFrame, source: str | None = None) -> int:
         """One commit with upserts and deletes of different ids."""
         rows = upserts.withColumn("op", F.lit("upsert")).unionByName(_deletes(deleted_ids))
-        return self._commit(rows, "merge", source, False)
+        return self._commit(rows, "merge", source, allow_empty=True)
 
-    def compact(self) -> int:
+    def squash(self, source: str | None = None) -> int:
+        """Fold all change commits since the last full index into one."""
+        _, later = self._current()
+        return self._commit(self._changes(later), "squash", source, allow_empty=True)
+
+    def compact(self, source: str | None = None) -> int:
         """Fold all changes into a new full index."""
-        return self._commit(self.read().withColumn("op", F.lit("upsert")), "compact", None, True)
+        return self._commit(self.read().withColumn("op", F.lit("upsert")), "compact", source, allow_empty=True)
 
     @staticmethod
     def _latest(rows: DataFrame) -> DataFrame:
-        if rows.isEmpty():
-            raise EmptyInput("nothing to load")
         return last_per_key(rows, "id", "position") if "position" in rows.columns else rows.dropDuplicates(["id"])
 
 

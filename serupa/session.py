@@ -68,10 +68,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a small input enough partitions for the cores at hand; a large one is left alone."""
+def spread(df: DataFrame, small_bytes: int = 1 << 30) -> DataFrame:
+    """Give a small input a partition per core; anything larger keeps the partitions of its files."""
     wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(wanted) if size <= small_bytes and df.rdd.getNumPartitions() < wanted else df
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -22,14 +22,19 @@ class SyncStream:
     """Applies batches of changes: ``op`` (upsert or delete), ``event_time`` and document columns.
 
     Within a batch the newest event per document wins. A change older than one that was applied before
-    is ignored, deletes included, so late data cannot undo newer data. The seen times are kept beside
-    the index, one row per changed document and batch.
+    is ignored, deletes included, so late data cannot undo newer data. The applied times are kept
+    beside the index, one small table per batch, folded together with the index.
+
+    After ``squash_every`` batches the changes are folded into one commit. Once they exceed a tenth of
+    the index, a new full index is written, so that its cost is spread over that many changes.
     """
 
+    SOURCE, FOLDED = "stream/", "times/"
+
     def __init__(self, index: IndexTable, encoder: Encoder, ledger: JobLedger | None = None,
-                 settings: Settings = DEFAULTS, compact_every: int = 50) -> None:
+                 settings: Settings = DEFAULTS, squash_every: int = 50, compact_share: float = 0.1) -> None:
         self.index, self.encoder, self.ledger = index, encoder, ledger
-        self.settings, self.compact_every = settings, compact_every
+        self.settings, self.squash_every, self.compact_share = settings, squash_every, compact_share
         self.words: list[str] = []
         self.refresh_stopwords()
 
@@ -40,26 +45,41 @@ class SyncStream:
             raise RuntimeError("more dynamic stopwords than titles of this length can have")
         self.words = words
 
-    @property
-    def _times(self) -> str:
-        return f"{self.index.path}/times"
-
-    def _newer(self, changes: DataFrame) -> DataFrame:
+    def _seen(self) -> DataFrame | None:
+        """``id, event_time`` of all changes applied so far."""
+        paths: list[str] = []
+        for c in self.index.commits():
+            source = c.source or ""
+            if source.startswith(self.FOLDED):
+                paths = [f"{self.index.path}/{source}"]
+            elif source.startswith(self.SOURCE):
+                paths.append(f"{self.index.path}/times/{source}")
+        return self.index.spark.read.parquet(*paths) if paths else None
+
+    def _newer(self, changes: DataFrame, rows: int) -> DataFrame:
         """Drop changes that are not newer than the last one applied to their id."""
-        spark = changes.sparkSession
-        done = [c.source for c in self.index.commits() if c.source]
-        if not done:
+        seen = self._seen()
+        if seen is None:
             return changes
-        seen = spark.read.parquet(self._times).where(F.col("source").isin(done))
-        seen = seen.groupBy("id").agg(F.max("event_time").alias("_seen"))
-        if changes.count() <= self.settings.broadcast_rows:  # few changes: reduce the history to them, unshuffled
+        if rows <= self.settings.broadcast_rows:  # few changes: cut the history down to them without a shuffle
             seen = seen.join(F.broadcast(changes.select("id")), "id", "left_semi")
-        joined = changes.join(seen, "id", "left")
+        last = seen.groupBy("id").agg(F.max("event_time").alias("_seen"))
+        joined = changes.join(last, "id", "left")
         return joined.where(F.col("_seen").isNull() | (F.col("event_time") > F.col("_seen"))).drop("_seen")
 
+    def _fold(self) -> None:
+        size, changed, commits = self.index.pending()
+        large = changed > self.compact_share * size
+        if commits < self.squash_every and not (large and size):
+            return
+        folded = f"{self.FOLDED}folded/{self.index.commits()[-1].commit + 1}"
+        last = self._seen().groupBy("id").agg(F.max("event_time").alias("event_time"))
+        last.write.mode("overwrite").parquet(f"{self.index.path}/{folded}")
+        (self.index.compact if large else self.index.squash)(folded)
+
     def apply(self, batch: DataFrame, batch_id: int, name: str = "sync") -> None:
         """One micro-batch; applying the same batch again does nothing."""
-        source = f"{name}/{batch_id}"
+        source = f"{self.SOURCE}{name}/{batch_id}"
         if self.index.contains_source(source) or batch.isEmpty():
             return
         feed = stage(batch, "feed")
@@ -68,7 +88,7 @@ class SyncStream:
             self.ledger.create(source, received)
             self.ledger.mark_processing(source)
         try:
-            self._apply(feed, source)
+            self._apply(feed, received, source)
         except Exception as error:
             if self.ledger:
                 self.ledger.mark_failed(source, str(error))
@@ -76,19 +96,17 @@ class SyncStream:
         if self.ledger:
             self.ledger.mark_completed(source)
 
-    def _apply(self, feed: DataFrame, source: str) -> None:
+    def _apply(self, feed: DataFrame, received: int, source: str) -> None:
         saves, _ = ingest(feed.where("op <> 'delete'"), self.settings)
         saves = saves.withColumn("id", F.col("document_id"))
         drops = feed.where("op = 'delete'").withColumn("id", delete_key(F.col("document_id"), self.settings))
         both = saves.unionByName(drops, allowMissingColumns=True)
-        latest = self._newer(last_per_key(both, "id", "event_time"))
-        latest = stage(latest, "changes")
+        latest = stage(self._newer(last_per_key(both, "id", "event_time"), received), "changes")
         saved = latest.where("op <> 'delete'")
         rows = index_rows(saved.drop("id"), self.encoder, self.words, self.settings).select(*schemas.INDEX.names)
-        latest.select("id", "event_time", F.lit(source).alias("source")).write.mode("append").parquet(self._times)
+        latest.select("id", "event_time").write.mode("overwrite").parquet(f"{self.index.path}/times/{source}")
         self.index.change(rows, latest.where("op = 'delete'").select("id"), source)
-        if len(self.index.commits()) % self.compact_every == 0:
-            self.index.compact()
+        self._fold()
         if not saved.isEmpty():  # deletes alone keep the stopwords
             self.refresh_stopwords()
 

@@ -141,10 +141,11 @@ def changes(spark, *items):
     ).withColumn("event_time", F.timestamp_seconds("t")).drop("t")
 
 
-def test_sync_batches(spark):
+@pytest.mark.parametrize(("share", "folding"), [(0.1, "compact"), (99.0, "squash")])
+def test_sync_batches(spark, share, folding):
     table = IndexTable(spark, scratch_path(spark, "index"))
     ledger = JobLedger(spark, scratch_path(spark, "ledger"))
-    sync = SyncStream(table, ENC, ledger, compact_every=2)
+    sync = SyncStream(table, ENC, ledger, squash_every=2, compact_share=share)
     first = changes(spark, ("upsert", 1, "judul satu", 10), ("upsert", 1, "judul baru", 20), ("upsert", 2, "judul dua", 10),
                     ("delete", 3, "-----", 50), ("upsert", 4, "x", 5))
     sync.apply(first, 0)
@@ -157,8 +158,15 @@ def test_sync_batches(spark):
     sync.apply(late, 1)
     assert {(r.id, r.document) for r in table.read().collect()} == {("skripsi_1", "judul baru")}
     assert sync.words == ["baru", "dua", "judul"]  # deletes alone do not refresh them
-    assert {r.job_id: r.status for r in ledger.states().collect()} == {"sync/0": "completed", "sync/1": "completed"}
-    assert "compact" in [c.kind for c in table.commits()]
+    later = changes(spark, ("upsert", 1, "zaman kuno", 19), ("upsert", 2, "judul kembali", 31), ("delete", 1, "-----", 21))
+    sync.apply(later, 2)
+    assert {(r.id, r.document) for r in table.read().collect()} == {("skripsi_2", "judul kembali")}
+    sync.apply(changes(spark, ("upsert", 3, "terlambat lagi", 45), ("upsert", 1, "judul akhir", 22)), 3)
+    assert {r.id for r in table.read().collect()} == {"skripsi_1", "skripsi_2"} and table.commits()[-1].total == 2
+    assert {r.job_id: r.status for r in ledger.states().collect()} == {
+        f"stream/sync/{n}": "completed" for n in range(4)
+    }
+    assert folding in [c.kind for c in table.commits()]
 
 
 def test_sync_stream_restarts(spark):
