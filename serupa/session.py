@@ -71,7 +71,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 def spread(df: DataFrame, small_bytes: int = 1 << 30) -> DataFrame:
     """Give a small input a partition per core; anything larger keeps the partitions of its files."""
     wanted = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(wanted) if size <= small_bytes and df.rdd.getNumPartitions() < wanted else df
 
 
