@@ -207,7 +207,8 @@ def topk_cosine(
     q, c = _prepare(queries, corpus, k, settings)
     if q.count() * dim * 8 <= settings.broadcast_bytes:
         return _final(_scan_with_broadcast(q, c, floor), settings, k)
-    return _without_copies(q, c, lambda qs, cs: _tiled(qs, cs, floor, settings), settings, k)
+    rows = c.count()  # before copies are dropped: an upper bound is enough to size tiles
+    return _without_copies(q, c, lambda qs, cs: _tiled(qs, cs, rows, floor, settings), settings, k)
 
 
 def _scan_with_broadcast(q: DataFrame, c: DataFrame, floor: float) -> DataFrame:
@@ -267,9 +268,9 @@ def _without_copies(q: DataFrame, c: DataFrame, search, settings: Settings, limi
     return _final(others, settings, limit)
 
 
-def _tiled(q: DataFrame, c: DataFrame, floor: float, settings: Settings) -> DataFrame:
+def _tiled(q: DataFrame, c: DataFrame, rows: int, floor: float, settings: Settings) -> DataFrame:
     q_tiles = max(1, -(-q.count() // settings.tile_rows))
-    c_tiles = max(1, -(-c.count() // settings.tile_rows))
+    c_tiles = max(1, -(-rows // settings.tile_rows))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     q_side = q.withColumn("q_tile", _tile("query_id", F.lit(q_tiles))).withColumn("c_tile", every(c_tiles))
     c_side = c.withColumn("c_tile", _tile("id", F.lit(c_tiles))).withColumn("q_tile", every(q_tiles))
@@ -280,14 +281,13 @@ def _signatures(dim: int, bands: int, bits: int, seed: int):
     """Random-hyperplane codes, one per band; planes follow from the seed, so every task agrees."""
 
     def codes(vectors: pa.Array) -> pa.Array:
-        rows = len(vectors)
-        raw = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, dim)
+        present = vectors.is_valid().to_numpy(zero_copy_only=False)
+        raw = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(int(present.sum()), dim)
         planes = np.random.default_rng(seed).standard_normal((dim, bands * bits))
-        sides = (raw @ planes >= 0).reshape(rows, bands, bits)
+        sides = (raw @ planes >= 0).reshape(len(raw), bands, bits)
         value = (sides << np.arange(bits)).sum(axis=2).astype(np.int64)
-        return pa.ListArray.from_arrays(
-            pa.array(np.arange(rows + 1, dtype=np.int32) * np.int32(bands)), pa.array(value.ravel())
-        )
+        offsets = np.concatenate([[0], np.cumsum(present * bands)]).astype(np.int32)  # no codes without a vector
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(value.ravel()))
 
     return F.arrow_udf(codes, T.ArrayType(T.LongType(), containsNull=False))
 
@@ -297,7 +297,7 @@ def topk_cosine_lsh(
     corpus: DataFrame,
     dim: int,
     k: int | None = None,
-    bands: int = 24,
+    bands: int = 16,
     bits: int | None = None,
     seed: int = 7,
     floor: float = NO_FLOOR,
@@ -310,13 +310,13 @@ def topk_cosine_lsh(
     q, c = _prepare(queries, corpus, k, settings)
     rows = c.count()
     if bits is None:
-        bits = max(4, (rows // 256).bit_length())
+        bits = max(3, (rows // 512).bit_length())
 
     def search(qs: DataFrame, cs: DataFrame) -> DataFrame:
         banded = _signatures(dim, bands, bits, seed)
-        qs = qs.select("*", F.posexplode(banded("embedding")).alias("band", "code"))
-        cs = cs.select("*", F.posexplode(banded("embedding")).alias("band", "code"))
-        tiles = _bucket_tiles(qs, cs, settings)
+        codes = [stage(side.withColumn("codes", banded("embedding")), "codes") for side in (qs, cs)]
+        qs, cs = (side.select("*", F.posexplode("codes").alias("band", "code")).drop("codes") for side in codes)
+        tiles = _bucket_tiles(qs, cs, settings)  # reads the codes only
         qs = _join_tiles(qs, tiles, settings).withColumn("q_tile", _tile("query_id", F.col("q_tiles")))
         qs = qs.withColumn("c_tile", F.explode(F.sequence(F.lit(0), F.col("c_tiles") - 1)))
         cs = _join_tiles(cs, tiles, settings).withColumn("c_tile", _tile("id", F.col("c_tiles")))

@@ -84,6 +84,7 @@ def test_rows_without_vector_are_skipped(spark):
     for settings in (Settings(), Settings(broadcast_bytes=0)):
         got = topk_cosine(queries, corpus, 2, k=3, settings=settings).collect()
         assert [(r.query_id, r.id, r.cosine, r.semantic_rank) for r in got] == [("q", "b", 1.0, 1)]
+    assert [r.id for r in topk_cosine_lsh(queries, corpus, 2, k=3).collect()] == ["b"]
 
 
 def test_empty_sides(spark):
