@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -17,6 +18,8 @@ from serupa.operators.ingest import delete_key, ingest, last_per_key
 from serupa.operators.ledger import JobLedger
 from serupa.session import stage
 
+log = logging.getLogger(__name__)
+
 
 class SyncStream:
     """Applies batches of changes: ``op`` (upsert or delete), ``event_time`` and document columns.
@@ -39,11 +42,15 @@ class SyncStream:
         self.refresh_stopwords()
 
     def refresh_stopwords(self) -> None:
-        current = corpus.dynamic_stopwords(corpus.titles(self.index.read()), settings=self.settings)
-        words = corpus.inline_words(current, self.settings)
-        if words is None:  # cannot happen with validated titles: at most title length / 4 / stopword_df words
-            raise RuntimeError("more dynamic stopwords than titles of this length can have")
-        self.words = words
+        """Recompute the dynamic stopwords; a failure keeps the old ones and never fails a load."""
+        try:
+            current = corpus.dynamic_stopwords(corpus.titles(self.index.read()), settings=self.settings)
+            words = corpus.inline_words(current, self.settings)
+            if words is None:  # cannot happen with validated titles: at most title length / 4 / stopword_df words
+                raise RuntimeError("more dynamic stopwords than titles of this length can have")
+            self.words = words
+        except Exception:
+            log.exception("dynamic stopwords not refreshed")
 
     def _seen(self) -> DataFrame | None:
         """``id, event_time`` of all changes applied so far."""

@@ -169,6 +169,19 @@ def test_sync_batches(spark, share, folding):
     assert folding in [c.kind for c in table.commits()]
 
 
+def test_failed_refresh_keeps_stopwords(spark, monkeypatch):
+    table = IndexTable(spark, scratch_path(spark, "index"))
+    sync = SyncStream(table, ENC)
+    sync.words = ["lama"]
+
+    def broken(*args, **kwargs):
+        raise RuntimeError("broken")
+
+    monkeypatch.setattr("serupa.operators.corpus.dynamic_stopwords", broken)
+    sync.apply(changes(spark, ("upsert", 1, "judul satu", 10)), 0)
+    assert sync.words == ["lama"] and table.count() == 1
+
+
 def test_sync_stream_restarts(spark):
     root = scratch_path(spark, "feed")
     batch = changes(spark, ("upsert", 1, "judul satu", 10), ("upsert", 2, "judul dua", 10))
