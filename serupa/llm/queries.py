@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from serupa.llm import decontaminate, simhash
+from serupa.llm import decontaminate, simhash, source_mix
 
 QUERIES = {
+    "op3_source_mix": source_mix.op3,
     "op9_decontaminate": decontaminate.op9,
     "op10_simhash": simhash.op10,
 }
 
 ORACLE = {
+    "op3_source_mix": source_mix.OP3_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
 }
