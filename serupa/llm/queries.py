@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from serupa.llm import decontaminate, simhash, source_mix
+from serupa.llm import decontaminate, license_scan, simhash, source_mix
 
 QUERIES = {
+    "op1_license_scan": license_scan.op1,
     "op3_source_mix": source_mix.op3,
     "op9_decontaminate": decontaminate.op9,
     "op10_simhash": simhash.op10,
 }
 
 ORACLE = {
+    "op1_license_scan": license_scan.OP1_SQL,
     "op3_source_mix": source_mix.OP3_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
 }
