@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from serupa.llm import decontaminate, license_scan, secret_scan, simhash, source_mix
+from serupa.llm import decontaminate, license_scan, pii_field, secret_scan, simhash, source_mix
 
 QUERIES = {
     "op1_license_scan": license_scan.op1,
     "op3_source_mix": source_mix.op3,
     "op5_secret_scan": secret_scan.op5,
+    "op7_pii_field": pii_field.op7,
     "op9_decontaminate": decontaminate.op9,
     "op10_simhash": simhash.op10,
 }
