@@ -9,8 +9,9 @@ without country code or a local part without its host. A candidate gets the kind
 ``BELIEF``. Base spans are evidence and always stay.
 
 The field is fitted by pseudo-likelihood on nodes of at most 2 * ``FIT_DOCS`` documents drawn by hash. Labels are the
-base kinds; candidates that resemble nothing are "other"; and each base span has a twin joined by a skip edge
-with the same label but only the weak half of its features, so that the skip weights are learned.
+base kinds; candidates that resemble nothing are "other". Each base span has two twins with only the weak part of
+its features: one joined to it by a skip edge, with its label, and one alone, labelled "other". So the skip weights
+are learned, and what looks like a kind but repeats nothing known stays out.
 
 Defined results: null and empty texts have no spans. Repeated rows get equal results. Without any node to fit
 on, the prior weights are used. An empty table gives no rows. Nothing depends on ids.
@@ -238,7 +239,7 @@ def beliefs(model: Field, labels: np.ndarray, x: np.ndarray, chain: np.ndarray,
 
 
 def training_nodes(text: str) -> bytes | None:
-    """Pickled (labels, features, chain, skip) of a text's labelled nodes and their twins, at most ``FIT_NODES``."""
+    """Pickled (labels, features, chain, skip) of a text's labelled nodes and of their twins, at most ``FIT_NODES``."""
     nodes = nodes_of(text, base_spans(text))
     alike = {k for k in nodes.keys if k and nodes.keys.count(k) > 1} if len(nodes.keys) <= FIT_NODES else set()
     use = [i for i, label in enumerate(nodes.labels) if label > 0 or nodes.keys[i] not in alike][:FIT_NODES]
@@ -251,8 +252,8 @@ def training_nodes(text: str) -> bytes | None:
         weak = features[i].copy()
         weak[STRONG] = 0
         skip.append((i, len(labels)))
-        labels.append(labels[i])
-        features.append(weak)
+        labels += [labels[i], OTHER]
+        features += [weak, weak]
     return pickle.dumps((np.array(labels), np.array(features), np.array(chain, np.int64), np.array(skip, np.int64)))
 
 
