@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 SLICE_BYTES = 4 << 20  # text handled at once; a single longer text is handled alone
 
@@ -36,16 +36,18 @@ def map_text(df: DataFrame, fields: str, work: Callable, keep: list[str], text:
     also = also or []
     schema = StructType([df.schema[c] for c in kept] + new.fields)
     names, n_kept = schema.names, len(kept)
+    at = kept.index(text) if text in kept and df.schema[text].dataType == StringType() else n_kept  # of the text; it moves once
+    n_sent = max(n_kept, at + 1)
 
     def run(batches):
         fn = work()
         for batch in batches:
-            texts = batch.column(n_kept).cast(pa.binary())
+            texts = batch.column(at).cast(pa.binary())
             for start, stop in slices(texts):
                 size = stop - start
-                rest = [batch.column(n_kept + 1 + i).slice(start, size) for i in range(len(also))]
+                rest = [batch.column(n_sent + i).slice(start, size) for i in range(len(also))]
                 made = fn(texts.slice(start, size).to_pylist(), *rest)
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(start, size) for i in range(n_kept)] + [pa.array(c) if not isinstance(c, pa.Array) else c for c in made], names)
 
-    columns = [F.col(c) for c in kept] + [F.col(text).cast("string").alias("__text")] + [F.col(c).alias(f"__also{i}") for i, c in enumerate(also)]
+    columns = [F.col(c) for c in kept] + [F.col(text).cast("string").alias("__text")] * (at == n_kept) + [F.col(c).alias(f"__also{i}") for i, c in enumerate(also)]
     return df.select(*columns).mapInArrow(run, schema)

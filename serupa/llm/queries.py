@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from serupa.llm import decontaminate, license_scan, one_bit_search, pii_field, secret_scan, simhash, source_mix, toxicity
+from serupa.llm import decontaminate, language_net, license_scan, one_bit_search, pii_field, secret_scan, simhash, source_mix, toxicity, wordpiece_counts
 
 QUERIES = {
     "op1_license_scan": license_scan.op1,
     "op2_one_bit_search": one_bit_search.op2,
     "op3_source_mix": source_mix.op3,
+    "op4_wordpiece_counts": wordpiece_counts.op4,
     "op5_secret_scan": secret_scan.op5,
+    "op6_language_net": language_net.op6,
     "op7_pii_field": pii_field.op7,
     "op8_toxicity": toxicity.op8,
     "op9_decontaminate": decontaminate.op9,

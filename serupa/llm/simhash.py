@@ -135,7 +135,8 @@ def near_links(prints: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, keep: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``keep`` columns, fingerprint and component_id: the smallest ``key`` that links reach, a row's own included.
+    """``keep`` columns, fingerprint, class_id (the smallest fingerprint that links reach, as a signed number) and
+    component_id: the smallest ``key`` among the rows of that class, a row's own included.
 
     Null keys never become a component_id; it is null where no member has a key. Rows may repeat keys.
     """
@@ -143,9 +144,9 @@ def near_duplicates(docs: DataFrame, keep: list[str], key: str = "doc_id", text:
     rows = stage(fingerprints(docs, keep, text), "fingerprints")
     prints = stage(rows.groupBy("fingerprint").agg(F.min(key).alias("__least")), "prints")
     roots = components(near_links(prints.select("fingerprint")))
-    classes = prints.join(roots, prints["fingerprint"] == roots["node"], "left").select("fingerprint", "__least", F.coalesce("root", "fingerprint").alias("__root"))
-    least = classes.groupBy("__root").agg(F.min("__least").alias("component_id"))
-    known = stage(classes.join(least, "__root").select("fingerprint", "component_id"), "classes")
+    classes = prints.join(roots, prints["fingerprint"] == roots["node"], "left").select("fingerprint", "__least", F.coalesce("root", "fingerprint").alias("class_id"))
+    least = classes.groupBy("class_id").agg(F.min("__least").alias("component_id"))
+    known = stage(classes.join(least, "class_id").select("fingerprint", "class_id", "component_id"), "classes")
     return rows.join(known, "fingerprint")
 
 
