@@ -33,7 +33,9 @@ WIDTHS = (2, 3, 4)
 FILTERS = 12  # of each width
 FIT_DOCS = 2500
 FIT_WINDOWS = 3
-TOGETHER = 256  # windows pushed through the network at once
+TOGETHER = 32  # windows pushed through the network at once
+LONGEST = max(WIDTHS)
+REACH = np.repeat([[float(i < w) for w in WIDTHS for _ in range(FILTERS)] for i in range(LONGEST)], DEPTH, axis=0).astype(np.float32)
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -47,11 +49,17 @@ def windows_of(text: bytes) -> np.ndarray:
     return out.reshape(n, WINDOW)
 
 
+def _padded(codes: np.ndarray) -> np.ndarray:
+    return np.pad(codes, ((0, 0), (0, LONGEST - 1)))
+
+
 @dataclass
 class Network:
+    """Filters of all widths are columns of one matrix, zero beyond their width."""
+
     languages: list[str]
     embedding: np.ndarray  # (256, DEPTH)
-    filters: list[np.ndarray]  # (width * DEPTH, FILTERS) each
+    filters: np.ndarray  # (LONGEST * DEPTH, all filters)
     bias: np.ndarray  # (all filters,)
     out: np.ndarray  # (all filters, languages)
     out_bias: np.ndarray
@@ -59,33 +67,47 @@ class Network:
     @classmethod
     def fresh(cls, languages: list[str], seed: int) -> Network:
         r = np.random.default_rng(seed)
-        draw = lambda *shape, size: (r.standard_normal(shape) * size).astype(np.float32)
+        draw = lambda *shape: r.standard_normal(shape).astype(np.float32)
         n = FILTERS * len(WIDTHS)
-        filters = [draw(w * DEPTH, FILTERS, size=(w * DEPTH) ** -0.5) for w in WIDTHS]
-        return cls(languages, draw(256, DEPTH, size=0.5), filters, np.zeros(n, np.float32), draw(n, len(languages), size=n**-0.5), np.zeros(len(languages), np.float32))
+        filters = draw(LONGEST * DEPTH, n) * REACH / np.sqrt(REACH.sum(axis=0))
+        return cls(languages, draw(256, DEPTH) / 2, filters, np.zeros(n, np.float32), draw(n, len(languages)) / np.float32(n**0.5), np.zeros(len(languages), np.float32))
 
     def parameters(self) -> list[np.ndarray]:
-        return [self.embedding, *self.filters, self.bias, self.out, self.out_bias]
-
-    def pooled(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
-        """Largest response of each filter (windows, filters), and where."""
-        x = self.embedding[codes]  # (windows, WINDOW, DEPTH)
-        best, where = [], []
-        for width, kernel in zip(WIDTHS, self.filters, strict=True):
-            n = codes.shape[1] - width + 1
-            view = np.lib.stride_tricks.as_strided(x, (len(x), n, width * DEPTH), (x.strides[0], x.strides[1], x.strides[2]))
-            response = (np.ascontiguousarray(view).reshape(-1, width * DEPTH) @ kernel).reshape(len(x), n, -1)
-            best.append(response.max(axis=1))
-            where.append(response)
-        return np.concatenate(best, axis=1), where
+        return [self.embedding, self.filters, self.bias, self.out, self.out_bias]
 
-    def shares(self, codes: np.ndarray) -> np.ndarray:
-        z = np.maximum(self.pooled(codes)[0] + self.bias, 0) @ self.out + self.out_bias
+    def softmax(self, best: np.ndarray) -> np.ndarray:
+        z = np.maximum(best + self.bias, 0) @ self.out + self.out_bias
         p = np.exp(z - z.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 
 
-def train(codes: np.ndarray, labels: np.ndarray, languages: list[str], seed: int = 11, epochs: int = 6, batch: int = 64, rate: float = 4e-3) -> Network:
+class Reader:
+    """A trained network for many windows: the responses to each pair of bytes are looked up, not multiplied."""
+
+    def __init__(self, net: Network) -> None:
+        self.net = net
+        one = np.stack([net.embedding @ net.filters[j * DEPTH : (j + 1) * DEPTH] for j in range(LONGEST)])  # by place and byte
+        pair = lambda j: (one[j][:, None] + one[j + 1][None]).reshape(65536, -1)
+        self.tables = [pair(j) for j in range(0, LONGEST, 2)]
+
+    def shares(self, codes: np.ndarray) -> np.ndarray:
+        """Of each language in each window."""
+        found = [self.net.softmax(self._best(_padded(codes[i : i + TOGETHER]))) for i in range(0, len(codes), TOGETHER)]
+        return np.concatenate(found).astype(np.float64)
+
+    def _best(self, codes: np.ndarray) -> np.ndarray:
+        pairs = codes[:, :-1].astype(np.intp) << 8 | codes[:, 1:]
+        response = np.take(self.tables[0], pairs[:, :WINDOW], axis=0, mode="clip")
+        for k, table in enumerate(self.tables[1:], 1):
+            response += np.take(table, pairs[:, 2 * k : 2 * k + WINDOW], axis=0, mode="clip")
+        half = WINDOW
+        while half > 1:  # pooling by halves keeps the operands long
+            half //= 2
+            np.maximum(response[:, :half], response[:, half : 2 * half], out=response[:, :half])
+        return response[:, 0]
+
+
+def train(codes: np.ndarray, labels: np.ndarray, languages: list[str], seed: int = 11, epochs: int = 5, batch: int = 64, rate: float = 5e-3) -> Network:
     """Adam on cross-entropy; a rare language's windows weigh more, up to four times."""
     net = Network.fresh(languages, seed)
     if len(languages) < 2:
@@ -94,37 +116,38 @@ def train(codes: np.ndarray, labels: np.ndarray, languages: list[str], seed: int
     weight = np.minimum(len(labels) / (len(languages) * np.maximum(counts, 1)), 4.0)[labels].astype(np.float32)
     draw, step = np.random.default_rng(seed), 0
     first, second = [np.zeros_like(p) for p in net.parameters()], [np.zeros_like(p) for p in net.parameters()]
-    for _ in range(epochs):
+    for epoch in range(epochs):
         order = draw.permutation(len(codes))
         for i in range(0, len(order), batch):
             part = order[i : i + batch]
             step += 1
+            now = rate * (1 - epoch / epochs)
             for k, (p, g) in enumerate(zip(net.parameters(), _gradients(net, codes[part], labels[part], weight[part]), strict=True)):
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.999 * second[k] + 0.001 * g * g
-                p -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+                p -= (now * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
     return net
 
 
 def _gradients(net: Network, codes, labels, weight) -> list[np.ndarray]:
-    best, responses = net.pooled(codes)
+    codes = _padded(codes)
+    x = np.take(net.embedding, codes, axis=0)
+    seen = np.lib.stride_tricks.as_strided(x, (len(x), WINDOW, LONGEST * DEPTH), x.strides)
+    response = np.ascontiguousarray((np.ascontiguousarray(seen).reshape(-1, LONGEST * DEPTH) @ net.filters).reshape(len(x), WINDOW, -1).transpose(0, 2, 1))
+    at = response.argmax(axis=2)  # only a filter's largest response has a share in the loss
+    best = np.take_along_axis(response, at[..., None], 2)[..., 0]
+    gap = net.softmax(best)
+    gap[np.arange(len(labels)), labels] -= 1
+    gap *= weight[:, None] / len(labels)
     hidden = np.maximum(best + net.bias, 0)
-    z = hidden @ net.out + net.out_bias
-    p = np.exp(z - z.max(axis=1, keepdims=True))
-    p /= p.sum(axis=1, keepdims=True)
-    p[np.arange(len(labels)), labels] -= 1
-    gap = p * weight[:, None] / len(labels)
     back = (gap @ net.out.T) * (hidden > 0)
-    embedding, filters, row = np.zeros_like(net.embedding), [], np.arange(len(codes))[:, None]
-    for k, (width, kernel) in enumerate(zip(WIDTHS, net.filters, strict=True)):
-        g = back[:, k * FILTERS : (k + 1) * FILTERS]  # only the largest response of a filter has a share in the loss
-        at = responses[k].argmax(axis=1)
-        seen = codes[row[..., None], at[..., None] + np.arange(width)]  # (windows, FILTERS, width)
-        x = net.embedding[seen].reshape(len(codes), FILTERS, -1)
-        filters.append(np.einsum("nf,nfd->df", g, x))
-        to_x = (g[..., None] * kernel.T[None]).reshape(len(codes), FILTERS, width, DEPTH)
-        np.add.at(embedding, seen, to_x)
-    return [embedding, *filters, back.sum(axis=0), hidden.T @ gap, gap.sum(axis=0)]
+    where = at[..., None] + np.arange(LONGEST)
+    bytes_there = codes[np.arange(len(codes))[:, None, None], where]  # (windows, filters, LONGEST)
+    there = net.embedding[bytes_there].reshape(len(codes), back.shape[1], -1)
+    filters = np.einsum("nf,nfd->df", back, there) * REACH
+    embedding = np.zeros_like(net.embedding)
+    np.add.at(embedding, bytes_there, (back[..., None] * net.filters.T[None]).reshape(*bytes_there.shape, DEPTH))
+    return [embedding, filters, back.sum(axis=0), hidden.T @ gap, gap.sum(axis=0)]
 
 
 def _fit_windows():
@@ -156,7 +179,7 @@ def predict(docs: DataFrame, net: Network | None, keep: list[str], text: str = "
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def work():
-        known = shared.value
+        known = Reader(shared.value) if shared.value else None
 
         def fn(texts):
             names: list[str] = [UNKNOWN] * len(texts)
@@ -165,14 +188,13 @@ def predict(docs: DataFrame, net: Network | None, keep: list[str], text: str = "
             cut = [windows_of(texts[i]) for i in ask]
             if not cut:
                 return [names, pa.array(scores, pa.float64())]
-            codes = np.concatenate(cut)
-            p = np.concatenate([known.shares(codes[i : i + TOGETHER]) for i in range(0, len(codes), TOGETHER)]).astype(np.float64)
+            p = known.shares(np.concatenate(cut))
             size = np.concatenate([np.minimum(WINDOW, len(texts[i]) - WINDOW * np.arange(len(w))) for i, w in zip(ask, cut, strict=True)])
             first = np.cumsum([0] + [len(w) for w in cut[:-1]])
             mean = np.add.reduceat(p * size[:, None], first, axis=0) / np.add.reduceat(size, first)[:, None]
             for i, m in zip(ask, mean, strict=True):
                 best = int(m.argmax())
-                names[i], scores[i] = known.languages[best], float(min(m[best], 1.0))
+                names[i], scores[i] = known.net.languages[best], float(min(m[best], 1.0))
             return [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
 
         return fn
