@@ -1,8 +1,9 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the distinct n-grams of 3 to 5 bytes (UTF-8, A-Z lowered) of the whole text, hashed to ``BUCKETS``.
-Each is scaled by its log-count ratio, log of its smoothed share in toxic over that in other texts, and a logistic
-regression is fitted on the scaled features. Fitted on labelled documents outside the held-out fifth, at most
+Features are the distinct n-grams of 4, 6 and 8 bytes (UTF-8, A-Z lowered, other ASCII than letters and digits as
+one space) of the whole text, hashed to ``BUCKETS``. Each is scaled by its log-count ratio, log of its smoothed
+share in toxic over that in other texts; ratios below ``LEAST_RATIO`` count as none. A logistic regression is fitted
+on the scaled features, over the fourth root of their number: long texts have more of them, but not more meaning. Fitted on labelled documents outside the held-out fifth, at most
 2 * ``FIT_DOCS`` of them, drawn by hash, a third of them toxic. Scoring uses nothing but the text.
 
 Defined results: null and empty texts have no features, so the intercept scores them. Several labels of one
@@ -22,11 +23,13 @@ from pyspark.sql import functions as F
 from serupa.llm.batches import map_text
 from serupa.llm.sampling import bounded_sample
 
-BUCKETS_LOG2 = 18
+BUCKETS_LOG2 = 20
 BUCKETS = 1 << BUCKETS_LOG2
-GRAMS = (3, 4, 5)
+GRAMS = (4, 6, 8)
 FIT_DOCS = 3000
 SMOOTHING = 1.0
+LEAST_RATIO = 1.0
+_PLAIN = bytes(c if c >= 0x80 or chr(c).isalnum() else 32 for c in range(256))
 _FACTOR = np.uint32(2654435761)
 
 
@@ -46,8 +49,8 @@ class Features:
         self.flags = np.zeros(BUCKETS, bool)
 
     def __call__(self, text: bytes | None) -> np.ndarray:
-        codes = np.frombuffer((text or b"").lower(), np.uint8)
-        for at in range(0, max(0, len(codes) - 2), 1 << 20):
+        codes = np.frombuffer(b" %s " % b" ".join((text or b"").lower().translate(_PLAIN).split()), np.uint8)
+        for at in range(0, max(0, len(codes) - min(GRAMS) + 1), 1 << 20):
             part = codes[at : at + (1 << 20) + max(GRAMS) - 1].astype(np.uint32) + np.uint32(1)
             h = part.copy()
             for n in range(2, max(GRAMS) + 1):
@@ -67,37 +70,38 @@ class Model:
     intercept: float
 
     def score(self, features: np.ndarray) -> float:
-        z = self.intercept + float(self.weights[features].sum()) / np.sqrt(max(len(features), 1))
+        z = self.intercept + float(self.weights[features].sum()) / max(len(features), 1) ** 0.25
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(texts: list[np.ndarray], toxic: np.ndarray, steps: int = 40, decay: float = 1e-4) -> Model:
-    """Ratios, logistic regression by accelerated gradient descent, calibration. Features are scaled to unit-size texts."""
+def fit(texts: list[np.ndarray], toxic: np.ndarray, steps: int = 200, decay: float = 1e-4) -> Model:
+    """Ratios, logistic regression by accelerated gradient descent, calibration."""
     y = np.asarray(toxic, np.float64)
     if len(set(y.tolist())) < 2:
         share = (y.sum() + 1) / (len(y) + 2) if len(y) else 0.4
         return Model(np.zeros(BUCKETS), float(np.log(share / (1 - share))))
-    sizes = np.array([len(t) for t in texts])
-    index = np.concatenate(texts)
-    counts = [np.bincount(np.concatenate([t for t, v in zip(texts, y, strict=True) if v == c] or [[]]).astype(np.int64), minlength=BUCKETS) + SMOOTHING for c in (1, 0)]
-    ratio = np.log(counts[0] / counts[0].sum()) - np.log(counts[1] / counts[1].sum())
-    seen = np.bincount(index, minlength=BUCKETS) > 1  # what one text alone has tells nothing
-    ratio[~seen] = 0
+    unit = np.maximum([len(t) for t in texts], 1) ** -0.25
+    counts = [np.bincount(np.concatenate([t for t, v in zip(texts, y, strict=True) if v == c]).astype(np.int64), minlength=BUCKETS) for c in (1, 0)]
+    shares = [(c + SMOOTHING) / (c + SMOOTHING).sum() for c in counts]
+    ratio = np.log(shares[0] / shares[1])
+    ratio[(sum(counts) < 2) | (np.abs(ratio) < LEAST_RATIO)] = 0  # what one text alone has tells nothing
+    kept = [t[ratio[t] != 0] for t in texts]
+    sizes, index = np.array([len(t) for t in kept]), np.concatenate(kept)
     full = sizes > 0
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])[full]
-    unit = 1 / np.sqrt(np.maximum(sizes, 1))
 
     def project(w):
         z = np.zeros(len(y))
-        z[full] = np.add.reduceat(w[index], starts) if full.any() else 0
+        if full.any():
+            z[full] = np.add.reduceat(w[index], starts)
         return z * unit
 
     def gradient(gap):
         return np.bincount(index, np.repeat(gap * unit, sizes), minlength=BUCKETS)
 
     rate = 4 / max((project(ratio**2) * unit).max(), 1e-9)  # of the curvature's bound, the longest scaled text
-    w, b, last, last_b = np.zeros(BUCKETS), float(np.log(y.mean() / (1 - y.mean()))), np.zeros(BUCKETS), 0.0
-    last_b = b
+    w = last = np.zeros(BUCKETS)
+    b = last_b = float(np.log(y.mean() / (1 - y.mean())))
     for step in range(steps):
         ahead = step / (step + 3)
         v, c = w + ahead * (w - last), b + ahead * (b - last_b)
