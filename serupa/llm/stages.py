@@ -16,7 +16,7 @@ from serupa.llm.simhash import near_duplicates
 from serupa.llm.source_mix import mix
 from serupa.session import ship_package, stage
 
-LEAST_SHARE = 0.3  # of the predicted language
+LEAST_SHARE = 0.2  # of the predicted language: below it, the best of many languages is hardly ahead of chance
 
 
 def _positional(docs: DataFrame) -> tuple[DataFrame, list[str], dict[str, str]]:
