@@ -83,7 +83,7 @@ def fit(texts: list[np.ndarray], toxic: np.ndarray, steps: int = 200, decay: flo
     unit = np.maximum([len(t) for t in texts], 1) ** -0.25
     counts = [np.zeros(BUCKETS), np.zeros(BUCKETS)]
     for features, v in zip(texts, y, strict=True):
-        counts[v == 0][features] += 1  # a text has each of its features once
+        counts[int(v == 0)][features] += 1  # a text has each of its features once
     shares = [(c + SMOOTHING) / (c + SMOOTHING).sum() for c in counts]
     ratio = np.log(shares[0] / shares[1])
     ratio[(sum(counts) < 2) | (np.abs(ratio) < LEAST_RATIO)] = 0  # what one text alone has tells nothing
