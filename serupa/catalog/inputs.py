@@ -72,7 +72,7 @@ def turn_pairs(spark: SparkSession, folder: str) -> DataFrame:
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "embeddings").select(
         "vec_id",
-        F.concat(F.lit("v"), F.lpad(F.col("vec_id").cast("string"), 12, "0")).alias("id"),
+        F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("id"),
         "embedding",
         F.col("label").cast("string").alias("document_type"),
     )

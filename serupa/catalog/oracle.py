@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from serupa.functions.text import STOPWORDS
-
 ORACLE: dict[str, str] = {}
 
+# Stopwords of titles, stated here again so that a wrong list would show.
+STOPWORDS = (
+    "dan", "yang", "untuk", "pada", "dengan", "dari", "ke", "di", "ini", "itu", "atau", "sebagai", "dalam", "tentang",
+    "oleh", "adalah", "adapun", "serta", "sebuah", "ia", "juga", "rancang", "bangun", "sistem", "aplikasi", "metode",
+    "studi", "kasus", "algoritma", "perancangan", "pembuatan", "penerapan", "berbasis", "menggunakan", "analisis",
+    "implementasi", "uji", "kinerja", "evaluasi", "pengembangan", "model", "rancangan", "prototipe", "prototype",
+    "berbasiskan", "mengimplementasikan", "menganalisis", "berupa", "laporan", "tugas", "akhir", "skripsi", "kerja",
+    "praktek", "praktik", "kp", "of", "the", "and", "in", "on", "for", "with", "a", "an", "to", "based", "using",
+    "system",
+)
+
 WS = r"[\s\x0b\p{Z}\x1c-\x1f\x{85}]"
 STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
 TEXTS = r"'[\p{L}\p{N}]+'"
@@ -182,12 +191,33 @@ pv AS (SELECT k, b, (CASE WHEN l > 1e-9 THEN x / l ELSE x END)::FLOAT::DOUBLE AS
 
 # --- search -----------------------------------------------------------------------------------
 
+STOPWORD_CTE = """
+wd AS (SELECT DISTINCT document_id, unnest(regexp_extract_all(lower(judul), '[a-z0-9]{3,}')) AS word
+       FROM docs WHERE judul <> ''),
+sw AS (SELECT word, count(*) AS n, count(*) / (SELECT count(*) FROM docs WHERE judul <> '')::DOUBLE AS df
+       FROM wd GROUP BY word HAVING df >= 0.15),
+swl AS MATERIALIZED (SELECT coalesce(list(word), []) AS dyn FROM sw)"""
+
+
+def clean_dynamic(t: str) -> str:
+    """Cleaned with the stopwords ``dyn`` of the row as well."""
+    kept = f"list_filter({words(t)}, lambda w: NOT list_contains(dyn, w))"
+    return f"coalesce(nullif(array_to_string({kept}, ' '), ''), {strip(t)}, '')"
+
+
 _number, _kind = parsed("id", "document_type")
-CHECK = f"""
-WITH {docs()}, {BENCH},
-qc AS (SELECT query_id AS k, judul, top_k, threshold, document_type, {clean("judul")} AS cleaned FROM bench),
+
+
+def check(dynamic: bool) -> str:
+    """Benchmark texts against all documents; index vectors are made without dynamic stopwords."""
+    stop, asked, stored = ("", clean("judul"), "dc") if not dynamic else (f"{STOPWORD_CTE},", clean_dynamic("judul"), "dd")
+    again = f"dd AS MATERIALIZED (SELECT document_id AS k, {clean_dynamic('judul')} AS cleaned FROM docs, swl)," if dynamic else ""
+    return f"""
+WITH {docs()}, {BENCH}, {stop}
+qc AS (SELECT query_id AS k, judul, top_k, threshold, document_type, {asked} AS cleaned FROM bench{", swl" if dynamic else ""}),
 dc AS MATERIALIZED (SELECT document_id AS k, document_type, {clean("judul")} AS cleaned FROM docs),
-{with_words("qc")}, {with_words("dc")},
+{again}
+{with_words("qc")}, {with_words(stored)},
 {hashed("qv", "qc", "cleaned")},
 {hashed("dv", "dc", "cleaned")},
 pairs AS ({cosines("qv", "dv")}),
@@ -198,18 +228,22 @@ ranked AS (
   WHERE qc.document_type IS NULL OR qc.document_type = dc.document_type),
 scored AS (
   SELECT r.*, {hybrid(r4("cosine"), set_jaccard("a.ws", "b.ws"))} AS similarity_score
-  FROM ranked r JOIN qc_w a ON a.k = query_id JOIN dc_w b ON b.k = id WHERE semantic_rank <= top_k),
+  FROM ranked r JOIN qc_w a ON a.k = query_id JOIN {stored}_w b ON b.k = id WHERE semantic_rank <= top_k),
 hits AS (
   SELECT query_id, id, {_number} AS document_id, {_kind} AS document_type, similarity_score,
          {persen("similarity_score")} AS similarity_persen, {level("similarity_score")} AS level, semantic_rank
   FROM scored WHERE similarity_score >= threshold)
 """
+
+
+CHECK = check(False)
 HITS = """
 SELECT query_id, id, document_id, document_type, CASE WHEN document_type = 'skripsi' THEN document_id END AS skripsi_id,
        similarity_score, similarity_persen, level FROM hits
 """
 ORACLE["similarity_check"] = CHECK + HITS
 ORACLE["stream_check"] = CHECK + HITS
+ORACLE["similarity_check_dynamic"] = check(True) + HITS
 ORACLE["similarity_summary"] = CHECK + """
 SELECT b.query_id, b.judul, count(h.id) AS total_found,
        coalesce(string_agg(h.id || '=' || h.similarity_persen, ';'
@@ -242,25 +276,28 @@ ORACLE["near_duplicates"] = self_check(
     f"{docs()}, dc AS MATERIALIZED (SELECT document_id AS k, {clean('judul')} AS cleaned FROM docs), {hashed('dv', 'dc', 'cleaned')}",
     "dv", "dv", "dc", "source_id",
 )
+ORACLE["near_duplicates_lsh"] = f"SELECT count(*) AS exact_hits, true AS recall_reached, 0 AS wrong_scores FROM ({ORACLE['near_duplicates']})"
 ORACLE["similarity_check_weighted"] = self_check(f"{PAGES}, {weighted_pages()}", "pv", "pj", "pc", "query_id")
 
 
-def vector_topk(where: str) -> str:
+def vector_topk(where: str, k: str = "5") -> str:
     return f"""
 WITH v AS (
-  SELECT vec_id, 'v' || lpad(vec_id::VARCHAR, 12, '0') AS id, embedding::DOUBLE[] AS e, label FROM embeddings),
+  SELECT vec_id, 'v' || vec_id AS id, embedding::DOUBLE[] AS e, label FROM embeddings),
 n AS (SELECT *, sqrt(list_inner_product(e, e)) AS l FROM v),
 pairs AS (
   SELECT q.vec_id AS query_id, c.id, {snap("(list_inner_product(q.e, c.e) / (q.l * c.l))")} AS cosine
   FROM n q, n c WHERE {where}),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS r FROM pairs)
-SELECT query_id, id, {r4("cosine")} AS similarity_score, r::INTEGER AS rank FROM ranked WHERE r <= 5
+SELECT query_id, id, {r4("cosine")} AS similarity_score, r::INTEGER AS rank FROM ranked WHERE r <= {k}
 """
 
 
 ORACLE["vector_topk"] = vector_topk("true")
 ORACLE["vector_topk_filtered"] = vector_topk("q.vec_id % 4 = 0 OR q.label = c.label")
 ORACLE["vector_topk_exclude_self"] = vector_topk("q.vec_id <> c.vec_id")
+ORACLE["vector_topk_large_k"] = vector_topk("true", "query_id % 3 * 10 + 30")
+ORACLE["vector_topk_lsh"] = f"SELECT count(*) AS exact_hits, true AS recall_reached, 0 AS wrong_scores FROM ({ORACLE['vector_topk_exclude_self']})"
 ORACLE["vector_topk_tiled"] = vector_topk("q.vec_id <> c.vec_id")
 
 
@@ -270,11 +307,12 @@ TURNS = """
 turns AS (
   SELECT a.conv_id, a.turn, a.text AS judul_a, b.text AS judul_b
   FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1)"""
-ORACLE["compare_pairs"] = f"""
-WITH {TURNS},
+def compared(stop: str, cleaned, words_of: str) -> str:
+    return f"""
+WITH {stop} {TURNS},
 side AS (
-  SELECT conv_id || '/' || turn || '/a' AS k, {clean("judul_a")} AS cleaned FROM turns UNION ALL
-  SELECT conv_id || '/' || turn || '/b' AS k, {clean("judul_b")} FROM turns),
+  SELECT conv_id || '/' || turn || '/a' AS k, {cleaned("judul_a")} AS cleaned FROM turns{words_of} UNION ALL
+  SELECT conv_id || '/' || turn || '/b' AS k, {cleaned("judul_b")} FROM turns{words_of}),
 {hashed("sv", "side", "cleaned")},
 dots AS (
   SELECT conv_id, turn, sum(x.v * y.v) AS s FROM turns
@@ -292,13 +330,17 @@ final AS (SELECT *, {hybrid("semantic", "lexical")} AS similarity_score FROM sco
 SELECT conv_id, turn, similarity_score, {persen("similarity_score")} AS similarity_persen,
        {level("similarity_score")} AS level, {r4("semantic")} AS semantic_score, {r4("lexical")} AS lexical_score FROM final
 """
+
+
+ORACLE["compare_pairs"] = compared("", clean, "")
+ORACLE["compare_pairs_dynamic"] = compared(f"{docs()}, {STOPWORD_CTE},", clean_dynamic, ", swl")
 ORACLE["jaccard_pairs"] = f"""
 WITH {TURNS}
 SELECT conv_id, turn, {jaccard("judul_a", "judul_b")} AS jaccard,
        {jaccard(clean("judul_a"), clean("judul_b"))} AS jaccard_clean FROM turns
 """
 ORACLE["similarity_levels"] = f"""
-WITH s AS (SELECT event_id, least(value, 100.0) / 100.0 AS score FROM events)
+WITH s AS (SELECT event_id, value / (100.0 + value) AS score FROM events)
 SELECT event_id, {r4("score")} AS score, {persen("score")} AS persen, {level("score")} AS level FROM s
 """
 _number, _kind = parsed("id", "stored_type")
@@ -342,11 +384,6 @@ WITH {docs()}, {PAGES},
 t AS (SELECT document_id, judul FROM docs UNION ALL SELECT 'page_' || document_id, judul FROM pg)
 SELECT document_id, {clean("judul")} AS clean FROM t
 """
-STOPWORD_CTE = """
-wd AS (SELECT DISTINCT document_id, unnest(regexp_extract_all(lower(judul), '[a-z0-9]{3,}')) AS word
-       FROM docs WHERE judul <> ''),
-sw AS (SELECT word, count(*) AS n, count(*) / (SELECT count(*) FROM docs WHERE judul <> '')::DOUBLE AS df
-       FROM wd GROUP BY word HAVING df >= 0.15)"""
 ORACLE["dynamic_stopwords"] = f"WITH {docs()}, {STOPWORD_CTE} SELECT word, n, df FROM sw"
 ORACLE["clean_titles_dynamic"] = f"""
 WITH {docs()}, {STOPWORD_CTE},
@@ -451,26 +488,48 @@ SELECT (n // 100)::BIGINT AS batch, (n // 100) % 2 = 0 AS reset_index, document_
 
 # --- index ------------------------------------------------------------------------------------
 
-CONTENT = """
+CONTENT = f"""
+{weighted_pages()},
+pdig AS (SELECT k, sum(v * (b + 1)) AS d FROM pv GROUP BY k),
 base AS (SELECT document_id AS id, judul AS document, document_type, skripsi_id, coalesce(tahun, 0) AS tahun,
-                coalesce(nullif(program_studi, ''), 'Tidak Diketahui') AS program_studi, 256::INTEGER AS dim FROM pg)"""
-CHANGES = """
+                coalesce(nullif(program_studi, ''), 'Tidak Diketahui') AS program_studi,
+                coalesce({snap("d", 6)}, 0.0) AS digest FROM pg LEFT JOIN pdig ON k = document_id)"""
+
+
+def changes(winners: str) -> str:
+    """CTEs: events as changes, the saves that win, and their digests (the title's weight is the only one that counts)."""
+    return f"""
 ev AS (SELECT CASE WHEN event_type = 'error' THEN 'delete' ELSE 'upsert' END AS op, 'skripsi_' || user_id AS id,
               event_type || ' ' || props AS document, 'skripsi' AS document_type, user_id AS skripsi_id,
-              (2000 + event_id % 25)::INTEGER AS tahun, event_type AS program_studi, 256::INTEGER AS dim, ts FROM events),
-saved AS (SELECT * FROM ev WHERE op = 'upsert' QUALIFY row_number() OVER (PARTITION BY id ORDER BY ts DESC) = 1),
-last_ AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY id ORDER BY ts DESC) = 1)"""
-COLUMNS = "id, document, document_type, skripsi_id, tahun, program_studi, dim"
+              (2000 + event_id % 25)::INTEGER AS tahun, event_type AS program_studi, ts FROM events),
+last_ AS (SELECT * FROM ev {winners} QUALIFY row_number() OVER (PARTITION BY id ORDER BY ts DESC, document DESC) = 1),
+ec AS (SELECT id AS k, {clean("document")} AS cleaned FROM last_),
+{hashed("eh", "ec", "cleaned")},
+ew AS (SELECT k, b, v * 0.7::DOUBLE AS x FROM eh),
+el AS (SELECT k, sqrt(sum(x * x)) AS n FROM ew GROUP BY k),
+edig AS (SELECT k, sum((x / n)::FLOAT::DOUBLE * (b + 1)) AS d FROM ew JOIN el USING (k) GROUP BY k),
+saved AS (SELECT id, document, document_type, skripsi_id, tahun, program_studi, coalesce({snap("d", 6)}, 0.0) AS digest
+          FROM last_ LEFT JOIN edig ON k = id WHERE op = 'upsert')"""
+
+
+SAVES, CHANGES = changes("WHERE op = 'upsert'"), changes("")
+COLUMNS = "id, document, document_type, skripsi_id, tahun, program_studi, digest"
 ORACLE["index_build"] = f"WITH {PAGES}, {CONTENT} SELECT {COLUMNS} FROM base"
 ORACLE["index_upsert"] = f"""
-WITH {PAGES}, {CONTENT}, {CHANGES}
+WITH {PAGES}, {CONTENT}, {SAVES}
 SELECT {COLUMNS} FROM base WHERE id NOT IN (SELECT id FROM saved) UNION ALL SELECT {COLUMNS} FROM saved
 """
 ORACLE["index_delete"] = f"""
-WITH {PAGES}, {CONTENT}, {CHANGES} SELECT {COLUMNS} FROM base WHERE id NOT IN (SELECT id FROM ev WHERE op = 'delete')
+WITH {PAGES}, {CONTENT}, {SAVES} SELECT {COLUMNS} FROM base WHERE id NOT IN (SELECT id FROM ev WHERE op = 'delete')
+"""
+ORACLE["index_replace"] = f"WITH {SAVES} SELECT {COLUMNS} FROM saved"
+ORACLE["stream_sync"] = f"WITH {CHANGES} SELECT {COLUMNS} FROM saved"
+ORACLE["index_upsert_payload"] = f"""
+WITH {PAGES}
+SELECT document_id AS id, CASE WHEN n % 3 = 0 OR least(bobot_judul, bobot_abstrak, bobot_kata_kunci) < 0 OR length(judul) + 8 NOT BETWEEN 5 AND 500
+                               THEN judul ELSE judul || ' edisi ' || (n % 3) END AS document,
+       document_type, skripsi_id, coalesce(tahun, 0) AS tahun FROM pg
 """
-ORACLE["index_replace"] = f"WITH {CHANGES} SELECT {COLUMNS} FROM saved"
-ORACLE["stream_sync"] = f"WITH {CHANGES} SELECT {COLUMNS} FROM last_ WHERE op = 'upsert'"
 ORACLE["index_count"] = "SELECT count(*) AS total_indexed FROM documents"
 ORACLE["ingest_verify"] = f"""
 WITH {docs()}, {PAGES},
@@ -483,7 +542,20 @@ SELECT e AS expected_total, t AS total_indexed, CASE WHEN bad THEN 'failed' ELSE
             WHEN bad THEN 'Jumlah vector terindeks lebih kecil dari data yang diterima (received=' || e || ', vector='
                           || t || ').' END AS error_message, load FROM b
 """
-ORACLE["indexed_ids_page"] = f"WITH {docs()} SELECT document_id AS id FROM docs ORDER BY id LIMIT 500 OFFSET 100"
+ORACLE["indexed_ids_page"] = f"WITH {docs()} SELECT document_id AS id FROM docs WHERE document_id > 'internship_report_3' ORDER BY id LIMIT 500"
+BAD = """
+bad AS (SELECT document_id, id_error IS NOT NULL OR judul IS NULL OR length(judul) NOT BETWEEN 5 AND 500 OR tahun < 1990 OR tahun > 2100
+               OR coalesce(bobot_judul < 0, false) OR coalesce(bobot_abstrak < 0, false) AS wrong FROM ids)"""
+ORACLE["bulk_load_report"] = f"""
+WITH {RAW}, {BAD},
+ev AS (SELECT 'skripsi_' || user_id AS id FROM events WHERE event_type <> 'error'),
+c AS (SELECT (SELECT count(*) FROM bad) AS received, (SELECT count(*) FROM bad WHERE wrong) AS wrong, (SELECT count(*) FROM ev) AS saves,
+             (SELECT count(DISTINCT id) FROM (SELECT document_id AS id FROM bad WHERE NOT wrong UNION ALL SELECT id FROM ev)) AS total)
+SELECT 'reset' AS job_id, 'completed' AS status, received AS total_received, wrong AS rejected, received - wrong AS total_processed,
+       NULL::VARCHAR AS error_message, total AS total_indexed, 2 * wrong AS quarantined FROM c
+UNION ALL SELECT 'merge', 'completed', saves, 0, saves, NULL, total, 2 * wrong FROM c
+UNION ALL SELECT 'invalid', 'failed', wrong, 0, 0, 'nothing to load', total, 2 * wrong FROM c
+"""
 ORACLE["corpus_titles"] = "SELECT text AS title FROM documents WHERE doc_id % 9 <> 0 AND text <> ''"
 ORACLE["stats_program"] = f"WITH {docs()}, {META} SELECT program_studi, count(*) AS n FROM meta GROUP BY program_studi"
 ORACLE["stats_year"] = (
@@ -540,6 +612,13 @@ ORACLE["eval_target_metrics"] = metrics("[0.65::DOUBLE]") + "SELECT * FROM m"
 ORACLE["eval_threshold_sweep"] = metrics(SWEEP) + "SELECT * FROM m"
 ORACLE["eval_best_threshold"] = metrics(SWEEP) + "SELECT * FROM m ORDER BY f1 DESC, threshold LIMIT 1"
 
+ORACLE["eval_predictions_file"] = PREDICTIONS + f"SELECT *, {level('score')} AS level FROM pred"
+ORACLE["eval_sweep_file"] = ORACLE["eval_threshold_sweep"]
+ORACLE["eval_summary_file"] = metrics(SWEEP) + """
+SELECT (SELECT count(*) FROM pred) AS total_pairs, (SELECT count(*) FROM m)::INTEGER AS thresholds, threshold, tp, fp, fn, tn, f1
+FROM m ORDER BY f1 DESC, threshold LIMIT 1
+"""
+
 
 # --- jobs -------------------------------------------------------------------------------------
 

@@ -25,9 +25,11 @@ from serupa.operators.pooling import mean_pool
 from serupa.operators.topk import topk_cosine, topk_cosine_lsh
 from serupa.plans.check import in_report_order, parse_hit_id, similarity_hits, similarity_summary
 from serupa.plans.compare import compare_pairs, score_pairs
+from serupa.plans.load import bulk_load
 from serupa.plans.near_duplicates import near_duplicates
 from serupa.session import read_table, scratch_path, stage
 from serupa.sources.exports import from_payloads, read_export, to_payloads
+from serupa.sources.reports import read_pairs, write_metrics
 from serupa.streaming.check import start_checks
 from serupa.streaming.sync import SyncStream, run_available
 
@@ -74,6 +76,28 @@ def similarity_summary_report(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("similarity_check_dynamic")
+def similarity_check_dynamic(spark: SparkSession, folder: str) -> DataFrame:
+    """Queries against a stored index, cleaned with the stopwords of its titles."""
+    table = _table(spark)
+    table.replace(_text_index(spark, folder))
+    words = _words(table)
+    queries, _ = ing.split_valid(ing.check_queries(src.benchmark_queries(spark, folder)))
+    return in_report_order(similarity_hits(queries, table.read(), ENCODER, words)).select(*schemas.HIT_COLUMNS)
+
+
+@query("compare_pairs_dynamic")
+def compare_pairs_dynamic(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns of a conversation compared with the stopwords of a stored index."""
+    table = _table(spark)
+    table.replace(_text_index(spark, folder))
+    return compare_pairs(src.turn_pairs(spark, folder), ENCODER, _words(table)).drop("judul_a", "judul_b")
+
+
+def _words(table: IndexTable) -> list[str]:
+    return corpus.inline_words(corpus.dynamic_stopwords(corpus.titles(table.read())))
+
+
 @query("similarity_check_weighted")
 def similarity_check_weighted(spark: SparkSession, folder: str) -> DataFrame:
     """Page titles against the page index, whose vectors also hold abstract and keywords."""
@@ -100,7 +124,8 @@ def near_duplicate_report(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("near_duplicates_lsh")
 def near_duplicate_report_lsh(spark: SparkSession, folder: str) -> DataFrame:
-    return _near(spark, folder, approximate=True)
+    """The approximate form, measured against the exact one."""
+    return _quality(_near(spark, folder, approximate=False), _near(spark, folder, approximate=True), "source_id", 0.95)
 
 
 @query("vector_topk")
@@ -137,6 +162,14 @@ def _vector_topk(spark: SparkSession, folder: str, typed: bool, exclude: bool) -
     return _shape(topk_cosine(_vector_queries(vecs, typed, exclude), vecs, dim=64, k=5))
 
 
+@query("vector_topk_large_k")
+def vector_topk_large_k(spark: SparkSession, folder: str) -> DataFrame:
+    """More neighbours than a checked query may ask for, given per query."""
+    vecs = src.vectors(spark, folder)
+    queries = _vector_queries(vecs, False, False).withColumn("top_k", (F.col("query_id") % 3 * 10 + 30).cast("int"))
+    return _shape(topk_cosine(queries, vecs, dim=64))
+
+
 @query("vector_topk_tiled")
 def vector_topk_tiled(spark: SparkSession, folder: str) -> DataFrame:
     """The form for large query tables: nothing is broadcast."""
@@ -145,10 +178,22 @@ def vector_topk_tiled(spark: SparkSession, folder: str) -> DataFrame:
     return _shape(topk_cosine(_vector_queries(vecs, False, True), vecs, dim=64, k=5, settings=forced))
 
 
+def _quality(exact: DataFrame, found: DataFrame, key: str, least: float) -> DataFrame:
+    """One row: how many exact hits there are, whether the share found is high enough, and wrong scores."""
+    both = exact.select(key, "id", F.col("similarity_score").alias("want")).join(found.select(key, "id", F.col("similarity_score").alias("got")), [key, "id"], "left")
+    wrong = F.sum((F.col("got") != F.col("want")).cast("int"))
+    return both.agg(
+        F.count("*").alias("exact_hits"), (F.count("got") >= least * F.count("*")).alias("recall_reached"),
+        F.coalesce(wrong, F.lit(0)).alias("wrong_scores"),
+    )
+
+
 @query("vector_topk_lsh")
 def vector_topk_lsh(spark: SparkSession, folder: str) -> DataFrame:
+    """The approximate form, measured against the exact one."""
     vecs = src.vectors(spark, folder)
-    return _shape(topk_cosine_lsh(_vector_queries(vecs, False, True), vecs, dim=64, k=5))
+    queries = _vector_queries(vecs, False, True)
+    return _quality(_shape(topk_cosine(queries, vecs, dim=64, k=5)), _shape(topk_cosine_lsh(queries, vecs, dim=64, k=5)), "query_id", 0.95)
 
 
 # --- pairs ------------------------------------------------------------------------------------
@@ -172,7 +217,7 @@ def jaccard_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("similarity_levels")
 def similarity_levels(spark: SparkSession, folder: str) -> DataFrame:
-    score = F.least(F.col("value"), F.lit(100.0)) / 100.0
+    score = F.col("value") / (F.lit(100.0) + F.col("value"))
     return read_table(spark, folder, "events").select(
         "event_id", round4(score).alias("score"), scoring.persen(score).alias("persen"), scoring.level(score).alias("level")
     )
@@ -411,8 +456,10 @@ def _table(spark: SparkSession) -> IndexTable:
 
 
 def _contents(index: DataFrame) -> DataFrame:
-    size = F.size("embedding").alias("dim")
-    return index.select("id", "document", "document_type", "skripsi_id", "tahun", "program_studi", size)
+    """Rows of an index; the digest, a weighted sum of the vector's elements, stands for the vector."""
+    weighed = F.transform("embedding", lambda x, i: x.cast("double") * (i + 1))
+    digest = snap(F.aggregate(weighed, F.lit(0.0), lambda a, x: a + x), 6).alias("digest")
+    return index.select("id", "document", "document_type", "skripsi_id", "tahun", "program_studi", digest)
 
 
 @query("index_build")
@@ -447,9 +494,52 @@ def index_replace(spark: SparkSession, folder: str) -> DataFrame:
     return _contents(table.read())
 
 
+@query("index_upsert_payload")
+def index_upsert_payload(spark: SparkSession, folder: str) -> DataFrame:
+    """Payloads that repeat ids, merged into an index: the last item of an id wins."""
+    pages = src.page_documents(spark, folder)
+    table = _table(spark)
+    table.replace(index_rows(pages, ENCODER))
+    n = F.regexp_extract("document_id", "([0-9]+)$", 1).cast("bigint")
+    editions = pages.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), n % 3)))
+    items = editions.withColumns({"judul": F.concat("judul", F.lit(" edisi "), "k"), "nim": F.lit(None), "nama_mahasiswa": F.lit(None)})
+    payloads = stage(to_payloads(items, F.floor(n / 100), order=n * 10 + F.col("k")), "payloads")
+    docs, _ = ing.ingest(from_payloads(payloads).where("judul NOT LIKE '% edisi 0'"))
+    table.upsert(index_rows(docs, ENCODER, carry=("position",)))
+    return table.read().select("id", "document", "document_type", "skripsi_id", "tahun")
+
+
+@query("bulk_load_report")
+def bulk_load_report(spark: SparkSession, folder: str) -> DataFrame:
+    """A reset, a merge and a load of which nothing is valid, as the ledger and the index show them."""
+    table, jobs = _table(spark), ledger.JobLedger(spark, scratch_path(spark, "ledger"))
+    raw = stage(_raw_documents(spark, folder).withColumn("position", F.col("row")), "raw")
+    _, bad = ing.ingest(raw)
+    events = src.event_changes(spark, folder).where("op = 'upsert'").withColumn("position", F.col("event_time"))
+    bulk_load("reset", raw, table, jobs, ENCODER, reset_index=True)
+    bulk_load("merge", stage(events, "events"), table, jobs, ENCODER)
+    try:
+        bulk_load("invalid", raw.join(bad.select("row"), "row", "left_semi"), table, jobs, ENCODER)
+    except ix.EmptyInput:
+        pass  # the ledger shows it
+    rejected = spark.read.parquet(f"{table.path}/quarantine/*").select(F.count("*")).scalar()
+    return jobs.states().select(
+        "job_id", "status", "total_received", "rejected", "total_processed", "error_message",
+        F.lit(table.count()).cast("bigint").alias("total_indexed"), F.lit(rejected).cast("bigint").alias("quarantined"),
+    )
+
+
+def _text_table(spark: SparkSession, folder: str) -> DataFrame:
+    """A stored index of the text documents; every ninth has no stored text."""
+    table = _table(spark)
+    stored = F.when(F.col("skripsi_id") % 9 != 0, F.col("document")).otherwise("")
+    table.replace(_text_index(spark, folder).withColumn("document", stored))
+    return table.read()
+
+
 @query("index_count")
 def index_count(spark: SparkSession, folder: str) -> DataFrame:
-    return src.text_documents(spark, folder).agg(F.count("*").alias("total_indexed"))
+    return _text_table(spark, folder).agg(F.count("*").alias("total_indexed"))
 
 
 @query("ingest_verify")
@@ -470,24 +560,23 @@ def ingest_verify(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("indexed_ids_page")
 def indexed_ids_page(spark: SparkSession, folder: str) -> DataFrame:
-    return ix.page_of_ids(src.text_documents(spark, folder).select(F.col("document_id").alias("id")), 500, 100)
+    """The 500 ids behind a known one."""
+    return ix.page_of_ids(_text_table(spark, folder), 500, after="internship_report_3")
 
 
 @query("corpus_titles")
 def corpus_titles(spark: SparkSession, folder: str) -> DataFrame:
-    docs = src.text_documents(spark, folder)
-    stored = F.when(F.col("skripsi_id") % 9 != 0, F.col("judul")).otherwise("")
-    return corpus.titles(docs.select(stored.alias("document"), "judul"))
+    return corpus.titles(_text_table(spark, folder))
 
 
 @query("stats_program")
 def stats_program(spark: SparkSession, folder: str) -> DataFrame:
-    return corpus.program_distribution(ing.metadata(src.text_documents(spark, folder)))
+    return corpus.program_distribution(_text_table(spark, folder))
 
 
 @query("stats_year")
 def stats_year(spark: SparkSession, folder: str) -> DataFrame:
-    return corpus.year_distribution(ing.metadata(src.text_documents(spark, folder)))
+    return corpus.year_distribution(_text_table(spark, folder))
 
 
 # --- evaluation -------------------------------------------------------------------------------
@@ -539,6 +628,35 @@ def eval_best_threshold(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate.best_threshold(evaluate.metrics(_predictions(spark, folder)))
 
 
+def _report(spark: SparkSession, folder: str) -> str:
+    """Pairs through a file into scores, and the report files of the evaluation."""
+    pairs_path, path = scratch_path(spark, "pairs"), scratch_path(spark, "report")
+    _labelled_pairs(spark, folder).write.json(pairs_path)
+    scored = stage(evaluate.predictions(score_pairs(read_pairs(spark, pairs_path, lines=True), ENCODER)), "predictions")
+    swept = evaluate.metrics(scored)
+    write_metrics(path, scored.count(), evaluate.target_metrics(scored), evaluate.best_threshold(swept), swept, scored, ENCODER.name, DEFAULTS.eval_target)
+    return path
+
+
+@query("eval_predictions_file")
+def eval_predictions_file(spark: SparkSession, folder: str) -> DataFrame:
+    schema = "no BIGINT, judul_a STRING, judul_b STRING, label INT, score DOUBLE, semantic_score DOUBLE, lexical_score DOUBLE, level STRING"
+    return spark.read.schema(schema).option("header", True).option("escape", '"').csv(f"{_report(spark, folder)}/predictions")
+
+
+@query("eval_sweep_file")
+def eval_sweep_file(spark: SparkSession, folder: str) -> DataFrame:
+    schema = "threshold DOUBLE, tp BIGINT, fp BIGINT, fn BIGINT, tn BIGINT, precision DOUBLE, recall DOUBLE, f1 DOUBLE, accuracy DOUBLE"
+    return spark.read.schema(schema).option("header", True).csv(f"{_report(spark, folder)}/threshold_sweep")
+
+
+@query("eval_summary_file")
+def eval_summary_file(spark: SparkSession, folder: str) -> DataFrame:
+    summary = spark.read.json(f"{_report(spark, folder)}/summary")
+    best = [F.col(f"best_threshold_metrics.{c}").alias(c) for c in ("threshold", "tp", "fp", "fn", "tn", "f1")]
+    return summary.select(F.col("meta.total_pairs").alias("total_pairs"), F.size("metrics_by_threshold").alias("thresholds"), *best)
+
+
 # --- jobs and streams -------------------------------------------------------------------------
 
 

@@ -11,14 +11,14 @@ from serupa.config import DEFAULTS, Settings
 
 # Connectors, academic boilerplate, English function words.
 STOPWORDS = (
-    "dan yang untuk pada dengan dari ke di ini itu atau sebagai dalam tentang oleh adalah adapun serta "
-    "sebuah ia juga "
-    "rancang bangun sistem aplikasi metode studi kasus algoritma perancangan pembuatan penerapan berbasis "
-    "menggunakan analisis implementasi uji kinerja evaluasi pengembangan model rancangan prototipe "
-    "prototype berbasiskan mengimplementasikan menganalisis berupa laporan tugas akhir skripsi kerja "
-    "praktek praktik kp "
-    "of the and in on for with a an to based using system"
-).split()
+    "dan", "yang", "untuk", "pada", "dengan", "dari", "ke", "di", "ini", "itu", "atau", "sebagai", "dalam", "tentang",
+    "oleh", "adalah", "adapun", "serta", "sebuah", "ia", "juga", "rancang", "bangun", "sistem", "aplikasi", "metode",
+    "studi", "kasus", "algoritma", "perancangan", "pembuatan", "penerapan", "berbasis", "menggunakan", "analisis",
+    "implementasi", "uji", "kinerja", "evaluasi", "pengembangan", "model", "rancangan", "prototipe", "prototype",
+    "berbasiskan", "mengimplementasikan", "menganalisis", "berupa", "laporan", "tugas", "akhir", "skripsi", "kerja",
+    "praktek", "praktik", "kp", "of", "the", "and", "in", "on", "for", "with", "a", "an", "to", "based", "using",
+    "system",
+)
 
 # Unicode white space; Java's \s alone is ASCII.
 SPACE = r"[\s\p{Z}\x1c-\x1f\x85]"

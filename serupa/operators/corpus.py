@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from serupa.config import DEFAULTS, Settings
 from serupa.functions import text as tx
+from serupa.session import stage
 
 
-def titles(index: DataFrame, limit: int | None = None) -> DataFrame:
+def titles(index: DataFrame) -> DataFrame:
     """Non-empty stored texts; only an index without any falls back to the title column."""
     stored = index.where(F.col("document") != "").select(F.col("document").alias("title"))
     if stored.isEmpty():
         stored = index.where(F.col("judul").isNotNull()).select(F.col("judul").alias("title"))
-    return stored.limit(limit) if limit else stored
+    return stored
 
 
 def document_frequency(corpus: DataFrame, title: str = "title") -> DataFrame:
@@ -33,10 +34,14 @@ def dynamic_stopwords(corpus: DataFrame, title: str = "title", settings: Setting
     return share.where(F.col("df") >= settings.stopword_df)
 
 
-def inline_words(stopwords: DataFrame, settings: Settings = DEFAULTS) -> list[str] | None:
-    """The words as a list for a plan literal; None when there are more than ``literal_words``."""
-    rows = stopwords.select("word").limit(settings.literal_words + 1).collect()
-    return None if len(rows) > settings.literal_words else sorted(row.word for row in rows)
+def inline_words(stopwords: DataFrame, limit: int | None = None) -> list[str] | None:
+    """The words as a list for a plan literal; None when there are more than ``limit``.
+
+    Words in a share s of all titles number at most (words of the longest title) / s, whatever the corpus size.
+    """
+    words = stopwords.select("word")
+    rows = (words.limit(limit + 1) if limit is not None else words).collect()
+    return None if limit is not None and len(rows) > limit else sorted(row.word for row in rows)
 
 
 def clean_titles(
@@ -47,15 +52,16 @@ def clean_titles(
     out: str = "clean",
     settings: Settings = DEFAULTS,
 ) -> DataFrame:
-    """Add the cleaned title; dynamic stopwords go into the expression, or are joined when they are too many.
+    """Add the cleaned title; dynamic stopwords go into the expression, or are joined when they are many.
 
-    The join form needs ``key``, a unique column of ``df``.
+    The join form uses ``key``, a unique column of ``df``; without one, the rows are written down with a number.
     """
-    words = [] if stopwords is None else inline_words(stopwords, settings)
+    words = [] if stopwords is None else inline_words(stopwords, settings.literal_words)
     if words is not None:
         return df.withColumn(out, tx.clean_title(F.col(title), words))
     if key is None:
-        raise ValueError("too many dynamic stopwords for an expression: name the key column")
+        numbered = stage(df.withColumn("_row", F.monotonically_increasing_id()), "titles")
+        return clean_titles(numbered, title, stopwords, "_row", out, settings).drop("_row")
     static = df.select(key, F.posexplode(tx.title_words(F.col(title))).alias("_at", "word"))
     kept = static.join(stopwords.select("word"), "word", "left_anti").groupBy(key)
     joined = kept.agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "word"))), lambda s: s["word"]).alias("_w"))
@@ -67,13 +73,11 @@ def clean_titles(
     )
 
 
-def program_distribution(index: DataFrame, settings: Settings = DEFAULTS, limit: int | None = None) -> DataFrame:
-    rows = index.limit(limit) if limit else index
+def program_distribution(index: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     name = F.coalesce("program_studi", F.lit(settings.unknown_program)).alias("program_studi")
-    return rows.groupBy(name).agg(F.count("*").alias("n"))
+    return index.groupBy(name).agg(F.count("*").alias("n"))
 
 
-def year_distribution(index: DataFrame, limit: int | None = None) -> DataFrame:
-    rows = index.limit(limit) if limit else index
+def year_distribution(index: DataFrame) -> DataFrame:
     year: Column = F.col("tahun").cast("string").alias("tahun")
-    return rows.where(F.col("tahun") > 0).groupBy(year).agg(F.count("*").alias("n"))
+    return index.where(F.col("tahun") > 0).groupBy(year).agg(F.count("*").alias("n"))

@@ -22,6 +22,11 @@ from serupa.operators.encode import Encoder, encode_documents
 from serupa.operators.ingest import delete_key, last_per_key, metadata
 
 _FULL = ("replace", "compact")
+# Messages of an inconsistent load, after a replace and after a merge.
+LOAD_ERRORS = {
+    True: "Jumlah vector hasil reindex tidak konsisten (expected=%d, vector=%d).",
+    False: "Jumlah vector terindeks lebih kecil dari data yang diterima (received=%d, vector=%d).",
+}
 _ROWS = T.StructType([*schemas.INDEX.fields, T.StructField("op", T.StringType())])
 _COMMIT = schemas.schema_of(
     "commit BIGINT, kind STRING, source STRING, changed BIGINT, expected BIGINT, total BIGINT, at TIMESTAMP"
@@ -57,8 +62,11 @@ def apply_deletes(index: DataFrame, keys: DataFrame) -> DataFrame:
     return index.join(ids, "id", "left_anti")
 
 
-def page_of_ids(index: DataFrame, limit: int = 500, offset: int = 0) -> DataFrame:
-    return index.select("id").orderBy("id").offset(offset).limit(limit)
+def page_of_ids(index: DataFrame, limit: int = 500, offset: int = 0, after: str | None = None) -> DataFrame:
+    """One page of ids in order. ``after``, the last id of the page before, costs the same on every page;
+    ``offset`` sorts all rows before it as well."""
+    ids = index.select("id") if after is None else index.select("id").where(F.col("id") > after)
+    return ids.orderBy("id").offset(offset).limit(limit)
 
 
 def reconcile(received: DataFrame, index: DataFrame, replace: bool, key: str = "document_id") -> DataFrame:
@@ -77,16 +85,12 @@ def reconcile(received: DataFrame, index: DataFrame, replace: bool, key: str = "
 
 def load_error(expected, total, replace: bool):
     """Message when the index size contradicts the load: equality after a replace, at least as many after a merge."""
-    e, t = expected.cast("string"), total.cast("string")
-    if replace:
-        text = ("Jumlah vector hasil reindex tidak konsisten (expected=", e, ", vector=", t, ").")
-        bad = total != expected
-    else:
-        text = (
-            "Jumlah vector terindeks lebih kecil dari data yang diterima (received=", e, ", vector=", t, ")."
-        )
-        bad = total < expected
-    return F.when(bad, F.concat(*[F.lit(part) if isinstance(part, str) else part for part in text]))
+    bad = total != expected if replace else total < expected
+    return F.when(bad, F.format_string(LOAD_ERRORS[replace], expected, total))
+
+
+def _load_error(expected: int, total: int, replace: bool) -> str:
+    return LOAD_ERRORS[replace] % (expected, total)
 
 
 @dataclass
@@ -156,8 +160,11 @@ class IndexTable:
     def contains_source(self, source: str) -> bool:
         return any(c.source == source for c in self.commits())
 
-    def _commit(self, rows: DataFrame, kind: str, source: str | None, allow_empty: bool = False) -> int:
-        """Write rows, check the index they would give, then record the commit."""
+    def _commit(self, rows: DataFrame, kind: str, source: str | None, allow_empty: bool = False, expected: int | None = None) -> int:
+        """Write rows, check the index they would give as read back, then record the commit.
+
+        ``expected``: how many different ids were received; the written rows must hold as many.
+        """
         commits = self.commits()
         number = commits[-1].commit + 1 if commits else 1
         writer = rows.select(*_ROWS.names).write.mode("overwrite")
@@ -173,19 +180,26 @@ class IndexTable:
             total = saves
         else:
             total = saves + self.read().join(self._small(written.select("id"), changed), "id", "left_anti").count()
-        if kind != "squash" and (total != distinct if kind in _FULL else total < distinct):
-            raise InconsistentIndex(f"expected={distinct}, vector={total}")
+        wanted = distinct if expected is None else expected
+        if kind != "squash" and (saves != distinct or distinct != wanted or (total != wanted if kind in _FULL else total < wanted)):
+            raise InconsistentIndex(_load_error(wanted, total if kind in _FULL else min(total, distinct), kind in _FULL))
         record = [(number, kind, source, changed, distinct, total, datetime.now(timezone.utc))]
         self.spark.createDataFrame(record, _COMMIT).coalesce(1).write.mode("append").json(f"{self.path}/commits")
         return total
 
-    def replace(self, rows: DataFrame, source: str | None = None) -> int:
-        """Reset the index to exactly these rows (the last one of an id, by ``position`` if present)."""
-        return self._commit(self._latest(rows).withColumn("op", F.lit("upsert")), "replace", source)
+    def reject(self, rows: DataFrame, source: str) -> int:
+        """Write the rejected rows of a load below ``quarantine`` (a repeated load replaces them); how many they are."""
+        path = f"{self.path}/quarantine/{source}"
+        rows.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path).count()
+
+    def replace(self, rows: DataFrame, source: str | None = None, expected: int | None = None) -> int:
+        """Reset the index to exactly these rows (the last one of an id by ``position``)."""
+        return self._commit(self._latest(rows).withColumn("op", F.lit("upsert")), "replace", source, expected=expected)
 
-    def upsert(self, rows: DataFrame, source: str | None = None) -> int:
-        """Merge rows by id."""
-        return self._commit(self._latest(rows).withColumn("op", F.lit("upsert")), "merge", source)
+    def upsert(self, rows: DataFrame, source: str | None = None, expected: int | None = None) -> int:
+        """Merge rows by id (the last one of an id by ``position``)."""
+        return self._commit(self._latest(rows).withColumn("op", F.lit("upsert")), "merge", source, expected=expected)
 
     def delete(self, keys: DataFrame, source: str | None = None) -> int:
         """Delete by key; idempotent."""
@@ -208,7 +222,9 @@ class IndexTable:
 
     @staticmethod
     def _latest(rows: DataFrame) -> DataFrame:
-        return last_per_key(rows, "id", "position") if "position" in rows.columns else rows.dropDuplicates(["id"])
+        """The last row of each id: by ``position``, equal ones by title. Without that column ids must be unique;
+        repeated ids then fail the check of the commit instead of giving an arbitrary row."""
+        return last_per_key(rows, "id", "position", "document") if "position" in rows.columns else rows
 
 
 def _deletes(ids: DataFrame) -> DataFrame:

@@ -61,7 +61,7 @@ class JobLedger:
         self._append(
             one.select(
                 F.lit(job_id).alias("job_id"), F.lit("pending").alias("status"),
-                F.lit(total_received).alias("total_received"), F.lit(0).alias("total_processed"),
+                F.lit(total_received).alias("total_received"), F.lit(0).alias("total_processed"), F.lit(0).alias("rejected"),
                 F.lit(None).alias("error_message"), F.current_timestamp().alias("created_at"),
                 F.lit(None).alias("started_at"), F.lit(None).alias("completed_at"), F.lit(0).alias("seq"),
             )
@@ -78,13 +78,14 @@ class JobLedger:
             started_at=F.current_timestamp(), completed_at=none,
         )
 
-    def update_progress(self, job_id: str, processed: int) -> None:
-        self._change(job_id, total_processed=F.lit(processed))
+    def update_progress(self, job_id: str, processed: int, rejected: int = 0) -> None:
+        self._change(job_id, total_processed=F.lit(processed), rejected=F.lit(rejected))
 
     def mark_completed(self, job_id: str) -> None:
+        """All received rows were processed, but for the rejected ones."""
         self._change(
-            job_id, status=F.lit("completed"), total_processed=F.col("total_received"), error_message=F.lit(None),
-            completed_at=F.current_timestamp(),
+            job_id, status=F.lit("completed"), total_processed=F.col("total_received") - F.coalesce("rejected", F.lit(0)),
+            error_message=F.lit(None), completed_at=F.current_timestamp(),
         )
 
     def mark_failed(self, job_id: str, message: str) -> None:

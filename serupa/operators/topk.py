@@ -45,12 +45,13 @@ class _Side:
     types: np.ndarray
     top_k: np.ndarray | None = None
     exclude: np.ndarray | None = None
+    floor: np.ndarray | None = None
 
     def part(self, start: int, stop: int) -> _Side:
         cut = slice(start, stop)
         return replace(
             self, ids=self.ids[cut], unit=self.unit[cut], types=self.types[cut],
-            top_k=self.top_k[cut], exclude=self.exclude[cut],
+            top_k=self.top_k[cut], exclude=self.exclude[cut], floor=self.floor[cut],
         )
 
 
@@ -58,16 +59,17 @@ def _objects(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.array(column.to_pylist(), dtype=object)
 
 
-def _side(data: pa.Table | pa.RecordBatch, query: bool) -> _Side:
+def _side(data: pa.Table | pa.RecordBatch, query: bool, dim: int) -> _Side:
     # Rows without a vector are skipped here: a filter would be pushed down and compute every vector twice.
     if data.column("embedding").null_count:
         data = data.filter(data.column("embedding").is_valid())
     column = data.column("embedding")
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    rows = len(column)
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    raw = flat.reshape(rows, len(flat) // rows if rows else 0)
+    widths = np.diff(column.offsets.to_numpy())
+    if (widths != dim).any():
+        raise ValueError(f"vectors of width {dim} expected, found one of width {widths[widths != dim][0]}")
+    raw = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dim)
     norms = np.sqrt(np.square(raw).sum(axis=1, keepdims=True))
     unit = np.divide(raw, norms, out=np.zeros_like(raw), where=norms > 0)
     types = _objects(data.column("document_type"))
@@ -80,6 +82,7 @@ def _side(data: pa.Table | pa.RecordBatch, query: bool) -> _Side:
         data.column("top_k").to_numpy(zero_copy_only=False) if isinstance(data, pa.RecordBatch)
         else data.column("top_k").to_numpy(),
         _objects(data.column("exclude_id")),
+        data.column("floor").to_pandas().to_numpy(dtype=np.float64),
     )
 
 
@@ -118,11 +121,10 @@ def _in_id_order(c: _Side) -> _Side:
 class _Best:
     """Running best k per query over several corpus batches."""
 
-    def __init__(self, q: _Side, floor: float) -> None:
+    def __init__(self, q: _Side) -> None:
         self.q = q
         self.k = int(q.top_k.max(initial=1))
-        self.floor = np.full(len(q.ids), floor)
-        self.base = floor
+        self.floor = q.floor.copy()
         self.rows = pd.DataFrame({"row": pd.Series(dtype="int64"), "id": [], "cosine": pd.Series(dtype="float64")})
 
     def add(self, corpus: _Side) -> None:
@@ -146,7 +148,7 @@ class _Best:
         self.rows = rows[place < self.k]
         last = self.rows[place[place < self.k] == self.k - 1]
         at = last["row"].to_numpy(dtype="int64")
-        self.floor[at] = np.maximum(self.base, last["cosine"].to_numpy())
+        self.floor[at] = np.maximum(self.q.floor[at], last["cosine"].to_numpy())
 
     def table(self, schema: pa.Schema) -> pa.Table:
         at = self.rows["row"].to_numpy(dtype="int64")
@@ -169,7 +171,8 @@ def _out_schema(queries: DataFrame) -> tuple[str, pa.Schema]:
     return ddl, pa.schema([("query_id", id_type)])
 
 
-def _prepare(queries: DataFrame, corpus: DataFrame, k: int | None, settings: Settings):
+def _prepare(queries: DataFrame, corpus: DataFrame, k: int | None, settings: Settings) -> tuple[DataFrame, DataFrame, int, int]:
+    """Both sides, the number of queries and the largest ``top_k``."""
     have = set(queries.columns)
     top_k = F.lit(k) if k else F.col("top_k") if "top_k" in have else F.lit(settings.top_k_default)
     q = queries.select(
@@ -178,17 +181,22 @@ def _prepare(queries: DataFrame, corpus: DataFrame, k: int | None, settings: Set
         F.coalesce(top_k.cast("int"), F.lit(settings.top_k_default)).alias("top_k"),
         (F.col("document_type") if "document_type" in have else F.lit(None)).cast("string").alias("document_type"),
         (F.col("exclude_id") if "exclude_id" in have else F.lit(None)).cast("string").alias("exclude_id"),
+        F.coalesce((F.col("floor") if "floor" in have else F.lit(None)).cast("double"), F.lit(NO_FLOOR)).alias("floor"),
     )
     c_type = F.col("document_type") if "document_type" in corpus.columns and "document_type" in have else F.lit(None)
     c = corpus.select("id", "embedding", c_type.cast("string").alias("document_type"))
-    return q, c
+    typed = F.coalesce("document_type", F.lit(""))
+    count, most, types = q.agg(F.count("*"), F.max("top_k"), F.slice(F.collect_set(F.when(typed != "", typed)), 1, 100)).first()
+    if "document_type" in have and "document_type" in corpus.columns and types and len(types) < 100 and not q.where(typed == "").limit(1).count():
+        c = c.where(F.col("document_type").isin(types))  # a stored index then reads those partitions only
+    return q, c, count, most or 1
 
 
-def _final(found: DataFrame, settings: Settings, limit: int | None) -> DataFrame:
+def _final(found: DataFrame, limit: int) -> DataFrame:
+    """Best ``top_k`` of each query; ``limit`` is the largest of them."""
     best = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id")
     ranked = found.withColumn("semantic_rank", F.row_number().over(best))
-    cap = limit or settings.top_k_max
-    return ranked.where((F.col("semantic_rank") <= cap) & (F.col("semantic_rank") <= F.col("top_k"))).drop("top_k")
+    return ranked.where((F.col("semantic_rank") <= limit) & (F.col("semantic_rank") <= F.col("top_k"))).drop("top_k")
 
 
 def topk_cosine(
@@ -196,36 +204,42 @@ def topk_cosine(
     corpus: DataFrame,
     dim: int,
     k: int | None = None,
-    floor: float = NO_FLOOR,
     settings: Settings = DEFAULTS,
 ) -> DataFrame:
     """Exact best ``top_k`` corpus rows of each query: ``query_id, id, cosine, semantic_rank``.
 
-    ``queries``: query_id, embedding and optionally top_k, document_type (null: any), exclude_id.
-    ``corpus``: id, embedding and optionally document_type. Pairs below ``floor`` are left out.
+    ``queries``: query_id, embedding and optionally top_k, document_type (null: any), exclude_id and floor,
+    the lowest cosine of interest to the query. ``corpus``: id, embedding and optionally document_type.
+    All vectors have ``dim`` elements; others raise.
     """
-    q, c = _prepare(queries, corpus, k, settings)
-    if q.count() * dim * 8 <= settings.broadcast_bytes:
-        return _final(_scan_with_broadcast(q, c, floor), settings, k)
+    q, c, count, most = _prepare(queries, corpus, k, settings)
+    if count * _bytes_per_query(q, dim) <= settings.broadcast_bytes:
+        return _final(_scan_with_broadcast(q, c, dim), most)
     rows = c.count()  # before copies are dropped: an upper bound is enough to size tiles
-    return _without_copies(q, c, lambda qs, cs: _tiled(qs, cs, rows, floor, settings), settings, k)
+    return _without_copies(q, c, lambda qs, cs: _tiled(qs, cs, dim, count, rows, settings), most)
 
 
-def _scan_with_broadcast(q: DataFrame, c: DataFrame, floor: float) -> DataFrame:
+def _bytes_per_query(q: DataFrame, dim: int) -> int:
+    """The vector and the widest id, type and excluded id."""
+    texts = [F.octet_length(F.col(c).cast("string")) for c in ("query_id", "document_type", "exclude_id")]
+    return dim * 8 + 32 + (q.agg(F.max(sum(F.coalesce(t, F.lit(0)) for t in texts))).first()[0] or 0)
+
+
+def _scan_with_broadcast(q: DataFrame, c: DataFrame, dim: int) -> DataFrame:
     ddl, schema = _out_schema(q)
-    block = _side(q.toArrow(), query=True)  # bounded: the caller checked count * dim
+    block = _side(q.toArrow(), True, dim)  # bounded: the caller checked its bytes
     shared = q.sparkSession.sparkContext.broadcast(block)
 
     def scan(batches):
-        best = _Best(shared.value, floor)
+        best = _Best(shared.value)
         for batch in batches:
-            best.add(_side(batch, query=False))
+            best.add(_side(batch, False, dim))
         yield from best.table(schema).to_batches()
 
     return c.mapInArrow(scan, ddl)
 
 
-def _meet(q: DataFrame, c: DataFrame, keys: list[str], tasks: int, floor: float) -> DataFrame:
+def _meet(q: DataFrame, c: DataFrame, keys: list[str], tasks: int, dim: int) -> DataFrame:
     """Best k per query inside each group of equal keys; groups are bounded by the caller.
 
     The task count is set here: the work per byte is high, so sizing tasks by shuffle bytes would not do.
@@ -233,8 +247,8 @@ def _meet(q: DataFrame, c: DataFrame, keys: list[str], tasks: int, floor: float)
     ddl, schema = _out_schema(q)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        best = _Best(_side(left, query=True), floor)
-        best.add(_side(right, query=False))
+        best = _Best(_side(left, True, dim))
+        best.add(_side(right, False, dim))
         return best.table(schema)
 
     tasks = min(max(tasks, q.sparkSession.sparkContext.defaultParallelism), _MAX_TASKS)
@@ -246,35 +260,36 @@ def _tile(key: str, tiles) -> F.Column:
     return F.pmod(F.xxhash64(key), tiles).cast("int")
 
 
-def _without_copies(q: DataFrame, c: DataFrame, search, settings: Settings, limit: int | None) -> DataFrame:
+def _without_copies(q: DataFrame, c: DataFrame, search, limit: int) -> DataFrame:
     """Search distinct query vectors among the first ids of equal corpus vectors, then give every query its hits."""
-    cap = (limit or settings.top_k_max) + 1
+    cap = limit + 1  # one of them may be excluded
     q = stage(q.withColumn("document_type", F.coalesce("document_type", F.lit(""))), "queries")
     same = ["embedding", "document_type"]
     groups = q.groupBy(*same).agg(
-        F.min("query_id").alias("query_id"), (F.max("top_k") + 1).alias("top_k"), F.count("*").alias("uses")
+        F.min("query_id").alias("query_id"), (F.max("top_k") + 1).alias("top_k"), F.min("floor").alias("floor"),
+        F.count("*").alias("uses"),
     )
     groups = stage(groups, "query-groups")
     firsts = Window.partitionBy(*same).orderBy("id")
     kept = c.withColumn("copy", F.row_number().over(firsts)).where(F.col("copy") <= cap).drop("copy")
     found = search(groups.withColumn("exclude_id", F.lit(None).cast("string")), kept)
-    best = _final(found, settings, cap)
+    best = _final(found, cap)
     lists = best.groupBy("query_id").agg(F.collect_list(F.struct("cosine", "id")).alias("hits"))  # at most k + 1
     answers = groups.select("query_id", *same, "uses").join(lists, "query_id").drop("query_id")
     hits = join_unique(q, answers, same, "uses").select(
-        "query_id", "top_k", "exclude_id", F.inline("hits").alias("cosine", "id")
+        "query_id", "top_k", "exclude_id", "floor", F.inline("hits").alias("cosine", "id")
     )
-    others = hits.where(F.col("exclude_id").isNull() | (F.col("id") != F.col("exclude_id"))).drop("exclude_id")
-    return _final(others, settings, limit)
+    own = F.coalesce(F.col("id") == F.col("exclude_id"), F.lit(False))
+    return _final(hits.where(~own & (F.col("cosine") >= F.col("floor"))).drop("exclude_id", "floor"), limit)
 
 
-def _tiled(q: DataFrame, c: DataFrame, rows: int, floor: float, settings: Settings) -> DataFrame:
-    q_tiles = max(1, -(-q.count() // settings.tile_rows))
+def _tiled(q: DataFrame, c: DataFrame, dim: int, count: int, rows: int, settings: Settings) -> DataFrame:
+    q_tiles = max(1, -(-count // settings.tile_rows))
     c_tiles = max(1, -(-rows // settings.tile_rows))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     q_side = q.withColumn("q_tile", _tile("query_id", F.lit(q_tiles))).withColumn("c_tile", every(c_tiles))
     c_side = c.withColumn("c_tile", _tile("id", F.lit(c_tiles))).withColumn("q_tile", every(q_tiles))
-    return _meet(q_side, c_side, ["q_tile", "c_tile"], q_tiles * c_tiles, floor)
+    return _meet(q_side, c_side, ["q_tile", "c_tile"], q_tiles * c_tiles, dim)
 
 
 def _signatures(dim: int, bands: int, bits: int, seed: int):
@@ -298,19 +313,17 @@ def topk_cosine_lsh(
     dim: int,
     k: int | None = None,
     bands: int = 16,
-    bits: int | None = None,
+    bits: int = 3,
     seed: int = 7,
-    floor: float = NO_FLOOR,
     settings: Settings = DEFAULTS,
 ) -> DataFrame:
     """Approximate top-k: exact cosines of all rows that share at least one band code with the query.
 
-    ``bits`` per band grow with the corpus by default, so that the mean bucket keeps its size.
+    Recall depends on ``bands`` and ``bits`` alone, never on the size of the corpus: a pair at angle a meets with
+    chance 1 - (1 - (1 - a / pi) ** bits) ** bands. Each bit more halves the work and costs recall.
     """
-    q, c = _prepare(queries, corpus, k, settings)
+    q, c, _, most = _prepare(queries, corpus, k, settings)
     rows = c.count()
-    if bits is None:
-        bits = max(3, (rows // 512).bit_length())
 
     def search(qs: DataFrame, cs: DataFrame) -> DataFrame:
         banded = _signatures(dim, bands, bits, seed)
@@ -321,10 +334,10 @@ def topk_cosine_lsh(
         qs = qs.withColumn("c_tile", F.explode(F.sequence(F.lit(0), F.col("c_tiles") - 1)))
         cs = _join_tiles(cs, tiles, settings).withColumn("c_tile", _tile("id", F.col("c_tiles")))
         cs = cs.withColumn("q_tile", F.explode(F.sequence(F.lit(0), F.col("q_tiles") - 1)))
-        found = _meet(qs, cs, ["band", "code", "q_tile", "c_tile"], bands * rows // settings.tile_rows, floor)
+        found = _meet(qs, cs, ["band", "code", "q_tile", "c_tile"], bands * rows // settings.tile_rows, dim)
         return found.groupBy("query_id", "id").agg(F.max("cosine").alias("cosine"), F.max("top_k").alias("top_k"))
 
-    return _without_copies(q, c, search, settings, k)
+    return _without_copies(q, c, search, most)
 
 
 def _bucket_tiles(q: DataFrame, c: DataFrame, settings: Settings) -> DataFrame | None:

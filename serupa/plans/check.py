@@ -39,14 +39,14 @@ def parse_hit_id(document_id: Column, stored_type: Column, settings: Settings =
     )
 
 
-def semantic_floor(threshold: float, settings: Settings = DEFAULTS) -> float:
+def semantic_floor(threshold: Column, settings: Settings = DEFAULTS) -> Column:
     """Lowest cosine a hit can have when its hybrid score reaches ``threshold``.
 
     The lexical part gives at most its weight, and the two roundings to 4 decimals at most 5e-5 each.
     Leaving out pairs below cannot change a rank either: whatever outranks a hit is above the floor too.
     """
     if settings.hybrid_semantic <= 0:
-        return NO_FLOOR
+        return F.lit(NO_FLOOR)
     return (threshold - 1e-4 - settings.hybrid_lexical) / settings.hybrid_semantic - 1e-4
 
 
@@ -69,11 +69,12 @@ def similarity_hits(
     cleaned = queries.withColumn("_clean", tx.clean_title(F.col("judul"), dynamic))
     if "embedding" not in queries.columns:
         cleaned = encode_texts(cleaned, "_clean", encoder)
-    lowest = queries.agg(F.min("threshold"), F.count("*"), F.max("top_k")).first()
-    floor = NO_FLOOR if lowest[0] is None else semantic_floor(lowest[0], settings)
+    count, distinct, most = queries.agg(F.count("*"), F.countDistinct("query_id"), F.max("top_k")).first()
+    if distinct < count:
+        raise ValueError("query_id must be unique and not null")
     search = topk_cosine_lsh if approximate else topk_cosine
-    found = search(cleaned, index, encoder.dim, floor=floor, settings=settings)
-    bounded = lowest[1] * (lowest[2] or 1) <= settings.broadcast_rows
+    found = search(cleaned.withColumn("floor", semantic_floor(F.col("threshold"), settings)), index, encoder.dim, settings=settings)
+    bounded = count * (most or 1) <= settings.broadcast_rows
     titles = index.select("id", "document", "document_id", "document_type")
     words = scoring.word_set(tx.clean_title(F.col("document"), dynamic))
     if bounded:  # all hits of a document in one small row, so that each text is cleaned once, inside the scan

@@ -36,9 +36,10 @@ def bulk_load(
 ) -> LoadResult:
     """Validate, encode and commit a table of raw documents; ``position`` in ``raw`` orders equal ids.
 
-    ``raw`` is read several times and should be a stored table. The ledger shows the job as pending,
-    processing and completed or failed. A failed load leaves the index as it was. Stopwords are
-    computed anew only after a completed one.
+    ``raw`` is read several times and should be a stored table. Rejected rows are written, with their
+    errors, to ``quarantine/<job_id>`` beside the index. The index as read back must hold every valid id
+    that was received. The ledger shows the job as pending, processing and completed or failed. A failed
+    load leaves the index as it was. Stopwords are computed anew only after a completed one.
     """
     received = raw.count()
     if not received:
@@ -49,14 +50,15 @@ def bulk_load(
         valid, quarantine = ingest(raw, settings)
         carry = ("position",) if "position" in raw.columns else ()
         rows = index_rows(valid, encoder, dynamic, settings, carry)
-        total = (index.replace if reset_index else index.upsert)(rows, source=job_id)
-        rejected = quarantine.count()
-        ledger.update_progress(job_id, received - rejected)
+        rejected = index.reject(quarantine, job_id)
+        expected = valid.agg(F.countDistinct("document_id")).first()[0]
+        total = (index.replace if reset_index else index.upsert)(rows, source=job_id, expected=expected)
+        ledger.update_progress(job_id, received - rejected, rejected)
+        words = corpus.dynamic_stopwords(corpus.titles(index.read()), settings=settings)
         ledger.mark_completed(job_id)
     except Exception as error:
         ledger.mark_failed(job_id, str(error))
         raise
-    words = corpus.dynamic_stopwords(corpus.titles(index.read()), settings=settings)
     return LoadResult("completed", received, rejected, total, words)
 
 

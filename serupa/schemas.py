@@ -50,6 +50,6 @@ PAIR = schema_of("no BIGINT, judul_a STRING, judul_b STRING, label INT")
 PREDICTION_COLUMNS = ["no", "judul_a", "judul_b", "label", "score", "semantic_score", "lexical_score", "level"]
 METRIC_COLUMNS = ["threshold", "tp", "fp", "fn", "tn", "precision", "recall", "f1", "accuracy"]
 JOB = schema_of(
-    "job_id STRING, status STRING, total_received BIGINT, total_processed BIGINT, error_message STRING, "
+    "job_id STRING, status STRING, total_received BIGINT, total_processed BIGINT, rejected BIGINT, error_message STRING, "
     "created_at TIMESTAMP, started_at TIMESTAMP, completed_at TIMESTAMP"
 )

@@ -28,22 +28,23 @@ def read_export(spark: SparkSession, path: str, lines: bool = False) -> DataFram
     return spark.read.schema(schemas.EXPORT_RECORD).option("multiLine", True).json(path)
 
 
-def to_payloads(docs: DataFrame, group: Column, reset_index: bool = False) -> DataFrame:
-    """``batch, payload``: documents of a bounded group as one ingest payload."""
+def to_payloads(docs: DataFrame, group: Column, reset_index: bool = False, order: Column | None = None) -> DataFrame:
+    """``batch, payload``: documents of a bounded group as one ingest payload, in ``order`` (default: their ids)."""
     item = F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.DOC.fields])
-    rows = docs.select(group.alias("batch"), item.alias("item"))
+    place = (F.col("document_id") if order is None else order).alias("place")
+    rows = docs.select(group.alias("batch"), F.struct(place, item.alias("item")).alias("placed"))
     body = F.struct(F.col("data"), F.lit(reset_index).alias("reset_index"))
-    return rows.groupBy("batch").agg(F.collect_list("item").alias("data")).select(
+    return rows.groupBy("batch").agg(F.transform(F.array_sort(F.collect_list("placed")), lambda p: p["item"]).alias("data")).select(
         "batch", F.to_json(body, {"ignoreNullFields": "false"}).alias("payload")
     )
 
 
 def from_payloads(payloads: DataFrame, column: str = "payload") -> DataFrame:
-    """Documents and ``reset_index`` of payloads; a bare list is the old form and never resets."""
+    """Documents, their ``position`` in the payload and ``reset_index``; a bare list is the old form and never resets."""
     text = F.col(column)
     whole = F.when(text.rlike(r"^\s*\["), F.concat(F.lit('{"data":'), text, F.lit("}"))).otherwise(text)
     others = [c for c in payloads.columns if c != column]
     # One generated row per payload keeps the parsed body from being parsed again per field.
     bodies = payloads.select(*others, F.inline(F.array(F.from_json(whole, _PAYLOAD))))
-    rows = bodies.select(*others, F.coalesce("reset_index", F.lit(False)).alias("reset_index"), F.inline("data"))
-    return rows.select(*others, "reset_index", *schemas.DOC.names)
+    rows = bodies.select(*others, F.coalesce("reset_index", F.lit(False)).alias("reset_index"), F.posexplode("data").alias("position", "item"))
+    return rows.select(*others, "reset_index", "position", "item.*")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from serupa import schemas
 from serupa.sources.builtin_pairs import PAIRS
@@ -15,8 +16,15 @@ def builtin_pairs(spark: SparkSession) -> DataFrame:
 
 
 def read_pairs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Labelled pairs of a JSON file; they must carry their number ``no`` (a file has no row order in Spark)."""
-    return spark.read.schema(schemas.PAIR).option("multiLine", not lines).json(path)
+    """Labelled pairs of one JSON array, numbered by their place in it.
+
+    With ``lines`` any number of JSON Lines files, whose pairs must carry their number ``no``: lines have no order in Spark.
+    """
+    if lines:
+        return spark.read.schema(schemas.PAIR).json(path)
+    text = spark.read.text(path, wholetext=True)
+    pairs = text.select(F.posexplode(F.from_json("value", T.ArrayType(schemas.PAIR))).alias("place", "pair"))
+    return pairs.select((F.col("place") + 1).cast("bigint").alias("no"), "pair.judul_a", "pair.judul_b", "pair.label")
 
 
 def write_metrics(path: str, pairs: int, target: DataFrame, best: DataFrame, swept: DataFrame,
@@ -40,4 +48,5 @@ def write_metrics(path: str, pairs: int, target: DataFrame, best: DataFrame, swe
     ordered.write.mode("overwrite").option("header", True).csv(f"{path}/threshold_sweep")
     # Sorted by number across files; the detail rows stay out of the single JSON document.
     detail = predictions.select(*schemas.PREDICTION_COLUMNS).repartitionByRange("no").sortWithinPartitions("no")
-    detail.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{path}/predictions")
+    exact = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    detail.write.mode("overwrite").options(**exact).csv(f"{path}/predictions")

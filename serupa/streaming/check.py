@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,7 +16,7 @@ from serupa.session import stage
 
 def start_checks(
     titles: DataFrame,
-    index: DataFrame,
+    index: DataFrame | Callable[[], DataFrame],
     encoder: Encoder,
     output: str,
     checkpoint: str,
@@ -24,12 +26,16 @@ def start_checks(
 ) -> StreamingQuery:
     """Check every micro-batch of queries against the index and write its hits as ``output/batch=<n>``.
 
-    A replayed batch overwrites its own folder. Top-k needs whole query batches, hence foreachBatch.
+    ``index`` may be a callable, such as ``IndexTable.read``: each batch then sees the index of its time.
+    Rejected titles go to ``output_rejected/batch=<n>`` with their errors. A replayed batch overwrites its
+    own folders. Top-k needs whole query batches, hence foreachBatch.
     """
 
     def check(batch: DataFrame, batch_id: int) -> None:
-        valid, _ = split_valid(check_queries(batch, settings))
-        hits = similarity_check(stage(valid, "queries"), index, encoder, dynamic, settings)
+        valid, rejected = split_valid(check_queries(batch, settings))
+        rejected.write.mode("overwrite").parquet(f"{output}_rejected/batch={batch_id}")
+        now = index() if callable(index) else index
+        hits = similarity_check(stage(valid, "queries"), now, encoder, dynamic, settings)
         hits.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
 
     return (

@@ -24,9 +24,11 @@ log = logging.getLogger(__name__)
 class SyncStream:
     """Applies batches of changes: ``op`` (upsert or delete), ``event_time`` and document columns.
 
-    Within a batch the newest event per document wins. A change older than one that was applied before
-    is ignored, deletes included, so late data cannot undo newer data. The applied times are kept
-    beside the index, one small table per batch, folded together with the index.
+    Within a batch the newest event per document wins; of equal times the higher ``sequence`` (0 if the feed has
+    none), then the later title. A change older than one that was applied before is ignored, deletes included,
+    so late data cannot undo newer data; one of the same time and sequence is applied. The applied times are kept
+    beside the index, one small table per batch, folded together with the index. Rejected rows are written to
+    the index's quarantine.
 
     After ``squash_every`` batches the changes are folded into one commit. Once they exceed a tenth of
     the index, a new full index is written, so that its cost is spread over that many changes.
@@ -45,10 +47,7 @@ class SyncStream:
         """Recompute the dynamic stopwords; a failure keeps the old ones and never fails a load."""
         try:
             current = corpus.dynamic_stopwords(corpus.titles(self.index.read()), settings=self.settings)
-            words = corpus.inline_words(current, self.settings)
-            if words is None:  # cannot happen with validated titles: at most title length / 4 / stopword_df words
-                raise RuntimeError("more dynamic stopwords than titles of this length can have")
-            self.words = words
+            self.words = corpus.inline_words(current)
         except Exception:
             log.exception("dynamic stopwords not refreshed")
 
@@ -70,9 +69,9 @@ class SyncStream:
             return changes
         if rows <= self.settings.broadcast_rows:  # few changes: cut the history down to them without a shuffle
             seen = seen.join(F.broadcast(changes.select("id")), "id", "left_semi")
-        last = seen.groupBy("id").agg(F.max("event_time").alias("_seen"))
+        last = seen.groupBy("id").agg(F.max(F.struct("event_time", "sequence")).alias("_seen"))
         joined = changes.join(last, "id", "left")
-        return joined.where(F.col("_seen").isNull() | (F.col("event_time") > F.col("_seen"))).drop("_seen")
+        return joined.where(F.col("_seen").isNull() | (F.struct("event_time", "sequence") >= F.col("_seen"))).drop("_seen")
 
     def _fold(self) -> None:
         size, changed, commits = self.index.pending()
@@ -80,7 +79,7 @@ class SyncStream:
         if commits < self.squash_every and not (large and size):
             return
         folded = f"{self.FOLDED}folded/{self.index.commits()[-1].commit + 1}"
-        last = self._seen().groupBy("id").agg(F.max("event_time").alias("event_time"))
+        last = self._seen().groupBy("id").agg(F.max(F.struct("event_time", "sequence")).alias("t")).select("id", "t.*")
         last.write.mode("overwrite").parquet(f"{self.index.path}/{folded}")
         (self.index.compact if large else self.index.squash)(folded)
 
@@ -104,14 +103,18 @@ class SyncStream:
             self.ledger.mark_completed(source)
 
     def _apply(self, feed: DataFrame, received: int, source: str) -> None:
-        saves, _ = ingest(feed.where("op <> 'delete'"), self.settings)
+        if "sequence" not in feed.columns:
+            feed = feed.withColumn("sequence", F.lit(0))
+        feed = feed.withColumn("sequence", F.col("sequence").cast("bigint"))
+        saves, rejected = ingest(feed.where("op <> 'delete'"), self.settings)
+        self.index.reject(rejected, source)
         saves = saves.withColumn("id", F.col("document_id"))
         drops = feed.where("op = 'delete'").withColumn("id", delete_key(F.col("document_id"), self.settings))
         both = saves.unionByName(drops, allowMissingColumns=True)
-        latest = stage(self._newer(last_per_key(both, "id", "event_time"), received), "changes")
+        latest = stage(self._newer(last_per_key(both, "id", "event_time", "sequence", "judul"), received), "changes")
         saved = latest.where("op <> 'delete'")
         rows = index_rows(saved.drop("id"), self.encoder, self.words, self.settings).select(*schemas.INDEX.names)
-        latest.select("id", "event_time").write.mode("overwrite").parquet(f"{self.index.path}/times/{source}")
+        latest.select("id", "event_time", "sequence").write.mode("overwrite").parquet(f"{self.index.path}/times/{source}")
         self.index.change(rows, latest.where("op = 'delete'").select("id"), source)
         self._fold()
         if not saved.isEmpty():  # deletes alone keep the stopwords

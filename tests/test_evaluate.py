@@ -71,5 +71,8 @@ def test_reports(spark, tmp_path):
 
 def test_read_pairs(spark, tmp_path):
     path = tmp_path / "pairs.json"
-    path.write_text(json.dumps([{"no": 1, "judul_a": "a", "judul_b": "b", "label": 1}]))
-    assert [tuple(r) for r in read_pairs(spark, str(path)).collect()] == [(1, "a", "b", 1)]
+    path.write_text(json.dumps([{"judul_a": "a", "judul_b": "b", "label": 1}, {"judul_a": "c", "judul_b": "d", "label": 0}]))
+    assert [tuple(r) for r in read_pairs(spark, str(path)).collect()] == [(1, "a", "b", 1), (2, "c", "d", 0)]
+    lines = tmp_path / "pairs.jsonl"
+    lines.write_text(json.dumps({"no": 7, "judul_a": "a", "judul_b": "b", "label": 1}))
+    assert [tuple(r) for r in read_pairs(spark, str(lines), lines=True).collect()] == [(7, "a", "b", 1)]

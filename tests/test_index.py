@@ -79,6 +79,22 @@ def test_failed_load_stays_invisible(spark, monkeypatch):
     assert state(table) == {("skripsi_1", "judul satu", "skripsi")}
 
 
+def test_repeated_ids_need_a_position(spark, table):
+    twice = rows(spark, ("skripsi_2", "skripsi", "judul b", 2020, 7), ("skripsi_2", "skripsi", "judul a", 2020, 7))
+    table.upsert(twice)
+    assert state(table) == {("skripsi_2", "judul b", "skripsi")}  # of equal positions the later title
+    with pytest.raises(InconsistentIndex):
+        table.upsert(twice.drop("position"))
+
+
+def test_rows_lost_before_the_write_are_noticed(spark, table):
+    one = rows(spark, ("skripsi_1", "skripsi", "judul satu", 2020, 1))
+    for load in (table.replace, table.upsert):
+        with pytest.raises(InconsistentIndex, match="=2, vector=1"):
+            load(one, expected=2)
+    assert table.count() == 0 and table.upsert(one, expected=1) == 1
+
+
 def test_reconcile(spark):
     ids = lambda n: spark.range(n).select(F.col("id").cast("string").alias("document_id"))
     cases = [(True, 5, 5, True), (True, 5, 4, False), (False, 5, 5, True), (False, 5, 9, True), (False, 5, 4, False)]
@@ -92,6 +108,7 @@ def test_reconcile(spark):
 def test_pages_of_ids(spark):
     index = spark.range(7).select(F.concat(F.lit("d"), "id").alias("id"))
     assert [r.id for r in ix.page_of_ids(index, 3, 2).collect()] == ["d2", "d3", "d4"]
+    assert [r.id for r in ix.page_of_ids(index, 3, after="d1").collect()] == ["d2", "d3", "d4"]
 
 
 def test_stats(spark):
@@ -114,7 +131,8 @@ def test_bulk_load(spark):
     assert (result.received, result.quarantined, result.total_indexed) == (2, 1, 1)
     assert {r.word for r in result.stopwords.collect()} == {"deteksi", "padi"}
     job = ledger.find("j1").first()
-    assert (job.status, job.total_received, job.total_processed, job.error_message) == ("completed", 2, 2, None)
+    assert (job.status, job.total_received, job.total_processed, job.rejected, job.error_message) == ("completed", 2, 1, 1, None)
+    assert [r.errors for r in spark.read.parquet(f"{table.path}/quarantine/j1").collect()] == [["judul_too_short"]]
     assert job.created_at <= job.started_at <= job.completed_at
     with pytest.raises(EmptyInput):
         bulk_load("j2", raw.where("false"), table, ledger, ENC)
@@ -151,6 +169,7 @@ def test_sync_batches(spark, share, folding):
     sync.apply(first, 0)
     assert {(r.id, r.document) for r in table.read().collect()} == {("skripsi_1", "judul baru"), ("skripsi_2", "judul dua")}
     assert sync.words == ["baru", "dua", "judul"]
+    assert [r.judul for r in spark.read.parquet(f"{table.path}/quarantine/stream/sync/0").collect()] == ["x"]
     commits = len(table.commits())
     sync.apply(first, 0)  # a replayed batch
     assert len(table.commits()) == commits
@@ -182,6 +201,18 @@ def test_failed_refresh_keeps_stopwords(spark, monkeypatch):
     assert sync.words == ["lama"] and table.count() == 1
 
 
+def test_changes_of_the_same_time(spark):
+    table = IndexTable(spark, scratch_path(spark, "index"))
+    sync = SyncStream(table, ENC)
+    same = lambda title, seq: changes(spark, ("upsert", 1, title, 10)).withColumn("sequence", F.lit(seq))
+    sync.apply(same("judul satu", 1).unionByName(same("judul dua", 2)), 0)
+    assert [r.document for r in table.read().collect()] == ["judul dua"]
+    sync.apply(same("judul tua", 1), 1)
+    assert [r.document for r in table.read().collect()] == ["judul dua"]
+    sync.apply(same("judul tiga", 3), 2)
+    assert [r.document for r in table.read().collect()] == ["judul tiga"]
+
+
 def test_sync_stream_restarts(spark):
     root = scratch_path(spark, "feed")
     batch = changes(spark, ("upsert", 1, "judul satu", 10), ("upsert", 2, "judul dua", 10))
@@ -208,3 +239,17 @@ def test_stream_check(spark):
     run_available(lambda: start_checks(feed, index, ENC, out, scratch_path(spark, "checkpoint")))
     got = spark.read.parquet(out).collect()
     assert [(r.query_id, r.id, r.level) for r in got] == [(1, "skripsi_1", "SANGAT TINGGI")]
+    assert [(r.query_id, r.errors) for r in spark.read.parquet(f"{out}_rejected").collect()] == [(2, ["judul_too_short"])]
+
+
+def test_stream_check_sees_commits(spark):
+    table = IndexTable(spark, scratch_path(spark, "index"))
+    table.upsert(rows(spark, ("skripsi_1", "skripsi", "deteksi penyakit padi", 2020, 1)))
+    root, out, checkpoint = (scratch_path(spark, n) for n in ("queries", "hits", "checkpoint"))
+    feed = lambda: spark.readStream.schema(schemas.QUERY).parquet(root)
+    for i, extra in enumerate((None, "deteksi penyakit jagung")):
+        if extra:
+            table.upsert(rows(spark, ("skripsi_2", "skripsi", extra, 2020, 1)))
+        spark.createDataFrame([(i, "Deteksi penyakit jagung", 5, 0.9, None)], schemas.QUERY).write.mode("append").parquet(root)
+        run_available(lambda: start_checks(feed(), table.read, ENC, out, checkpoint))
+    assert [(r.query_id, r.id) for r in spark.read.parquet(out).collect()] == [(1, "skripsi_2")]

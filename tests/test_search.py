@@ -62,7 +62,7 @@ def result(found):
 def test_topk_equals_brute_force(spark, settings, floor):
     corpus, raw = vectors(spark)
     queries, rows = asked(spark, raw)
-    got = result(topk_cosine(queries, corpus, DIM, floor=floor, settings=settings))
+    got = result(topk_cosine(queries.withColumn("floor", F.lit(floor)), corpus, DIM, settings=settings))
     want = brute(raw, [(q, np.array(v), k, t, x) for q, v, k, t, x in rows], floor)
     assert got == want
 
@@ -87,6 +87,51 @@ def test_rows_without_vector_are_skipped(spark):
     assert [r.id for r in topk_cosine_lsh(queries, corpus, 2, k=3).collect()] == ["b"]
 
 
+def test_widths_are_checked(spark):
+    corpus = spark.createDataFrame([("a", [0.0, 1.0]), ("b", [0.0, 0.0, 1.0, 0.0]), ("c", [1.0, 0.0, 0.0])], "id STRING, embedding ARRAY<FLOAT>")
+    queries = spark.createDataFrame([("q", [1.0, 0.0, 0.0])], "query_id STRING, embedding ARRAY<FLOAT>")
+    for settings in (Settings(), Settings(broadcast_bytes=0)):
+        with pytest.raises(Exception, match="width 3 expected"):
+            topk_cosine(queries, corpus, 3, k=1, settings=settings).collect()
+
+
+def test_no_cap_on_k_and_a_floor_per_query(spark):
+    corpus, raw = vectors(spark)
+    queries, rows = asked(spark, raw, 12)
+    wide = queries.withColumns({"top_k": F.lit(70) + F.col("query_id") % 7, "floor": F.when(F.col("query_id") % 2 == 0, 0.2)})
+    want = set()
+    for q, v, _, t, x in rows:
+        want |= brute(raw, [(q, np.array(v), 70 + q % 7, t, x)], 0.2 if q % 2 == 0 else -2.0)
+    for settings in (Settings(), Settings(broadcast_bytes=0, tile_rows=37)):
+        assert result(topk_cosine(wide, corpus, DIM, settings=settings)) == want
+
+
+@pytest.mark.parametrize("n", [300, 1200, 4000])
+def test_recall_of_hash_buckets_does_not_depend_on_size(spark, n):
+    rng = np.random.default_rng(n)
+    raw = rng.standard_normal((n, 32))
+    rows = [(i, f"d{i}", [float(x) for x in raw[i]]) for i in range(n)]
+    corpus = spark.createDataFrame(rows, "query_id BIGINT, id STRING, embedding ARRAY<FLOAT>").repartition(4)
+    queries = corpus.where(F.col("query_id") % (n // 50) == 0).select("query_id", "embedding")
+    found, want = (result(search(queries, corpus, 32, k=5)) for search in (topk_cosine_lsh, topk_cosine))
+    assert len({x[:2] for x in found} & {x[:2] for x in want}) / len(want) > 0.95
+
+
+def test_repeated_query_ids_are_refused(spark):
+    with pytest.raises(ValueError, match="unique"):
+        similarity_check(ask(spark, (1, "Deteksi", 5, 0.5, None), (1, "Padi", 5, 0.5, None)), small_index(spark), HashEncoder())
+
+
+def test_model_runs_in_one_job_of_its_own(spark):
+    rows = [(f"skripsi_{i}", "skripsi", ["judul sama", f"judul {i}"][i % 2], "abstrak sama" if i % 3 else None, f"kata {i % 4}") for i in range(400)]
+    docs = documents(spark, rows)
+    many = encode_documents(docs, count_encoder())
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 3 and "ArrowEvalPython" not in plan
+    got = {r.document_id: r.embedding for r in many.collect()}
+    assert len(got) == 400 and got["skripsi_4"] == got["skripsi_16"] and got["skripsi_1"] is not None
+
+
 def test_empty_sides(spark):
     corpus, _ = vectors(spark)
     none = corpus.where("false")

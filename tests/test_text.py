@@ -103,8 +103,15 @@ def test_many_stopwords_are_joined(spark):
     want = {1: "deteksi sawah", 2: "Padi", 3: "", 4: "jagung"}
     assert {r.k: r.clean for r in few.collect()} == want
     assert {r.k: r.clean for r in many.collect()} == want
-    with pytest.raises(ValueError):
-        corpus.clean_titles(docs, "t", words, settings=type(tx.DEFAULTS)(literal_words=1))
+    unkeyed = corpus.clean_titles(docs, "t", words, settings=type(tx.DEFAULTS)(literal_words=1))
+    assert unkeyed.columns == few.columns and {r.k: r.clean for r in unkeyed.collect()} == want
+
+
+def test_any_number_of_stopwords(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"kata{i:05d}" for i in range(10_500)) + " padi")], "k INT, t STRING")
+    words = corpus.dynamic_stopwords(docs.where("k = 1").select(F.regexp_replace("t", " padi$", "").alias("title")))
+    assert len(corpus.inline_words(words)) == 10_500 and corpus.inline_words(words, 10_000) is None
+    assert corpus.clean_titles(docs, "t", words, "k").first().clean == "padi"
 
 
 def test_titles_fall_back_to_title_column(spark):
