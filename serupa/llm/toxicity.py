@@ -140,8 +140,11 @@ def fit_model(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     drawn = bounded_sample(known.where(toxic), fit_docs // 3, key).unionByName(bounded_sample(known.where(~toxic), fit_docs - fit_docs // 3, key))
     # At most 2 * fit_docs narrow rows, so they may be broadcast.
     rows = docs.select(key, F.col(text).cast("string").alias("text")).join(F.broadcast(drawn), key).limit(2 * fit_docs)
-    found = map_text(rows, "features binary", _features, ["__toxic", key]).orderBy(key, "features").toPandas()
-    return fit([np.frombuffer(x, np.int32) for x in found["features"]], found["__toxic"].to_numpy())
+    texts, toxic = [], []
+    for row in map_text(rows, "features binary", _features, ["__toxic", key]).orderBy(key, "features").toLocalIterator():
+        texts.append(np.frombuffer(row["features"], np.int32))
+        toxic.append(row["__toxic"])
+    return fit(texts, np.array(toxic))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
