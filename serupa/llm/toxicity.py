@@ -29,6 +29,7 @@ GRAMS = (4, 6, 8)
 FIT_DOCS = 3000
 SMOOTHING = 1.0
 LEAST_RATIO = 1.0
+PIECE = 1 << 20  # bytes of a text hashed at once
 _PLAIN = bytes(c if c >= 0x80 or chr(c).isalnum() else 32 for c in range(256))
 _FACTOR = np.uint32(2654435761)
 
@@ -43,25 +44,31 @@ def held_out(key: str) -> Column:
 
 
 class Features:
-    """Distinct buckets of one text after another; keeps a flag per bucket between texts."""
+    """Distinct buckets of one text after another, in no particular order.
+
+    ``last`` keeps, of each bucket, the last place in the text that fell there; a bucket is taken at that place only.
+    """
 
     def __init__(self) -> None:
-        self.flags = np.zeros(BUCKETS, bool)
+        self.last = np.zeros(BUCKETS, np.int32)
 
     def __call__(self, text: bytes | None) -> np.ndarray:
         codes = np.frombuffer(b" %s " % b" ".join((text or b"").lower().translate(_PLAIN).split()), np.uint8)
-        for at in range(0, max(0, len(codes) - min(GRAMS) + 1), 1 << 20):
-            part = codes[at : at + (1 << 20) + max(GRAMS) - 1].astype(np.uint32) + np.uint32(1)
-            h = part.copy()
-            for n in range(2, max(GRAMS) + 1):
-                if len(part) < n:
-                    break
-                h = (h[:-1] * _FACTOR) ^ part[n - 1 :]
-                if n in GRAMS:
-                    self.flags[(h * _FACTOR) >> np.uint32(32 - BUCKETS_LOG2)] = True
-        found = np.flatnonzero(self.flags)
-        self.flags[found] = False
-        return found.astype(np.int32)
+        found = [np.zeros(0, np.int32)]
+        for at in range(0, max(0, len(codes) - min(GRAMS) + 1), PIECE):
+            found.append(self._piece(codes[at : at + PIECE + max(GRAMS) - 1].astype(np.uint32) + np.uint32(1)))
+        return found[-1] if len(found) <= 2 else np.unique(np.concatenate(found))
+
+    def _piece(self, part: np.ndarray) -> np.ndarray:
+        hashes, h = [], part
+        for n in range(2, min(max(GRAMS), len(part)) + 1):
+            h = (h[:-1] * _FACTOR) ^ part[n - 1 :]
+            if n in GRAMS:
+                hashes.append((h * _FACTOR) >> np.uint32(32 - BUCKETS_LOG2))
+        at = np.concatenate(hashes).astype(np.intp)
+        place = np.arange(len(at), dtype=np.int32)
+        self.last[at] = place
+        return at[self.last[at] == place].astype(np.int32)
 
 
 @dataclass
@@ -141,7 +148,8 @@ def fit_model(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     # At most 2 * fit_docs narrow rows, so they may be broadcast.
     rows = docs.select(key, F.col(text).cast("string").alias("text")).join(F.broadcast(drawn), key).limit(2 * fit_docs)
     texts, toxic = [], []
-    for row in map_text(rows, "features binary", _features, ["__toxic", key]).orderBy(key, "features").toLocalIterator():
+    found = map_text(rows, "features binary", _features, ["__toxic", key])
+    for row in found.orderBy(key, F.xxhash64("features")).toLocalIterator():  # narrow keys: a sort samples them on the driver
         texts.append(np.frombuffer(row["features"], np.int32))
         toxic.append(row["__toxic"])
     return fit(texts, np.array(toxic))
