@@ -29,7 +29,8 @@ GRAMS = (4, 6, 8)
 FIT_DOCS = 3000
 SMOOTHING = 1.0
 LEAST_RATIO = 1.0
-PIECE = 1 << 20  # bytes of a text hashed at once
+PIECE = 1 << 20  # bytes of a text hashed, or features of a fit added up, at once
+FETCHES = 16  # pieces in which the sample's features come to the driver
 _PLAIN = bytes(c if c >= 0x80 or chr(c).isalnum() else 32 for c in range(256))
 _FACTOR = np.uint32(2654435761)
 
@@ -95,18 +96,22 @@ def fit(texts: list[np.ndarray], toxic: np.ndarray, steps: int = 200, decay: flo
     ratio = np.log(shares[0] / shares[1])
     ratio[(sum(counts) < 2) | (np.abs(ratio) < LEAST_RATIO)] = 0  # what one text alone has tells nothing
     kept = [t[ratio[t] != 0] for t in texts]
-    sizes, index = np.array([len(t) for t in kept]), np.concatenate(kept)
-    full = sizes > 0
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])[full]
+    full = np.flatnonzero([len(t) for t in kept])
+    parts = [(some, np.array([len(kept[i]) for i in some])) for some in _parts(full, kept)]
+    index = [np.concatenate([kept[i] for i in some]) for some, _ in parts]
+    del kept
 
     def project(w):
         z = np.zeros(len(y))
-        if full.any():
-            z[full] = np.add.reduceat(w[index], starts)
+        for (some, sizes), at in zip(parts, index, strict=True):
+            z[some] = np.add.reduceat(w[at], np.cumsum(sizes) - sizes)
         return z * unit
 
     def gradient(gap):
-        return np.bincount(index, np.repeat(gap * unit, sizes), minlength=BUCKETS)
+        total = np.zeros(BUCKETS)
+        for (some, sizes), at in zip(parts, index, strict=True):
+            total += np.bincount(at, np.repeat((gap * unit)[some], sizes), minlength=BUCKETS)
+        return total
 
     rate = 4 / max((project(ratio**2) * unit).max(), 1e-9)  # of the curvature's bound, the longest scaled text
     w = last = np.zeros(BUCKETS)
@@ -122,6 +127,12 @@ def fit(texts: list[np.ndarray], toxic: np.ndarray, steps: int = 200, decay: flo
     return Model(w * ratio * scale, shift)
 
 
+def _parts(full: np.ndarray, kept: list[np.ndarray]) -> list[np.ndarray]:
+    """Numbers of texts that have features, cut after about ``PIECE`` features each, which bounds the memory of a step."""
+    at = np.cumsum([len(kept[i]) for i in full], dtype=np.int64) // PIECE
+    return [some for some in np.split(full, np.flatnonzero(np.diff(at)) + 1) if len(some)]
+
+
 def calibrate(z: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
     """Scale and shift that make z the log-odds of y: Newton's method on smoothed targets (Platt)."""
     n = y.sum()
@@ -147,11 +158,9 @@ def fit_model(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     drawn = bounded_sample(known.where(toxic), fit_docs // 3, key).unionByName(bounded_sample(known.where(~toxic), fit_docs - fit_docs // 3, key))
     # At most 2 * fit_docs narrow rows, so they may be broadcast.
     rows = docs.select(key, F.col(text).cast("string").alias("text")).join(F.broadcast(drawn), key).limit(2 * fit_docs)
-    texts, toxic = [], []
-    found = map_text(rows, "features binary", _features, ["__toxic", key])
-    for row in found.orderBy(key, F.xxhash64("features")).toLocalIterator():  # narrow keys: a sort samples them on the driver
-        texts.append(np.frombuffer(row["features"], np.int32))
-        toxic.append(row["__toxic"])
+    found = map_text(rows.repartition(FETCHES, key), "features binary", _features, ["__toxic", key])
+    drawn = sorted(found.toLocalIterator(), key=lambda row: (row[key], row["features"]))  # one piece in the JVM at a time
+    texts, toxic = [np.frombuffer(row["features"], np.int32) for row in drawn], [row["__toxic"] for row in drawn]
     return fit(texts, np.array(toxic))
 
 
