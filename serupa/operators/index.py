@@ -4,11 +4,15 @@ A commit appends its rows as one Parquet folder and then one small commit record
 exist for readers, so a failed load stays invisible. ``replace`` and ``compact`` commits hold a full
 index, partitioned by document type. ``merge`` and ``delete`` commits hold just the changed rows: a
 change costs what the change is large. A read is the last full index without the changed ids, plus
-their latest rows. ``squash`` commits fold the changes so far into one folder. One writer at a time.
+their latest rows. ``squash`` commits fold the changes so far into one folder.
+
+Each writer has a folder of its own, named by its record, and claims its commit number with the record. Of
+several writers at once one succeeds; the others fail with ``ConcurrentCommit`` and change nothing.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -29,7 +33,7 @@ LOAD_ERRORS = {
 }
 _ROWS = T.StructType([*schemas.INDEX.fields, T.StructField("op", T.StringType())])
 _COMMIT = schemas.schema_of(
-    "commit BIGINT, kind STRING, source STRING, changed BIGINT, expected BIGINT, total BIGINT, at TIMESTAMP"
+    "commit BIGINT, folder STRING, kind STRING, source STRING, changed BIGINT, expected BIGINT, total BIGINT, at TIMESTAMP"
 )
 
 
@@ -41,6 +45,10 @@ class EmptyInput(ValueError):
     """A load without rows."""
 
 
+class ConcurrentCommit(RuntimeError):
+    """Another writer made the commit that this one prepared; its rows stay invisible."""
+
+
 def index_rows(
     docs: DataFrame, encoder: Encoder, dynamic=(), settings: Settings = DEFAULTS, carry: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -99,20 +107,32 @@ class IndexTable:
     path: str
     settings: Settings = DEFAULTS
 
-    def _folder(self, commit: int) -> str:
-        return f"{self.path}/rows/commit={commit}"
-
     def commits(self) -> list:
-        """All commit records; there are as many as loads, each a few bytes."""
+        """All commit records; there are as many as loads, each a few bytes. Of two writers that claimed a number
+        at once, the one with the smaller folder name has it."""
         try:
-            return self.spark.read.schema(_COMMIT).json(f"{self.path}/commits").orderBy("commit").collect()
+            records = self.spark.read.schema(_COMMIT).json(f"{self.path}/commits").select(*_COMMIT.names)
         except Exception as error:
             if "PATH_NOT_FOUND" not in str(error):
                 raise
             return []
+        found = {c.commit: c for c in records.orderBy(F.desc("commit"), F.desc("folder")).collect()}
+        return [found[n] for n in sorted(found)]
+
+    def _record(self, number: int, folder: str, *rest) -> None:
+        """Claim the number for the rows in ``folder``; fails if another writer has it."""
+        record = self.spark.createDataFrame([(number, folder, *rest, datetime.now(timezone.utc))], _COMMIT)
+        try:
+            record.coalesce(1).write.mode("error").json(f"{self.path}/commits/number={number}")
+        except Exception as error:
+            if "PATH_ALREADY_EXISTS" not in str(error):
+                raise
+            raise ConcurrentCommit(f"commit {number} was made by another writer; load again") from error
+        if self.commits()[-1].folder != folder:
+            raise ConcurrentCommit(f"commit {number} was made by another writer; load again")
 
     def _read(self, commits: list) -> DataFrame:
-        paths = [self._folder(c.commit) for c in commits]
+        paths = [f"{self.path}/rows/{c.folder}" for c in commits]
         return self.spark.read.schema(_ROWS).option("basePath", f"{self.path}/rows").parquet(*paths).select(
             *_ROWS.names, F.col("commit").cast("bigint").alias("commit")
         )
@@ -167,9 +187,10 @@ class IndexTable:
         """
         commits = self.commits()
         number = commits[-1].commit + 1 if commits else 1
-        writer = rows.select(*_ROWS.names).write.mode("overwrite")
-        (writer.partitionBy("document_type") if kind in _FULL else writer).parquet(self._folder(number))
-        written = self.spark.read.schema(_ROWS).parquet(self._folder(number))
+        folder = f"commit={number}/part=w{uuid.uuid4().hex}"  # of this writer alone
+        writer = rows.select(*_ROWS.names).write
+        (writer.partitionBy("document_type") if kind in _FULL else writer).parquet(f"{self.path}/rows/{folder}")
+        written = self.spark.read.schema(_ROWS).parquet(f"{self.path}/rows/{folder}")
         saved = F.when(F.col("op") == "upsert", F.col("id"))
         changed, saves, distinct = written.agg(F.count("*"), F.count(saved), F.countDistinct(saved)).first()
         if not changed and not allow_empty:
@@ -183,8 +204,7 @@ class IndexTable:
         wanted = distinct if expected is None else expected
         if kind != "squash" and (saves != distinct or distinct != wanted or (total != wanted if kind in _FULL else total < wanted)):
             raise InconsistentIndex(_load_error(wanted, total if kind in _FULL else min(total, distinct), kind in _FULL))
-        record = [(number, kind, source, changed, distinct, total, datetime.now(timezone.utc))]
-        self.spark.createDataFrame(record, _COMMIT).coalesce(1).write.mode("append").json(f"{self.path}/commits")
+        self._record(number, folder, kind, source, changed, distinct, total)
         return total
 
     def reject(self, rows: DataFrame, source: str) -> int:

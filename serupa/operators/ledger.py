@@ -10,6 +10,7 @@ from serupa import schemas
 from serupa.config import DEFAULTS, Settings
 
 UNFINISHED = ("pending", "processing")
+BUCKETS = 64  # folders of a ledger
 
 
 def clip_error(message: Column, settings: Settings = DEFAULTS) -> Column:
@@ -27,34 +28,49 @@ def unfinished(states: DataFrame) -> DataFrame:
     return states.where(F.col("status").isin(*UNFINISHED))
 
 
+def _bucket(job_id: Column) -> Column:
+    return F.pmod(F.xxhash64(job_id), F.lit(BUCKETS)).cast("int")
+
+
 class JobLedger:
-    """Ledger of index jobs in a folder; one small file per state change, written by the job's driver."""
+    """Ledger of index jobs in a folder; one small file per state change, written by the job's driver.
+
+    Files lie in folders by a hash of the job id, so a job's lookup and changes read the files of one folder.
+    """
 
     SCHEMA = T.StructType([*schemas.JOB.fields, T.StructField("seq", T.LongType())])
 
     def __init__(self, spark: SparkSession, path: str, settings: Settings = DEFAULTS) -> None:
         self.spark, self.path, self.settings = spark, path, settings
 
-    def rows(self) -> DataFrame:
+    def _stored(self) -> DataFrame:
+        schema = T.StructType([*self.SCHEMA.fields, T.StructField("bucket", T.IntegerType())])
         try:
-            return self.spark.read.schema(self.SCHEMA).json(self.path)
+            return self.spark.read.schema(schema).json(self.path)
         except Exception as error:  # nothing written yet
             if "PATH_NOT_FOUND" not in str(error):
                 raise
-            return self.spark.createDataFrame([], self.SCHEMA)
+            return self.spark.createDataFrame([], schema)
+
+    def rows(self) -> DataFrame:
+        return self._stored().drop("bucket")
+
+    def rows_of(self, job_id: str) -> DataFrame:
+        job = F.lit(job_id)
+        return self._stored().where((F.col("bucket") == _bucket(job)) & (F.col("job_id") == job)).drop("bucket")
 
     def states(self) -> DataFrame:
         return latest_states(self.rows(), "seq").drop("seq")
 
     def find(self, job_id: str) -> DataFrame:
-        return latest_states(self.rows().where(F.col("job_id") == job_id), "seq").drop("seq")
+        return latest_states(self.rows_of(job_id), "seq").drop("seq")
 
     def unfinished(self) -> DataFrame:
         return unfinished(self.states())
 
     def _append(self, row: DataFrame) -> None:
         typed = row.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.SCHEMA.fields])
-        typed.coalesce(1).write.mode("append").json(self.path)
+        typed.withColumn("bucket", _bucket(F.col("job_id"))).coalesce(1).write.mode("append").partitionBy("bucket").json(self.path)
 
     def create(self, job_id: str, total_received: int) -> None:
         one = self.spark.range(1)
@@ -68,7 +84,7 @@ class JobLedger:
         )
 
     def _change(self, job_id: str, **columns: Column) -> None:
-        now = latest_states(self.rows().where(F.col("job_id") == job_id), "seq")
+        now = latest_states(self.rows_of(job_id), "seq")
         self._append(now.withColumns({**columns, "seq": F.col("seq") + 1}))
 
     def mark_processing(self, job_id: str) -> None:

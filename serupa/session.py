@@ -56,9 +56,19 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+def _own_scratch(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/serupa/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the scratch folder."""
-    return f"{scratch_root(spark)}/serupa/{uuid.uuid4().hex}/{name}"
+    """A new path below the scratch folder; all paths of an application share one folder."""
+    return f"{_own_scratch(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete all that this application put below the scratch folder: for the end of a job, once its results are written."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(_own_scratch(spark))
+    own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -1,4 +1,8 @@
+import subprocess
+import sys
+
 import pytest
+from conftest import ROOT
 from pyspark.sql import functions as F
 
 from serupa import schemas
@@ -6,7 +10,7 @@ from serupa.config import Settings
 from serupa.operators import index as ix
 from serupa.operators.corpus import program_distribution, year_distribution
 from serupa.operators.encode import HashEncoder
-from serupa.operators.index import EmptyInput, InconsistentIndex, IndexTable, index_rows
+from serupa.operators.index import ConcurrentCommit, EmptyInput, InconsistentIndex, IndexTable, index_rows
 from serupa.operators.ingest import with_columns
 from serupa.operators.ledger import JobLedger
 from serupa.plans.load import bulk_load, resume_unfinished
@@ -95,6 +99,56 @@ def test_rows_lost_before_the_write_are_noticed(spark, table):
     assert table.count() == 0 and table.upsert(one, expected=1) == 1
 
 
+def test_a_taken_number_fails(spark, monkeypatch):
+    table = IndexTable(spark, scratch_path(spark, "index"))
+    table.upsert(rows(spark, ("skripsi_1", "skripsi", "judul satu", 2020, 1)))
+    other, known = IndexTable(spark, table.path), table.commits()
+    table.upsert(rows(spark, ("skripsi_2", "skripsi", "judul dua", 2020, 1)))
+    with monkeypatch.context() as m:  # the other writer read the log before the second commit
+        m.setattr(IndexTable, "commits", lambda self: known)
+        with pytest.raises(ConcurrentCommit):
+            other.upsert(rows(spark, ("skripsi_3", "skripsi", "judul tiga", 2020, 1)))
+    assert {r.id for r in table.read().collect()} == {"skripsi_1", "skripsi_2"} and len(table.commits()) == 2
+    other.upsert(rows(spark, ("skripsi_3", "skripsi", "judul tiga", 2020, 1)))
+    assert table.commits()[-1].commit == 3 and table.commits()[-1].total == 3
+
+
+def test_two_records_of_one_number(spark):
+    """Both writers found the number free: the smaller folder has it, for every reader."""
+    table = IndexTable(spark, scratch_path(spark, "index"))
+    table.upsert(rows(spark, ("skripsi_1", "skripsi", "judul satu", 2020, 1)))
+    mine = spark.read.json(f"{table.path}/commits").drop("number")
+    for folder in ("commit=1/part=a", "commit=1/part=z"):
+        mine.withColumn("folder", F.lit(folder)).write.mode("append").json(f"{table.path}/commits/number=1")
+    assert [c.folder for c in table.commits()] == ["commit=1/part=a"]
+
+
+def test_ledger_reads_one_folder(spark):
+    ledger = JobLedger(spark, scratch_path(spark, "ledger"))
+    for n in range(4):
+        ledger.create(f"job{n}", n)
+    plan = ledger.rows_of("job2")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan
+    assert [r.total_received for r in ledger.find("job2").collect()] == [2] and ledger.states().count() == 4
+    assert ledger.find("none").count() == 0 and ledger.rows().columns == JobLedger.SCHEMA.names
+
+
+def test_drop_scratch():
+    """In a session of its own process, as it deletes what that session has staged."""
+    code = (
+        "import os, tempfile\n"
+        "from serupa.session import build_session, drop_scratch, stage\n"
+        "root = tempfile.mkdtemp(prefix='serupa-tests-')\n"
+        "spark = build_session('local[1]', **{'spark.ui.enabled': 'false', 'spark.checkpoint.dir': root})\n"
+        "assert stage(spark.range(3), 'ids').count() == 3 and len(os.listdir(root + '/serupa')) == 1\n"
+        "os.mkdir(root + '/serupa/other')\n"
+        "drop_scratch(spark)\n"
+        "assert os.listdir(root + '/serupa') == ['other']\n"
+        "drop_scratch(spark)\n"
+    )
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=ROOT, timeout=120)
+
+
 def test_reconcile(spark):
     ids = lambda n: spark.range(n).select(F.col("id").cast("string").alias("document_id"))
     cases = [(True, 5, 5, True), (True, 5, 4, False), (False, 5, 5, True), (False, 5, 9, True), (False, 5, 4, False)]
