@@ -182,6 +182,13 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_around_a_hot_node(spark):
+    """The node in the middle has most links of the table, so the joins broadcast it; rings hang on some of its neighbours."""
+    links = [(5000, i) for i in range(10_000, 13_000)] + [(i, i + 10_000) for i in range(10_000, 13_000, 3)] + [(30_000 + i, 30_000 + (i + 1) % 9) for i in range(9)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {n: 30_000 if n > 30_000 else 5000 for link in links for n in link if n not in (5000, 30_000)}
+
+
 def exact(vectors, k, every):
     out = {}
     good = [(i, np.array(v, float)) for i, v in vectors if i is not None and v and None not in v and np.isfinite(np.array(v, float)).all() and np.any(v)]
