@@ -3,7 +3,9 @@
 Patterns find the base spans. The field then decides on the mentions that patterns miss: number runs of seven
 or more digits, addresses without a full domain, and, in texts with an address, words joined by marks. Base
 spans and candidates are its nodes; chain edges join neighbours in the text, skip edges join distant mentions
-that repeat or resemble each other: the same last seven digits, or the same local part. Loopy sum-product
+that repeat or resemble each other: the same last seven digits, or the same local part. Besides the next mention of
+its key, each unsure mention is joined to the key's hubs (the first base span of each kind, else the first mention), so
+that evidence reaches all mentions of a text in the same round, however many stand between. Loopy sum-product
 message passing lets a sure mention (a base span) decide on unsure ones of the same entity, such as a phone number
 without country code or a local part without its host. A candidate gets the kind whose belief is at least
 ``BELIEF``. Base spans are evidence and always stay.
@@ -152,15 +154,29 @@ def nodes_of(text: str, base: list[tuple[str, int, int]]) -> Nodes:
 
 
 def edges_of(nodes: Nodes) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Chain edges to the next node if it is near, skip edges to the next node with the same key."""
+    """Chain edges to the next node if it is near, skip edges to the next node with the same key and from its hubs.
+
+    Hubs of a key are the first base span of each kind, or the first mention if there is none: at most one edge a kind
+    for each unsure mention.
+    """
     chain = [(i, i + 1) for i in range(len(nodes.spans) - 1) if nodes.spans[i + 1][0] - nodes.spans[i][1] <= NEAR]
     last: dict[str, int] = {}
+    hubs: dict[str, dict[int, int]] = {}
     skip = []
-    for i, key in enumerate(nodes.keys):
+    for i, (key, label) in enumerate(zip(nodes.keys, nodes.labels, strict=True)):
         if key:
             if key in last:
                 skip.append((last[key], i))
+            else:
+                hubs[key] = {-1: i}
             last[key] = i
+            if label >= 0:
+                hubs[key].setdefault(label, i)
+    joined = set(skip)
+    for i, (key, label) in enumerate(zip(nodes.keys, nodes.labels, strict=True)):
+        if key and label < 0:
+            sure = [hub for kind, hub in hubs[key].items() if kind >= 0] or [hubs[key][-1]]
+            skip += [(hub, i) for hub in sure if hub != i and not joined & {(hub, i), (i, hub)}]
     return chain, skip
 
 

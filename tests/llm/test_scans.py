@@ -207,6 +207,20 @@ def test_repeated_mentions_agree(docs):
     assert "555-2485" not in masked and "bob.7" not in masked and "<phone>" in masked and "foo.bar" in masked
 
 
+def test_late_mentions_agree(docs):
+    """Of one sure mention and its short form 50 times after it, or before it, far apart."""
+    sure = [f"write to ann.{i}@mail.example.com or +1 (9{i:02}) 555-{1000 + i} at 10.0.{i}.1" for i in range(40)]
+    filler = " filler words here" * 20 + " "
+    whole, late = "Call +1 (988) 555-2485.", filler + filler.join(["again (988) 555-2485,"] * 50) + filler
+    model = pii_field.fit_field(docs([*sure, whole + late]))
+    for text in (whole + late, late + whole):
+        (base, spans), = pii_field.decide(model, [text])
+        assert [text[a:b] for k, a, b in spans if (k, a, b) not in base and k == "phone"] == ["(988) 555-2485"] * 50
+        assert "555-2485" not in pii_field.masked(text, spans)
+        nodes = pii_field.nodes_of(text, base)
+        assert len(pii_field.edges_of(nodes)[1]) < 2 * len(nodes.spans)
+
+
 def test_fields_without_anything_to_learn(docs):
     rows = pii_field.scan(docs(["plain words", None]), ["doc_id"]).collect()
     assert all(not r.spans for r in rows)
