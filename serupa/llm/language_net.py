@@ -8,6 +8,11 @@ weighted by their bytes. All windows of the whole text count.
 Trained on windows of documents outside the held-out fifth with a known language, at most 2 * ``FIT_DOCS`` of them, drawn
 by hash, ``FIT_WINDOWS`` windows of each spread over its text. Predictions use nothing but the text.
 
+With ``background`` the network learns one more class, of texts in no learned language: each fitting window with its
+letters exchanged, by an alphabet of another order or another script, or each by a random one. A text is rejected as
+``und`` if the languages' shares together are below a bar: a half, or less if one in ``STRAYS`` labelled documents of
+the sample would not stay. So the bar does not depend on the number of languages, and binds for one as for many.
+
 Defined results: a null text and one without any letter is ``und`` with score 1 (nothing else is possible); so
 is every text with score 0 if there is no labelled row to learn from. Equal shares go to the language that
 sorts first. Repeated rows get equal results; a null id is not held out and is never learned from.
@@ -33,6 +38,7 @@ WIDTHS = (2, 3, 4)
 FILTERS = 12  # of each width
 FIT_DOCS = 2500
 FIT_WINDOWS = 3
+STRAYS = 1000
 TOGETHER = 32  # windows pushed through the network at once
 LONGEST = max(WIDTHS)
 REACH = np.repeat([[float(i < w) for w in WIDTHS for _ in range(FILTERS)] for i in range(LONGEST)], DEPTH, axis=0).astype(np.float32)
@@ -63,6 +69,7 @@ class Network:
     bias: np.ndarray  # (all filters,)
     out: np.ndarray  # (all filters, languages)
     out_bias: np.ndarray
+    bar: float | None = None  # if set, the last of the languages is the background
 
     @classmethod
     def fresh(cls, languages: list[str], seed: int) -> Network:
@@ -150,6 +157,33 @@ def _gradients(net: Network, codes, labels, weight) -> list[np.ndarray]:
     return [embedding, filters, back.sum(axis=0), hidden.T @ gap, gap.sum(axis=0)]
 
 
+def foreign(codes: np.ndarray, seed: int = 5) -> np.ndarray:
+    """The windows that have letters, in no language: their letters exchanged, in four ways by turns."""
+    r, out = np.random.default_rng(seed), []
+    for w in codes:
+        text = w.tobytes().rstrip(b"\0").decode(errors="ignore")
+        letters = sorted(set(_LETTER.findall(text)))
+        if not letters:
+            continue
+        way = len(out) % 4
+        if way == 0:  # a-z, the same for the same letter
+            new = dict(zip(letters, r.integers(97, 123, len(letters)).tolist(), strict=True))
+        elif way > 1:  # a script of two or three bytes a letter
+            first, size = (int(r.integers(0x250, 0x7C0)), 40) if way == 2 else (int(r.integers(0x800, 0xD000)), int(r.choice([40, 400, 2000])))
+            new = dict(zip(letters, (first + r.permutation(max(size, len(letters))))[: len(letters)].tolist(), strict=True))
+        made = _LETTER.sub(lambda m: chr(r.integers(97, 123) if way == 1 else new[m[0]]), text).encode(errors="ignore")[:WINDOW]  # noqa: B023
+        out.append(np.frombuffer(made.ljust(WINDOW, b"\0"), np.uint8))
+    return np.array(out, np.uint8).reshape(-1, WINDOW)
+
+
+def lowest_bar(net: Network, codes: np.ndarray, document: np.ndarray) -> float:
+    """The bar under which at most one in ``STRAYS`` of the fitting documents falls, a half at most; ``document``: of each window."""
+    size = np.maximum((codes != 0).sum(axis=1), 1)
+    known = 1 - Reader(net).shares(codes)[:, -1]
+    share = np.sort(np.bincount(document, known * size) / np.bincount(document, size))
+    return min(0.5, float(share[len(share) // STRAYS]))
+
+
 def _fit_windows():
     def fn(texts):
         out = []
@@ -161,7 +195,7 @@ def _fit_windows():
     return fn
 
 
-def fit_network(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", fit_docs: int = FIT_DOCS) -> Network | None:
+def fit_network(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", fit_docs: int = FIT_DOCS, background: bool = False) -> Network | None:
     """None if no row has a language to learn."""
     known = docs.where(F.col(lang).isNotNull() & (fold(key) != 0)).select(key, F.col(lang).cast("string").alias("__lang"), F.col(text).cast("string").alias("text"))
     drawn = bounded_sample(known.where(F.length("text") > 0), fit_docs, key)
@@ -171,11 +205,16 @@ def fit_network(docs: DataFrame, key: str = "doc_id", text: str = "text", lang:
     languages = sorted(set(rows["__lang"]))
     codes = np.stack([np.frombuffer(w, np.uint8) for ws in rows["windows"] for w in ws])
     labels = np.array([languages.index(x) for x, ws in zip(rows["__lang"], rows["windows"], strict=True) for _ in ws])
-    return train(codes, labels, languages)
+    if not background:
+        return train(codes, labels, languages)
+    other = foreign(codes)
+    net = train(np.concatenate([codes, other]), np.concatenate([labels, np.full(len(other), len(languages))]), [*languages, UNKNOWN])
+    net.bar = lowest_bar(net, codes, np.repeat(np.arange(len(rows)), rows["windows"].map(len)))
+    return net
 
 
 def predict(docs: DataFrame, net: Network | None, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` columns with lang_pred and score, its share."""
+    """``keep`` columns with lang_pred and score, its share; of a text that a network with a background rejects, the background's."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def work():
@@ -193,7 +232,8 @@ def predict(docs: DataFrame, net: Network | None, keep: list[str], text: str = "
             first = np.cumsum([0] + [len(w) for w in cut[:-1]])
             mean = np.add.reduceat(p * size[:, None], first, axis=0) / np.add.reduceat(size, first)[:, None]
             for i, m in zip(ask, mean, strict=True):
-                best = int(m.argmax())
+                bar = known.net.bar
+                best = int(m.argmax() if bar is None else len(m) - 1 if 1 - m[-1] < bar else m[:-1].argmax())
                 names[i], scores[i] = known.net.languages[best], float(min(m[best], 1.0))
             return [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
 

@@ -16,8 +16,6 @@ from serupa.llm.simhash import near_duplicates
 from serupa.llm.source_mix import mix
 from serupa.session import ship_package, stage
 
-LEAST_SHARE = 0.2  # of the predicted language: below it, the best of many languages is hardly ahead of chance
-
 
 def _positional(docs: DataFrame) -> tuple[DataFrame, list[str], dict[str, str]]:
     """The table with columns c0, c1, ..., their names, and the new name of each old one."""
@@ -27,11 +25,11 @@ def _positional(docs: DataFrame) -> tuple[DataFrame, list[str], dict[str, str]]:
 
 
 def keep_recognised_languages(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Without documents that have no letter or whose best language has a share below ``LEAST_SHARE``."""
+    """Without documents that have no letter or are in no learned language, as told by a network with a background class."""
     rows, names, new = _positional(docs)
-    net = fit_network(rows, new["doc_id"], new["text"], new["lang"])
+    net = fit_network(rows, new["doc_id"], new["text"], new["lang"], background=True)
     found = predict(rows, net, names, new["text"])
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(*names).toDF(*docs.columns)
+    return found.where(F.col("lang_pred") != UNKNOWN).select(*names).toDF(*docs.columns)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -162,6 +162,20 @@ def test_stage_language(staged):
     assert {r.doc_id for r in gone} == {1000, 1001, 1002} and staged[1].count() == staged[0].count() - 3
 
 
+def test_stage_language_rejects_what_is_in_no_learned_language(spark):
+    """With one learned language as with four."""
+    rows = [r for r in spark.read.parquet(f"{MEDIUM}/documents.parquet").orderBy("doc_id").collect() if len(r.text) < 2000]
+    r = random.Random(3)
+    planted = ["Все люди рождаются свободными и равными в своем достоинстве и правах", "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια", "人人生而自由在尊严和权利上一律平等", "12 34 !! x 56"]
+    planted += [" ".join("".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(6)) for _ in range(40))]
+    for langs in (["en"], ["de", "en", "es", "fr"]):
+        known = [(x.doc_id, x.text, x.lang, x.source, x.n_chars) for x in rows if x.lang in langs]
+        docs = spark.createDataFrame(known + [(10**6 + i, t, None, "src0", len(t)) for i, t in enumerate(planted)], "doc_id long, text string, lang string, source string, n_chars long")
+        kept = {x.doc_id for x in stages.keep_recognised_languages(spark, docs, MEDIUM).select("doc_id").collect()}
+        assert not [i for i in kept if i >= 10**6]
+        assert len({x[0] for x in known} - kept) <= len(known) / 500
+
+
 def test_stage_near_copies(staged):
     rows = staged[1].collect()
     roots = linked([fingerprint(r.text) for r in rows])
