@@ -6,7 +6,7 @@ decoded, and reported only if what it decodes to has the structure of a secret:
 * ``key``: a DER private key (PKCS#1, PKCS#8, SEC 1) whose nested lengths fill the bytes exactly, or an OpenSSH
   private key blob whose length-prefixed fields do; as bare text or inside PEM armour,
 * ``jwt``: three dot-joined parts, the first a JSON header with "alg", the second a JSON object,
-* ``wrapped``: printable text that itself holds a base secret.
+* ``wrapped``: printable text, tabs and line ends included, that itself holds a base secret.
 
 Spans are in code points of the text, end exclusive; of a PEM block, the whole block.
 
@@ -38,9 +38,10 @@ _MARKS = ("passw", "secret", "token", "api")  # every assignment holds one of th
 _LONG = 19  # every other base span, run and token has as many characters of _RUNS in a row
 _RUNS = bytes(c if chr(c).isalnum() and c < 0x80 or chr(c) in "+/_=.-" else 32 for c in range(256))
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END \1PRIVATE KEY-----")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]+)(?![A-Za-z0-9_.-])")
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]+)(?![A-Za-z0-9_-]|\.[A-Za-z0-9_-])")
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 _HEX_ONLY = re.compile("(?:[0-9a-f]+|[0-9A-F]+)")
+_PRINTED = re.compile(rb"[\x20-\x7e\t\r\n]+")
 _OPENSSH = b"openssh-key-v1\0"
 
 
@@ -163,7 +164,7 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
         for data in decoded(m[0]):
             if is_private_key(data):
                 out.append(("key", *m.span()))
-            elif data.isascii() and (inner := data.decode("ascii")).isprintable() and any(k != "hex" for k, *_ in base_spans(inner)):
+            elif _PRINTED.fullmatch(data) and any(k != "hex" for k, *_ in base_spans(data.decode("ascii"))):
                 out.append(("wrapped", *m.span()))
     return out
 

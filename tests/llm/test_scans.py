@@ -154,6 +154,19 @@ def test_secrets_are_confirmed_by_structure():
     assert not kinds("an ordinary sentence with averyveryverylongcompoundwordinside and 3.14.15 numbers " + "f" * 64)
 
 
+def test_secrets_in_assignments_sentences_and_files():
+    kinds = lambda text: [text[a:b] for k, a, b in secret_scan.confirmed_spans(text) if k in ("key", "jwt", "wrapped")]
+    for data in (RSA, PKCS8, SSH):
+        for run in (base64.b64encode(data).decode(), data.hex()):
+            assert kinds(f"PRIVATE_KEY={run}") == kinds(f"A_VERY_LONG_NAME_OF_A_PRIVATE_KEY={run}\n") == kinds(f"see http://x.y/z?blob={run}&a=b") == [run]
+    for inner in (b"password=hunter2hunter2", b"password=hunter2hunter2\n", b"user=x\r\n\tpassword=hunter2hunter2\r\n"):
+        run = base64.b64encode(inner).decode()
+        assert kinds(f"DATA={run}") == kinds(f"x {run} y") == [run]
+    assert not kinds("DATA=" + base64.b64encode(b"password=hunter2hunter2\0").decode())
+    assert kinds(f"The bearer is {JWT}.") == kinds(f"It is {JWT}. Then") == kinds(f"{JWT}...") == kinds(f"T={JWT}") == [JWT]
+    assert not kinds(f"{JWT}.more")
+
+
 def plain_personal(text):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
