@@ -4,7 +4,9 @@ Features are the distinct n-grams of 4, 6 and 8 bytes (UTF-8, A-Z lowered, other
 one space) of the whole text, hashed to ``BUCKETS``. Each is scaled by its log-count ratio, log of its smoothed
 share in toxic over that in other texts; ratios below ``LEAST_RATIO`` count as none. A logistic regression is fitted
 on the scaled features, over the fourth root of their number: long texts have more of them, but not more meaning. Fitted on labelled documents outside the held-out fifth, at most
-2 * ``FIT_DOCS`` of them, drawn by hash, a third of them toxic. Scoring uses nothing but the text.
+2 * ``FIT_DOCS`` of them, drawn by hash: all of a class up to its bound, a third of ``FIT_DOCS`` for the toxic. The
+intercept is then set to the share of toxic among all labelled documents outside the fifth, so scores mean the same
+whatever part of each class was drawn. Scoring uses nothing but the text.
 
 Defined results: null and empty texts have no features, so the intercept scores them. Several labels of one
 document: toxic if any is. Without labelled rows every score is 0.4 (not toxic); with labels of one
@@ -82,8 +84,11 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(texts: list[np.ndarray], toxic: np.ndarray, steps: int = 200, decay: float = 1e-4) -> Model:
-    """Ratios, logistic regression by accelerated gradient descent, calibration."""
+def fit(texts: list[np.ndarray], toxic: np.ndarray, steps: int = 200, decay: float = 1e-4, offset: float = 0.0) -> Model:
+    """Ratios, logistic regression by accelerated gradient descent, calibration.
+
+    ``offset``: log-odds of toxic in all labelled documents, less those in the sample.
+    """
     y = np.asarray(toxic, np.float64)
     if len(set(y.tolist())) < 2:
         share = (y.sum() + 1) / (len(y) + 2) if len(y) else 0.4
@@ -124,7 +129,7 @@ def fit(texts: list[np.ndarray], toxic: np.ndarray, steps: int = 200, decay: flo
         w = v - rate * (ratio * gradient(gap) / len(y) + decay * v)
         b = c - gap.mean()
     scale, shift = calibrate(project(w * ratio), y)
-    return Model(w * ratio * scale, shift)
+    return Model(w * ratio * scale, shift + offset)
 
 
 def _parts(full: np.ndarray, kept: list[np.ndarray]) -> list[np.ndarray]:
@@ -156,12 +161,15 @@ def fit_model(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     known = labels.where(F.col(label).isNotNull() & (fold(key) != 0)).groupBy(key).agg(F.max(label).cast("int").alias("__toxic"))
     toxic = F.col("__toxic") == 1
     drawn = bounded_sample(known.where(toxic), fit_docs // 3, key).unionByName(bounded_sample(known.where(~toxic), fit_docs - fit_docs // 3, key))
+    size = lambda rows: {r["__toxic"]: r["count"] for r in rows.groupBy("__toxic").count().collect()}
+    total, part = size(known), size(drawn)
+    offset = float(np.log(total[1] / part[1]) - np.log(total[0] / part[0])) if len(part) == 2 else 0.0
     # At most 2 * fit_docs narrow rows, so they may be broadcast.
     rows = docs.select(key, F.col(text).cast("string").alias("text")).join(F.broadcast(drawn), key).limit(2 * fit_docs)
     found = map_text(rows.repartition(FETCHES, key), "features binary", _features, ["__toxic", key])
     drawn = sorted(found.toLocalIterator(), key=lambda row: (row[key], row["features"]))  # one piece in the JVM at a time
     texts, toxic = [np.frombuffer(row["features"], np.int32) for row in drawn], [row["__toxic"] for row in drawn]
-    return fit(texts, np.array(toxic))
+    return fit(texts, np.array(toxic), offset=offset)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:

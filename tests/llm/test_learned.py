@@ -129,6 +129,16 @@ def test_toxicity_of_odd_tables(spark, docs, odd_texts):
     assert {r.predicted for r in toxicity.score(table, only, ["doc_id"]).collect()} == {1}
 
 
+def test_toxicity_prior_does_not_depend_on_the_sample(spark, docs, monkeypatch):
+    """Texts that tell nothing get the share of toxic of all labelled rows, though a third of the drawn is toxic."""
+    ids = [i for i in range(1000) if not held(i)][:700]
+    labels = spark.createDataFrame([(i, int(n % 10 == 0)) for n, i in enumerate(ids)], "doc_id long, toxic int")
+    table = docs(["the same words for all"] * 1000)
+    monkeypatch.setattr(toxicity, "FETCHES", 1)
+    model = toxicity.fit_model(table, labels, fit_docs=90)
+    assert 0.07 < model.score(toxicity.Features()(b"the same words for all")) < 0.14
+
+
 def test_features_do_not_depend_on_pieces(monkeypatch):
     features, r = toxicity.Features(), random.Random(1)
     text = bytes(r.randrange(256) for _ in range(3000)).lower()
