@@ -80,7 +80,7 @@ def fragments() -> list[tuple[frozenset[str], bool, float]]:
         rows += [({*around, f"mark:{mark}"}, False) for mark in OTHER_MARKS]
         rows += [({*around, f"tag:{tag}"}, False) for tag in OTHER_TAGS]
     rows += [(set(), True), ({"tag:p", "tag:a"}, True), ({"tag:article", "tag:p", "tag:a"}, True), ({"tag:ul", "tag:li"}, True)] * 8
-    rows += [({"tag:ul", "tag:li", "tag:a"}, False), ({"tag:a"}, False), ({"tag:header", "tag:h1"}, False), ({"tag:header", "mark:header", "tag:h1"}, False)] * 4
+    rows += [({"tag:ul", "tag:li", "tag:a"}, False), ({"tag:a"}, False), ({"tag:header", "tag:h1"}, False), ({"tag:header", "mark:header", "tag:h1"}, False)] * 16
     rows += [({"tag:article", "tag:header", "tag:h1"}, True), ({"tag:article", "tag:header", "mark:header", "tag:h1"}, True)] * 8
     n_main = sum(label for _, label in rows)
     return [(frozenset(f), label, FRAGMENT_WEIGHT * ((len(rows) - n_main) / n_main if label else 1.0)) for f, label in rows]
