@@ -8,7 +8,8 @@ index knows neither queries nor weights; it also counts the documents of each te
 Search. The rows of a term's slots, intersected, are the documents that may hold it: all that do, and a few more. Per
 level, summed with the terms' weights, and turned to scores by each document's length, they bound its score from
 above. The documents with the highest bounds are scored first; the k-th best of those is the query's floor. Then all
-documents whose bound reaches it are scored exactly on their whole text. What is left out is proven to score less.
+documents whose bound reaches it, by score and then by id, are scored exactly on their whole text. What is left out is
+proven to come later.
 
 Scores are integers, as ``score`` says. Queries are shipped to the tasks by ``SHIPPED_BYTES`` of text, one search each;
 a task keeps one block and the rows of ``TOGETHER`` terms. Of documents with equal texts, which score alike, a query
@@ -175,9 +176,9 @@ class Queries:
         slots, docs = block["slots"], block["docs"]
         bits = np.frombuffer(block["bits"], np.uint8).reshape(slots, -1)
         n = np.frombuffer(block["lengths"], np.int64)
-        middle = 12.0 * (75 + 25 * n * self.documents // self.words)
-        most = np.minimum(np.array([*(x - 1 for x in LEVELS[1:]), 1 << 62], float)[:, None], n)  # count behind each level
-        gain = np.diff(1e9 * most / (1000 * most + middle), axis=0, prepend=0)
+        middle = 12 * (75 + (25 * n.astype(object) * self.documents // self.words).astype(np.int64))
+        most = np.minimum(np.array([*(x - 1 for x in LEVELS[1:]), 1 << 32])[:, None], n)  # count behind each level
+        gain = np.diff(1_000_000_000 * most // (1000 * most + middle), axis=0, prepend=0).astype(float)
         for a, b in self.parts():
             own = slice(self.start[a], self.start[b])
             terms, at = np.unique(self.term[own], return_inverse=True)
@@ -203,6 +204,8 @@ class Queries:
                     if not held.any():
                         break
                     bound += gain[level] * (weight[held] @ np.unpackbits(found[row[held]], axis=1, count=docs))
+                if weight.sum() * 1e6 >= 2**53:  # below, all sums are exact
+                    bound *= 1 + 1e-9
                 yield query, bound
 
 
@@ -215,26 +218,33 @@ def _candidate_batch(rows) -> pa.RecordBatch:
 
 def _documents(block: dict):
     nulls = np.unpackbits(np.frombuffer(block["nulls"], np.uint8), count=block["docs"]).astype(bool)
-    ids = np.frombuffer(block["ids"], np.int64)
-    digests = np.frombuffer(block["digests"], "S16") if block["docs"] else np.zeros(0, "S16")
-    return ids, nulls, digests, lambda i: block["digests"][16 * i : 16 * i + 16]
+    return np.frombuffer(block["ids"], np.int64), nulls, lambda i: block["digests"][16 * i : 16 * i + 16]
 
 
-def _candidates(blocks: DataFrame, queries: Queries, k: int, floors: np.ndarray | None) -> DataFrame:
-    """Documents by bound: without ``floors`` the k best of each task and query, else all that reach their query's floor."""
+def _better(bound, ids, nulls, score, key) -> np.ndarray:
+    """Which documents may still come before (score, key) or are it; a null key is behind all others."""
+    last = nulls if key is not None else np.zeros(len(ids), bool)
+    return (bound > score) | (bound == score) & ~last & ((ids <= key) if key is not None else True)
+
+
+def _candidates(blocks: DataFrame, queries: Queries, k: int, floors: list | None) -> DataFrame:
+    """Documents by bound: without ``floors`` the k best of each task and query, else all that may reach their query's (score, id)."""
     shared = blocks.sparkSession.sparkContext.broadcast((queries, floors))
 
     def highest(batches):
         queries, _ = shared.value
         best: dict[int, list] = {}
+        order = lambda r: (-r[3], r[1] is None, r[1])
         for batch in batches:
             for block in batch.to_pylist():
-                ids, nulls, _, digest = _documents(block)
+                ids, nulls, digest = _documents(block)
                 for query, bound in queries.bounds(block):
-                    top = np.argpartition(-bound, k)[:k] if len(bound) > k else np.arange(len(bound))
                     held = best.setdefault(query, [])
-                    held += [(query, None if nulls[i] else int(ids[i]), digest(i), float(bound[i])) for i in top if bound[i] > 0 and (len(held) < k or bound[i] > held[-1][3])]
-                    held.sort(key=lambda r: -r[3])
+                    least = max(held[-1][3] if len(held) == k else 0.0, np.partition(bound, -k)[-k] if len(bound) > k else 0.0)
+                    at = np.flatnonzero((bound >= least) & (bound > 0))
+                    at = at[np.lexsort((ids[at], nulls[at], -bound[at]))][:k]
+                    held += [(query, None if nulls[i] else int(ids[i]), digest(i), float(bound[i])) for i in at.tolist()]
+                    held.sort(key=order)
                     del held[k:]
         for held in best.values():
             if held:
@@ -244,14 +254,12 @@ def _candidates(blocks: DataFrame, queries: Queries, k: int, floors: np.ndarray
         queries, floors = shared.value
         for batch in batches:
             for block in batch.to_pylist():
-                ids, nulls, _, digest = _documents(block)
+                ids, nulls, digest = _documents(block)
                 order = np.lexsort((ids, nulls))
                 out = []
                 for query, bound in queries.bounds(block):
-                    # bounds are sums in doubles; exact sums of integers are below them but for rounding
-                    at = order[bound[order] * (1 + 1e-9) >= floors[query]]
                     seen: Counter = Counter()
-                    for i in at.tolist():
+                    for i in order[_better(bound, ids, nulls, *floors[query])[order]].tolist():
                         d = digest(i)
                         seen[d] += 1
                         if seen[d] <= k:  # of equal texts those with the smallest ids
@@ -261,7 +269,7 @@ def _candidates(blocks: DataFrame, queries: Queries, k: int, floors: np.ndarray
 
     found = blocks.mapInArrow(highest if floors is None else reaching, _CANDIDATE)
     if floors is None:
-        order = Window.partitionBy("query").orderBy(F.desc("bound"), "id", "digest")
+        order = Window.partitionBy("query").orderBy(F.desc("bound"), F.col("id").asc_nulls_last(), "digest")
     else:
         order = Window.partitionBy("query", "digest").orderBy(F.col("id").asc_nulls_last())
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("query", "id", "digest")
@@ -304,13 +312,12 @@ def _search(docs: DataFrame, index: DataFrame, texts: list[bytes], k: int, total
     queries = Queries.build(texts, df, *totals)
     blocks = index.where("docs > 0").drop("terms", "df")
     first = _scored(docs, stage(_candidates(blocks, queries, k, None), "first"), queries)
-    best = Window.partitionBy("query").orderBy(F.desc("score"))
-    kth = first.withColumn("place", F.row_number().over(best)).where(F.col("place") == k).select("query", "score").collect()
-    floors = np.ones(len(texts))
-    for query, floor in kth:
-        floors[query] = floor
-    found = _scored(docs, stage(_candidates(blocks, queries, k, floors), "reaching"), queries)
     rank = Window.partitionBy("query").orderBy(F.desc("score"), F.col("id").asc_nulls_last())
+    kth = first.withColumn("place", F.row_number().over(rank)).where(F.col("place") == k).select("query", "score", "id").collect()
+    floors: list = [(1.0, None)] * len(texts)
+    for query, floor, last in kth:
+        floors[query] = (floor, last)
+    found = _scored(docs, stage(_candidates(blocks, queries, k, floors), "reaching"), queries)
     return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
 
 
