@@ -221,10 +221,9 @@ def _documents(block: dict):
     return np.frombuffer(block["ids"], np.int64), nulls, lambda i: block["digests"][16 * i : 16 * i + 16]
 
 
-def _better(bound, ids, nulls, score, key) -> np.ndarray:
+def _better(bound, ids, nulls, score, key):
     """Which documents may still come before (score, key) or are it; a null key is behind all others."""
-    last = nulls if key is not None else np.zeros(len(ids), bool)
-    return (bound > score) | (bound == score) & ~last & ((ids <= key) if key is not None else True)
+    return (bound > score) | (bound == score) & ((key is None) | ~nulls & (ids <= (key or 0)))
 
 
 def _candidates(blocks: DataFrame, queries: Queries, k: int, floors: list | None) -> DataFrame:
@@ -259,10 +258,12 @@ def _candidates(blocks: DataFrame, queries: Queries, k: int, floors: list | None
                 out = []
                 for query, bound in queries.bounds(block):
                     seen: Counter = Counter()
-                    for i in order[_better(bound, ids, nulls, *floors[query])[order]].tolist():
+                    score, key, scored = floors[query]
+                    for i in order[_better(bound, ids, nulls, score, key)[order]].tolist():
                         d = digest(i)
                         seen[d] += 1
-                        if seen[d] <= k:  # of equal texts those with the smallest ids
+                        # of equal texts those with the smallest ids, and none whose score is known to be too low
+                        if seen[d] <= k and (d not in scored or _better(scored[d], ids[i], nulls[i], score, key)):
                             out.append((query, None if nulls[i] else int(ids[i]), d, float(bound[i])))
                 if out:
                     yield _candidate_batch(out)
@@ -276,12 +277,12 @@ def _candidates(blocks: DataFrame, queries: Queries, k: int, floors: list | None
 
 
 def _scored(docs: DataFrame, candidates: DataFrame, queries: Queries) -> DataFrame:
-    """(query, id, score) of the candidates, on their whole texts: the texts stay where they are while candidates are few."""
+    """(query, id, digest, score) of the candidates, on their whole texts: the texts stay where they are while candidates are few."""
     wanted = stage(candidates.groupBy("id", "digest").agg(F.collect_set("query").alias("queries")).withColumnRenamed("id", "own"), "wanted")
     size = wanted.agg(F.sum(F.size("queries").cast("long") * 4 + 64)).first()[0] or 0
     side = F.broadcast(wanted) if size <= BROADCAST_BYTES else wanted
     texts = docs.withColumn("__digest", F.unhex(F.md5(F.col("text").cast("binary"))))
-    joined = texts.join(side, (F.col("__digest") == F.col("digest")) & F.col("id").eqNullSafe(F.col("own"))).select("id", "text", "queries")
+    joined = texts.join(side, (F.col("__digest") == F.col("digest")) & F.col("id").eqNullSafe(F.col("own"))).select("id", "text", "digest", "queries")
     shared = docs.sparkSession.sparkContext.broadcast(queries)
 
     def work(batches):
@@ -289,17 +290,17 @@ def _scored(docs: DataFrame, candidates: DataFrame, queries: Queries) -> DataFra
         known: dict[int, dict] = {}
         for batch in batches:
             rows = []
-            for key, raw, asked in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for key, raw, digest, asked in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 words = words_of(raw)
                 counts = Counter(words)
                 for q in asked:
                     if q not in known:
                         known[q] = queries.weights(q)
-                    rows.append((q, key, score(counts, len(words), known[q], queries.documents, queries.words)))
+                    rows.append((q, key, digest, score(counts, len(words), known[q], queries.documents, queries.words)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64()), strict=True)], ["query", "id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.int64()), strict=True)], ["query", "id", "digest", "score"])
 
-    return joined.mapInArrow(work, "query int, id long, score long").where("score > 0")
+    return joined.mapInArrow(work, "query int, id long, digest binary, score long").where("score > 0")
 
 
 def _search(docs: DataFrame, index: DataFrame, texts: list[bytes], k: int, totals: tuple[int, int]) -> DataFrame:
@@ -313,10 +314,12 @@ def _search(docs: DataFrame, index: DataFrame, texts: list[bytes], k: int, total
     blocks = index.where("docs > 0").drop("terms", "df")
     first = _scored(docs, stage(_candidates(blocks, queries, k, None), "first"), queries)
     rank = Window.partitionBy("query").orderBy(F.desc("score"), F.col("id").asc_nulls_last())
-    kth = first.withColumn("place", F.row_number().over(rank)).where(F.col("place") == k).select("query", "score", "id").collect()
-    floors: list = [(1.0, None)] * len(texts)
-    for query, floor, last in kth:
-        floors[query] = (floor, last)
+    floors: list = [(1.0, None, {}) for _ in texts]  # the k-th best (score, id), and scores by text: k a query
+    for query, digest, value, key, place in first.select("query", "digest", "score", "id", F.row_number().over(rank).alias("place")).where(F.col("place") <= k).collect():
+        scored = floors[query][2]
+        scored[bytes(digest)] = value
+        if place == k:
+            floors[query] = (value, key, scored)
     found = _scored(docs, stage(_candidates(blocks, queries, k, floors), "reaching"), queries)
     return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
 
