@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from serupa.llm import decontaminate, language_net, lexical_search, license_scan, main_text, one_bit_search, pii_field, secret_scan, simhash, source_mix, toxicity, wordpiece_counts
+from serupa.llm import decontaminate, language_net, lexical_search, license_scan, main_text, one_bit_search, pii_field, prefix_trie, secret_scan, simhash, source_mix, toxicity, wordpiece_counts
 
 QUERIES = {
     "op1_license_scan": license_scan.op1,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_simhash": simhash.op10,
     "op11_lexical_search": lexical_search.op11,
     "op12_main_text": main_text.op12,
+    "op13_prefix_trie": prefix_trie.op13,
 }
 
 ORACLE = {
@@ -24,4 +25,5 @@ ORACLE = {
     "op3_source_mix": source_mix.OP3_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
     "op11_lexical_search": lexical_search.OP11_SQL,
+    "op13_prefix_trie": prefix_trie.OP13_SQL,
 }
