@@ -7,7 +7,7 @@ index knows neither queries nor weights; it also counts the documents of each te
 
 Search. The rows of a term's slots, intersected, are the documents that may hold it: all that do, and a few more. Per
 level, summed with the terms' weights, and turned to scores by each document's length, they bound its score from
-above. The documents with the highest bounds are scored first; the k-th best of those is the query's floor. Then all
+above. The documents with the highest bounds are scored first, some times k; the k-th best of those is the query's floor. Then all
 documents whose bound reaches it, by score and then by id, are scored exactly on their whole text. What is left out is
 proven to come later.
 
@@ -44,7 +44,8 @@ LEAST_SLOTS = 512
 BLOCK_DOCS = 4096
 BLOCK_BITS = 1 << 23
 HELD_TERMS = 1 << 18  # terms counted in a task before it passes them on
-SHIPPED_BYTES = 4 << 20  # text of the queries that one search answers
+SHIPPED_BYTES = 2 << 20  # text of the queries that one search answers
+FIRST = 8  # times k documents of highest bounds are scored for the floor
 TOGETHER = 1 << 13  # terms looked up in a block at once
 BROADCAST_BYTES = 64 << 20  # candidates shipped to the tasks that read the texts
 _INDEX = "slots int, docs int, words long, ids binary, nulls binary, digests binary, lengths binary, bits binary, terms array<binary>, df array<long>"
@@ -227,7 +228,7 @@ def _better(bound, ids, nulls, score, key):
 
 
 def _candidates(blocks: DataFrame, queries: Queries, k: int, floors: list | None) -> DataFrame:
-    """Documents by bound: without ``floors`` the k best of each task and query, else all that may reach their query's (score, id)."""
+    """Documents by bound: without ``floors`` a query's FIRST * k best, of each task k; else all that may reach its (score, id)."""
     shared = blocks.sparkSession.sparkContext.broadcast((queries, floors))
 
     def highest(batches):
@@ -273,7 +274,7 @@ def _candidates(blocks: DataFrame, queries: Queries, k: int, floors: list | None
         order = Window.partitionBy("query").orderBy(F.desc("bound"), F.col("id").asc_nulls_last(), "digest")
     else:
         order = Window.partitionBy("query", "digest").orderBy(F.col("id").asc_nulls_last())
-    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("query", "id", "digest")
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= (k * FIRST if floors is None else k)).select("query", "id", "digest")
 
 
 def _scored(docs: DataFrame, candidates: DataFrame, queries: Queries) -> DataFrame:

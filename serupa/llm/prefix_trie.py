@@ -137,11 +137,9 @@ def list_rank(arcs: DataFrame, near: list[str], count: int, name: str = "tour")
         turn += 1
     # FINISH rows at most, in one task
     places = stage(segments.repartition(1).mapInArrow(_contract, _CONTRACTED).select("id", F.col("offset").alias("place")), f"{name}_places")
-    for level in levels[:0:-1]:
+    for n, level in enumerate(levels[:0:-1]):
         known = places.select(F.col("id").alias("head"), "place")
-        places = places.unionByName(level.join(known, "head").select("id", (F.col("place") + F.col("offset")).alias("place")))
-    if turn:
-        places = stage(places, f"{name}_segments")
+        places = stage(places.unionByName(level.join(known, "head").select("id", (F.col("place") + F.col("offset")).alias("place"))), f"{name}_places{n}")
     return levels[0].join(places.withColumnRenamed("id", "head"), "head").select("id", (F.col("place") + F.col("offset")).alias("place"))
 
 
