@@ -276,7 +276,7 @@ ORACLE["near_duplicates"] = self_check(
     f"{docs()}, dc AS MATERIALIZED (SELECT document_id AS k, {clean('judul')} AS cleaned FROM docs), {hashed('dv', 'dc', 'cleaned')}",
     "dv", "dv", "dc", "source_id",
 )
-ORACLE["near_duplicates_lsh"] = f"SELECT count(*) AS exact_hits, true AS recall_reached, 0 AS wrong_scores FROM ({ORACLE['near_duplicates']})"
+ORACLE["near_duplicates_cells"] = ORACLE["near_duplicates"]
 ORACLE["similarity_check_weighted"] = self_check(f"{PAGES}, {weighted_pages()}", "pv", "pj", "pc", "query_id")
 
 
@@ -297,7 +297,7 @@ ORACLE["vector_topk"] = vector_topk("true")
 ORACLE["vector_topk_filtered"] = vector_topk("q.vec_id % 4 = 0 OR q.label = c.label")
 ORACLE["vector_topk_exclude_self"] = vector_topk("q.vec_id <> c.vec_id")
 ORACLE["vector_topk_large_k"] = vector_topk("true", "query_id % 3 * 10 + 30")
-ORACLE["vector_topk_lsh"] = f"SELECT count(*) AS exact_hits, true AS recall_reached, 0 AS wrong_scores FROM ({ORACLE['vector_topk_exclude_self']})"
+ORACLE["vector_topk_cells"] = ORACLE["vector_topk_exclude_self"]
 ORACLE["vector_topk_tiled"] = vector_topk("q.vec_id <> c.vec_id")
 
 

@@ -19,10 +19,11 @@ from serupa.functions.weights import resolve_weights
 from serupa.operators import corpus, evaluate, ledger
 from serupa.operators import index as ix
 from serupa.operators import ingest as ing
+from serupa.operators.cells import topk_cosine_cells
 from serupa.operators.encode import PandasEncoder, encode_documents, encode_texts
 from serupa.operators.index import IndexTable, index_rows
 from serupa.operators.pooling import mean_pool
-from serupa.operators.topk import topk_cosine, topk_cosine_lsh
+from serupa.operators.topk import topk_cosine
 from serupa.plans.check import in_report_order, parse_hit_id, similarity_hits, similarity_summary
 from serupa.plans.compare import compare_pairs, score_pairs
 from serupa.plans.load import bulk_load
@@ -111,21 +112,27 @@ def similarity_check_weighted(spark: SparkSession, folder: str) -> DataFrame:
     return hits.select("query_id", "id", "similarity_score", "similarity_persen", "level", "semantic_rank")
 
 
-def _near(spark: SparkSession, folder: str, approximate: bool) -> DataFrame:
+def _near(spark: SparkSession, folder: str, **how: bool) -> DataFrame:
     index = stage(_text_index(spark, folder), "index")
-    hits = near_duplicates(index, ENCODER, approximate=approximate)
+    hits = near_duplicates(index, ENCODER, **how)
     return hits.select("source_id", "id", "similarity_score", "similarity_persen", "level", "semantic_rank")
 
 
 @query("near_duplicates")
 def near_duplicate_report(spark: SparkSession, folder: str) -> DataFrame:
-    return _near(spark, folder, approximate=False)
+    return _near(spark, folder)
+
+
+@query("near_duplicates_cells")
+def near_duplicate_report_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """The exact form by angle bounds between cells."""
+    return _near(spark, folder, cells=True)
 
 
 @query("near_duplicates_lsh")
 def near_duplicate_report_lsh(spark: SparkSession, folder: str) -> DataFrame:
-    """The approximate form, measured against the exact one."""
-    return _quality(_near(spark, folder, approximate=False), _near(spark, folder, approximate=True), "source_id", 0.95)
+    """The approximate form: rows found by probing cells."""
+    return _near(spark, folder, approximate=True)
 
 
 @query("vector_topk")
@@ -178,22 +185,18 @@ def vector_topk_tiled(spark: SparkSession, folder: str) -> DataFrame:
     return _shape(topk_cosine(_vector_queries(vecs, False, True), vecs, dim=64, k=5, settings=forced))
 
 
-def _quality(exact: DataFrame, found: DataFrame, key: str, least: float) -> DataFrame:
-    """One row: how many exact hits there are, whether the share found is high enough, and wrong scores."""
-    both = exact.select(key, "id", F.col("similarity_score").alias("want")).join(found.select(key, "id", F.col("similarity_score").alias("got")), [key, "id"], "left")
-    wrong = F.sum((F.col("got") != F.col("want")).cast("int"))
-    return both.agg(
-        F.count("*").alias("exact_hits"), (F.count("got") >= least * F.count("*")).alias("recall_reached"),
-        F.coalesce(wrong, F.lit(0)).alias("wrong_scores"),
-    )
+@query("vector_topk_cells")
+def vector_topk_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """The exact form by angle bounds between cells."""
+    vecs = src.vectors(spark, folder)
+    return _shape(topk_cosine_cells(_vector_queries(vecs, False, True), vecs, dim=64, k=5, exact=True))
 
 
 @query("vector_topk_lsh")
 def vector_topk_lsh(spark: SparkSession, folder: str) -> DataFrame:
-    """The approximate form, measured against the exact one."""
+    """The approximate form: rows found by probing cells."""
     vecs = src.vectors(spark, folder)
-    queries = _vector_queries(vecs, False, True)
-    return _quality(_shape(topk_cosine(queries, vecs, dim=64, k=5)), _shape(topk_cosine_lsh(queries, vecs, dim=64, k=5)), "query_id", 0.95)
+    return _shape(topk_cosine_cells(_vector_queries(vecs, False, True), vecs, dim=64, k=5))
 
 
 # --- pairs ------------------------------------------------------------------------------------

@@ -8,10 +8,9 @@ Exact search, two physical forms with the same result:
   whatever the data looks like, and each (query tile, corpus tile) meets in one bounded task.
 
 Either way a task emits at most k rows per query, never all pairs, and a window picks the final k.
-``topk_cosine_lsh`` is the approximate form: rows meet only inside shared hash buckets, and buckets
-with many rows are tiled the same way.
+``operators.cells`` has the forms that look at a part of the corpus only.
 
-Both large forms first collapse copies, which loses nothing: equal query vectors are searched once, and
+The tiled form first collapses copies, which loses nothing: equal query vectors are searched once, and
 of equal corpus vectors only the first k + 1 ids can ever be a result (one may be the excluded id).
 
 Ranking is by the cosine snapped to 1e-10, then by id; summation order cannot change a result.
@@ -275,7 +274,7 @@ def _without_copies(q: DataFrame, c: DataFrame, search, limit: int) -> DataFrame
     found = search(groups.withColumn("exclude_id", F.lit(None).cast("string")), kept)
     best = _final(found, cap)
     lists = best.groupBy("query_id").agg(F.collect_list(F.struct("cosine", "id")).alias("hits"))  # at most k + 1
-    answers = groups.select("query_id", *same, "uses").join(lists, "query_id").drop("query_id")
+    answers = stage(groups.select("query_id", *same, "uses").join(lists, "query_id").drop("query_id"), "answers")  # read more than once below
     hits = join_unique(q, answers, same, "uses").select(
         "query_id", "top_k", "exclude_id", "floor", F.inline("hits").alias("cosine", "id")
     )
@@ -290,73 +289,3 @@ def _tiled(q: DataFrame, c: DataFrame, dim: int, count: int, rows: int, settings
     q_side = q.withColumn("q_tile", _tile("query_id", F.lit(q_tiles))).withColumn("c_tile", every(c_tiles))
     c_side = c.withColumn("c_tile", _tile("id", F.lit(c_tiles))).withColumn("q_tile", every(q_tiles))
     return _meet(q_side, c_side, ["q_tile", "c_tile"], q_tiles * c_tiles, dim)
-
-
-def _signatures(dim: int, bands: int, bits: int, seed: int):
-    """Random-hyperplane codes, one per band; planes follow from the seed, so every task agrees."""
-
-    def codes(vectors: pa.Array) -> pa.Array:
-        present = vectors.is_valid().to_numpy(zero_copy_only=False)
-        raw = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(int(present.sum()), dim)
-        planes = np.random.default_rng(seed).standard_normal((dim, bands * bits))
-        sides = (raw @ planes >= 0).reshape(len(raw), bands, bits)
-        value = (sides << np.arange(bits)).sum(axis=2).astype(np.int64)
-        offsets = np.concatenate([[0], np.cumsum(present * bands)]).astype(np.int32)  # no codes without a vector
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(value.ravel()))
-
-    return F.arrow_udf(codes, T.ArrayType(T.LongType(), containsNull=False))
-
-
-def topk_cosine_lsh(
-    queries: DataFrame,
-    corpus: DataFrame,
-    dim: int,
-    k: int | None = None,
-    bands: int = 16,
-    bits: int = 3,
-    seed: int = 7,
-    settings: Settings = DEFAULTS,
-) -> DataFrame:
-    """Approximate top-k: exact cosines of all rows that share at least one band code with the query.
-
-    Recall depends on ``bands`` and ``bits`` alone, never on the size of the corpus: a pair at angle a meets with
-    chance 1 - (1 - (1 - a / pi) ** bits) ** bands. Each bit more halves the work and costs recall.
-    """
-    q, c, _, most = _prepare(queries, corpus, k, settings)
-    rows = c.count()
-
-    def search(qs: DataFrame, cs: DataFrame) -> DataFrame:
-        banded = _signatures(dim, bands, bits, seed)
-        codes = [stage(side.withColumn("codes", banded("embedding")), "codes") for side in (qs, cs)]
-        qs, cs = (side.select("*", F.posexplode("codes").alias("band", "code")).drop("codes") for side in codes)
-        tiles = _bucket_tiles(qs, cs, settings)  # reads the codes only
-        qs = _join_tiles(qs, tiles, settings).withColumn("q_tile", _tile("query_id", F.col("q_tiles")))
-        qs = qs.withColumn("c_tile", F.explode(F.sequence(F.lit(0), F.col("c_tiles") - 1)))
-        cs = _join_tiles(cs, tiles, settings).withColumn("c_tile", _tile("id", F.col("c_tiles")))
-        cs = cs.withColumn("q_tile", F.explode(F.sequence(F.lit(0), F.col("q_tiles") - 1)))
-        found = _meet(qs, cs, ["band", "code", "q_tile", "c_tile"], bands * rows // settings.tile_rows, dim)
-        return found.groupBy("query_id", "id").agg(F.max("cosine").alias("cosine"), F.max("top_k").alias("top_k"))
-
-    return _without_copies(q, c, search, most)
-
-
-def _bucket_tiles(q: DataFrame, c: DataFrame, settings: Settings) -> DataFrame | None:
-    """Tile counts of the buckets that exceed one tile on either side; None when there are none."""
-    sides = q.select("band", "code", F.lit(1).alias("n_q"), F.lit(0).alias("n_c")).unionByName(
-        c.select("band", "code", F.lit(0).alias("n_q"), F.lit(1).alias("n_c"))
-    )
-    counts = sides.groupBy("band", "code").agg(F.sum("n_q").alias("n_q"), F.sum("n_c").alias("n_c"))
-    big = counts.where((F.col("n_q") > settings.tile_rows) | (F.col("n_c") > settings.tile_rows))
-    tiles = lambda n: F.ceil(F.greatest(F.col(n), F.lit(1)) / settings.tile_rows).cast("int")
-    found = stage(big.select("band", "code", tiles("n_q").alias("q_tiles"), tiles("n_c").alias("c_tiles")), "buckets")
-    return None if found.isEmpty() else found
-
-
-def _join_tiles(side: DataFrame, tiles: DataFrame | None, settings: Settings) -> DataFrame:
-    if tiles is None:
-        return side.withColumns({"q_tiles": F.lit(1), "c_tiles": F.lit(1)})
-    if tiles.count() <= settings.broadcast_rows:
-        tiles = F.broadcast(tiles)
-    one = F.lit(1)
-    joined = side.join(tiles, ["band", "code"], "left")
-    return joined.withColumns({"q_tiles": F.coalesce("q_tiles", one), "c_tiles": F.coalesce("c_tiles", one)})

@@ -10,9 +10,10 @@ from serupa.config import DEFAULTS, Settings
 from serupa.functions import scoring
 from serupa.functions import text as tx
 from serupa.functions.rounding import round4
+from serupa.operators.cells import topk_cosine_cells
 from serupa.operators.encode import Encoder, encode_texts
 from serupa.operators.skew import join_unique
-from serupa.operators.topk import NO_FLOOR, topk_cosine, topk_cosine_lsh
+from serupa.operators.topk import NO_FLOOR, topk_cosine
 from serupa.session import stage
 
 
@@ -57,12 +58,14 @@ def similarity_hits(
     dynamic=(),
     settings: Settings = DEFAULTS,
     approximate: bool = False,
+    cells: bool = False,
 ) -> DataFrame:
     """Hits of valid queries, with ``semantic_rank`` for ordering: top-k by cosine, then the hybrid threshold.
 
     ``queries``: query_id, judul, top_k, threshold, document_type, optionally exclude_id and a ready
     ``embedding``. ``dynamic``: dynamic stopwords. The index is scanned twice, for vectors and for the
-    titles of the hits, each time only the columns needed.
+    titles of the hits, each time only the columns needed. ``cells`` searches by trained cells, with the same result;
+    ``approximate`` probes some of them only.
     """
     if index.isEmpty():
         raise EmptyIndex("Belum ada data skripsi yang diindeks. Jalankan sinkronisasi terlebih dahulu.")
@@ -72,8 +75,11 @@ def similarity_hits(
     count, distinct, most = queries.agg(F.count("*"), F.countDistinct("query_id"), F.max("top_k")).first()
     if distinct < count:
         raise ValueError("query_id must be unique and not null")
-    search = topk_cosine_lsh if approximate else topk_cosine
-    found = search(cleaned.withColumn("floor", semantic_floor(F.col("threshold"), settings)), index, encoder.dim, settings=settings)
+    floored = cleaned.withColumn("floor", semantic_floor(F.col("threshold"), settings))
+    if approximate or cells:
+        found = topk_cosine_cells(floored, index, encoder.dim, exact=not approximate, settings=settings)
+    else:
+        found = topk_cosine(floored, index, encoder.dim, settings=settings)
     bounded = count * (most or 1) <= settings.broadcast_rows
     titles = index.select("id", "document", "document_id", "document_type")
     words = scoring.word_set(tx.clean_title(F.col("document"), dynamic))

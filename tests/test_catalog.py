@@ -26,8 +26,12 @@ def cells(rows):
     return sorted((tuple(map(cell, r)) for r in rows), key=repr)
 
 
+#: Rows found by probing trained cells: what SQL cannot say is tested for recall and share of pairs in test_cells.py.
+APPROXIMATE = {"vector_topk_lsh", "near_duplicates_lsh"}
+
+
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLE) and set(QUERIES) <= set(queries()) and set(oracle_sql()) <= set(queries())
+    assert set(QUERIES) == set(ORACLE) | APPROXIMATE and set(QUERIES) <= set(queries()) and set(oracle_sql()) <= set(queries())
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the generated tables")

@@ -7,7 +7,7 @@ from serupa.operators.encode import HashEncoder, PandasEncoder, encode_documents
 from serupa.operators.index import index_rows
 from serupa.operators.ingest import with_columns
 from serupa.operators.skew import join_unique
-from serupa.operators.topk import topk_cosine, topk_cosine_lsh
+from serupa.operators.topk import topk_cosine
 from serupa.plans.check import EmptyIndex, similarity_check, similarity_hits, similarity_summary
 from serupa.plans.compare import compare_pairs
 from serupa.plans.near_duplicates import near_duplicates
@@ -67,24 +67,12 @@ def test_topk_equals_brute_force(spark, settings, floor):
     assert got == want
 
 
-def test_topk_lsh_is_exact_on_what_it_finds(spark):
-    corpus, raw = vectors(spark)
-    queries, rows = asked(spark, raw)
-    got = result(topk_cosine_lsh(queries, corpus, DIM, bits=2, settings=Settings(tile_rows=20)))
-    want = brute(raw, [(q, np.array(v), k, t, x) for q, v, k, t, x in rows])
-    cosine = {(q, i): c for q, i, _, c in brute(raw, [(q, np.array(v), 300, t, x) for q, v, k, t, x in rows])}
-    assert all(cosine[q, i] == c for q, i, _, c in got)
-    found = {(q, i) for q, i, _, _ in got}
-    assert len(found & {(q, i) for q, i, _, _ in want}) / len(want) > 0.95
-
-
 def test_rows_without_vector_are_skipped(spark):
     corpus = spark.createDataFrame([("a", None), ("b", [1.0, 0.0])], "id STRING, embedding ARRAY<FLOAT>")
     queries = spark.createDataFrame([("q", [1.0, 0.0]), ("r", None)], "query_id STRING, embedding ARRAY<FLOAT>")
     for settings in (Settings(), Settings(broadcast_bytes=0)):
         got = topk_cosine(queries, corpus, 2, k=3, settings=settings).collect()
         assert [(r.query_id, r.id, r.cosine, r.semantic_rank) for r in got] == [("q", "b", 1.0, 1)]
-    assert [r.id for r in topk_cosine_lsh(queries, corpus, 2, k=3).collect()] == ["b"]
 
 
 def test_widths_are_checked(spark):
@@ -106,17 +94,6 @@ def test_no_cap_on_k_and_a_floor_per_query(spark):
         assert result(topk_cosine(wide, corpus, DIM, settings=settings)) == want
 
 
-@pytest.mark.parametrize("n", [300, 1200, 4000])
-def test_recall_of_hash_buckets_does_not_depend_on_size(spark, n):
-    rng = np.random.default_rng(n)
-    raw = rng.standard_normal((n, 32))
-    rows = [(i, f"d{i}", [float(x) for x in raw[i]]) for i in range(n)]
-    corpus = spark.createDataFrame(rows, "query_id BIGINT, id STRING, embedding ARRAY<FLOAT>").repartition(4)
-    queries = corpus.where(F.col("query_id") % (n // 50) == 0).select("query_id", "embedding")
-    found, want = (result(search(queries, corpus, 32, k=5)) for search in (topk_cosine_lsh, topk_cosine))
-    assert len({x[:2] for x in found} & {x[:2] for x in want}) / len(want) > 0.95
-
-
 def test_repeated_query_ids_are_refused(spark):
     with pytest.raises(ValueError, match="unique"):
         similarity_check(ask(spark, (1, "Deteksi", 5, 0.5, None), (1, "Padi", 5, 0.5, None)), small_index(spark), HashEncoder())
