@@ -36,9 +36,9 @@ from pyspark.sql import functions as F
 from serupa.llm.sampling import bounded_sample
 from serupa.session import stage
 
-BLOCK_ROWS = 1 << 15  # codes of one block
-QUERY_ROWS = 1 << 10  # queries of one block
-FETCH_ROWS = 1 << 14  # candidates' vectors that meet a block of queries at once
+BLOCK_ROWS = 1 << 14  # codes of one block
+QUERY_ROWS = 1 << 12  # queries of one block
+FETCH_ROWS = 1 << 13  # candidates' vectors that meet a block of queries at once
 FIT_ROWS = 4096
 FIRST = 4  # times k best estimates are computed exactly for the floor
 SIGMAS = 1.9
@@ -193,11 +193,20 @@ def _exact(candidates: DataFrame, rows: DataFrame, asked: DataFrame, k: int) ->
         queries = np.frombuffer(block.column("vectors")[0].as_py(), np.float64).reshape(-1, width)
         ids, x = table.column("vec_id").to_numpy(), _flat(table.column("v").combine_chunks(), width)
         lists = [np.frombuffer(b, np.int32) for b in table.column("queries").to_pylist()]
-        at = np.repeat(np.arange(len(lists)), [len(b) for b in lists])
-        query = np.concatenate(lists) if lists else np.zeros(0, np.int32)
-        score = np.concatenate([(x[at[i : i + (1 << 16)]] * queries[query[i : i + (1 << 16)]]).sum(axis=1) for i in range(0, len(at), 1 << 16)] or [np.zeros(0)])
+        wanted = np.zeros((len(lists), len(queries)), bool)
+        wanted[np.repeat(np.arange(len(lists)), [len(b) for b in lists]), np.concatenate(lists)] = True
+        last = min(len(ids), k + len(ids) - len(np.unique(ids)))  # an id that repeats must not push others out
+        found = []
+        for i in range(0, len(queries), TOGETHER):
+            product = np.where(wanted[:, i : i + TOGETHER], x @ queries[i : i + TOGETHER].T, -np.inf)
+            least = np.partition(product, len(ids) - last, axis=0)[len(ids) - last]
+            # products of a matrix may be rounded otherwise: the last places are decided by the plain sums below
+            near, query = np.nonzero((product >= least - 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0)))) & np.isfinite(product))
+            found.append((near, query + i))
+        at, query = (np.concatenate(f) for f in zip(*found, strict=True))
+        score = (x[at] * queries[query]).sum(axis=1)
         order = np.lexsort((ids[at], -score, query))
-        query, score, near = query[order], score[order], ids[at][order]
+        query, score, near = query[order].astype(np.int32), score[order], ids[at][order]
         _, best = np.unique(np.stack([query.astype(np.int64), near], 1), axis=0, return_index=True)  # of a repeated id the best row
         best.sort()
         query, score, near = query[best], score[best], near[best]
@@ -224,9 +233,9 @@ def search(vectors: DataFrame, key: str, vector: str, k: int = 20, every: int =
     cores = vectors.sparkSession.sparkContext.defaultParallelism
     blocks = max(total // BLOCK_ROWS + 1, min(2 * cores, total // 1024 + 1))
     code = lambda x: encode(x, centres.get(x.shape[1], np.zeros(x.shape[1])), seed)
-    codes = _packed(rows.repartition(blocks, "row"), BLOCK_ROWS, code)
+    codes = _packed(rows.repartition(blocks), BLOCK_ROWS, code)
     codes = stage(codes.select(F.col("block").alias("codes"), "width", F.col("ids").alias("c_ids"), F.col("rows").alias("c_rows"), F.col("vectors").alias("bits"), "scalars"), "codes")
-    asked = rows.where(F.col("id") % every == 0).repartition(queries // QUERY_ROWS + 1, "row")
+    asked = rows.where(F.col("id") % every == 0).repartition(queries // QUERY_ROWS + 1)
     asked = stage(_packed(asked, QUERY_ROWS, None).select(F.col("block").alias("asked"), "width", "ids", "vectors"), "asked")
 
     wide = codes.select("width", "codes").distinct()  # a row per block
