@@ -9,7 +9,7 @@ the window would not fit, and the rest is compared word by word.
 Words are runs of characters other than ASCII non-alphanumerics, A-Z lowered.
 
 Defined results: a null or wordless text has no words and no hits, and is not contaminated. Null or
-wordless items, and items without id, take no part. Items that repeat an id share it; equal windows of
+wordless items take no part. The windows of items without id hit words like others; only the list of items lacks them. Items that repeat an id share it; equal windows of
 several items count for each. Repeated documents get equal rows. An empty benchmark hits nothing.
 """
 
@@ -59,7 +59,7 @@ class Windows:
         words = np.zeros((len(found), longest), np.int64)
         for i, w in enumerate(found):
             words[i, : len(w)] = w
-        return cls(vocabulary, words, np.array([len(w) for w in found], np.int64), [sorted(x) for x in found.values()])
+        return cls(vocabulary, words, np.array([len(w) for w in found], np.int64), [sorted(i for i in x if i is not None) for x in found.values()])
 
     def pairs(self) -> np.ndarray:
         """(windows, pairs) codes, -1 behind a window's end. The one pair of a one-word window has no second word."""
@@ -201,7 +201,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], text:
 
     The benchmark is shipped to the tasks in chunks of about ``CHUNK_BYTES`` of text, one pass each.
     """
-    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(passage).cast("string").alias("text")).dropna()
+    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(passage).cast("string").alias("text")).where("text IS NOT NULL")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = size // CHUNK_BYTES + 1
     part = F.pmod(F.xxhash64("item", "text"), F.lit(chunks))
@@ -234,13 +234,13 @@ def _word_list(column: str) -> str:
 
 OP9_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_word_list("text")} AS w FROM documents),
-b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_word_list("text")} AS w FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_word_list("text")} AS w FROM benchmark),
 v AS (SELECT DISTINCT item, w[i:i + least(13, len(w)) - 1] AS win FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i FROM b WHERE len(w) > 0)),
 l AS (SELECT DISTINCT len(win) AS n FROM v),
 p AS (SELECT r, i, n, w[i:i + n - 1] AS win FROM (SELECT r, w, n, unnest(range(1, greatest(0, len(w) - n + 1) + 1)) AS i FROM d, l)),
 h AS (SELECT p.r, p.i, p.n, v.item FROM p JOIN v ON p.win = v.win),
 c AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM h) GROUP BY r),
-t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h WHERE item IS NOT NULL) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)

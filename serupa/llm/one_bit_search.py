@@ -245,8 +245,9 @@ def search(vectors: DataFrame, key: str, vector: str, k: int = 20, every: int =
     first = _candidates(meet(asked), centres, seed, FIRST * k, sigmas)
     first = first.groupBy("asked", "query", "vec_id").agg(F.max("estimate").alias("estimate"), F.max_by("row", "estimate").alias("row"))
     first = first.withColumn("place", F.row_number().over(place.orderBy(F.desc("estimate"), "vec_id"))).where(F.col("place") <= FIRST * k)
-    one = F.unhex(F.concat(*(F.substring(F.lpad(F.hex("query"), 8, "0"), i, 2) for i in (7, 5, 3, 1))))  # four bytes, the low one first
-    known = _exact(stage(first.select("asked", "row", one.alias("queries")), "first"), rows, asked, FIRST * k)
+    four = F.concat(*(F.substring(F.lpad(F.hex("query"), 8, "0"), i, 2) for i in (7, 5, 3, 1)))  # the low byte first
+    lists = first.groupBy("asked", "row").agg(F.unhex(F.array_join(F.collect_list(four), "")).alias("queries"))  # QUERY_ROWS at most
+    known = _exact(stage(lists, "first"), rows, asked, FIRST * k)
     best = known.groupBy("asked", "query", "vec_id").agg(F.max("score").alias("score"))
     kth = best.withColumn("place", F.row_number().over(place.orderBy(F.desc("score")))).where(F.col("place") == k)
     kth = stage(kth.groupBy("asked").agg(F.collect_list(F.struct("query", "score")).alias("floors")), "floors")  # QUERY_ROWS at most

@@ -16,6 +16,8 @@ from serupa.llm.simhash import near_duplicates
 from serupa.llm.source_mix import mix
 from serupa.session import ship_package, stage
 
+BROADCAST_BYTES = 64 << 20  # numbers of dropped rows that are sent to all tasks
+
 
 def _positional(docs: DataFrame) -> tuple[DataFrame, list[str], dict[str, str]]:
     """The table with columns c0, c1, ..., their names, and the new name of each old one."""
@@ -25,26 +27,34 @@ def _positional(docs: DataFrame) -> tuple[DataFrame, list[str], dict[str, str]]:
 
 
 def keep_recognised_languages(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Without documents that have no letter or are in no learned language, as told by a network with a background class."""
+    """Without documents that have no letter or are in no learned language, as told by a network with a background class.
+
+    A table without labelled rows teaches no language; then every document with a letter stays.
+    """
     rows, names, new = _positional(docs)
     net = fit_network(rows, new["doc_id"], new["text"], new["lang"], background=True)
+    if net is None:
+        return rows.where(F.coalesce(F.col(new["text"]).rlike(r"\p{L}"), F.lit(False))).toDF(*docs.columns)
     found = predict(rows, net, names, new["text"])
     return found.where(F.col("lang_pred") != UNKNOWN).select(*names).toDF(*docs.columns)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Of each class of near copies the row with the smallest doc_id (null last), and of rows equal in all columns, one."""
+    """Of each class of near copies the row with the smallest doc_id, null last; of several such rows, the first by text, then any one.
+
+    Rows are told apart by numbers of a staged copy, so columns of any type pass, and the rows that stay are not moved:
+    the numbers of those that go are few enough to be sent to them, or are joined.
+    """
     rows, names, new = _positional(docs)
-    key = new["doc_id"]
-    rows = rows.withColumn("row", F.xxhash64(*names))
-    classes = near_duplicates(rows, ["row"], key, new["text"]).groupBy("class_id", key, "row").agg(F.count("*").alias("same"))
-    first = classes.groupBy("class_id").agg(F.min(F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("id"), "row", "same")).alias("first"))
-    chosen = stage(first.select("first.id", "first.row", "first.same"), "chosen")
-    kept = rows.join(chosen, (rows["row"] == chosen["row"]) & rows[key].eqNullSafe(chosen["id"]))
-    once = kept.where("same = 1").select(*names)
-    if not chosen.where("same > 1").isEmpty():
-        once = once.unionByName(kept.where("same > 1").select(*names).dropDuplicates())
-    return once.toDF(*docs.columns)
+    key, text = new["doc_id"], new["text"]
+    rows = stage(rows.select(*names, F.monotonically_increasing_id().alias("row")), "rows")
+    classes = near_duplicates(rows.select(key, text, "row", F.xxhash64(text).alias("draw")), ["row", "draw"], key, text)
+    classes = stage(classes.select("class_id", key, "row", "draw"), "near_classes")
+    order = F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("id"), "draw", "row")
+    first = classes.groupBy("class_id").agg(F.min(order).alias("first")).select(F.col("first.row").alias("row"))
+    gone = stage(classes.select("row").join(first, "row", "left_anti"), "gone")
+    few = gone.count() * 16 <= BROADCAST_BYTES
+    return rows.join(F.broadcast(gone) if few else gone, "row", "left_anti").select(*names).toDF(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -65,6 +75,12 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The mix of what is left: doc_id, size, source_size, target and taken."""
-    rows, _, new = _positional(docs)
-    return mix(rows, [new["doc_id"]], new["doc_id"], new["source"], new["text"]).withColumnRenamed(new["doc_id"], "doc_id")
+    """The mix of what is left: doc_id, size, source_size, target and taken, then the document's text, lang and source.
+
+    The mix is made of narrow rows; texts join it once, by row number.
+    """
+    rows, names, new = _positional(docs)
+    rows = stage(rows.select(*names, F.monotonically_increasing_id().alias("row")), "rows")
+    made = mix(rows, [new["doc_id"], "row"], new["doc_id"], new["source"], new["text"])
+    content = [F.col(new[c]).alias(c) for c in ("text", "lang", "source") if c in new]
+    return made.withColumnRenamed(new["doc_id"], "doc_id").join(rows.select("row", *content), "row").drop("row")

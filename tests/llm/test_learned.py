@@ -164,7 +164,22 @@ def staged(spark):
 
 def test_stages_keep_columns(staged):
     assert all(x.columns == staged[0].columns and x.dtypes == staged[0].dtypes for x in staged[1:-1])
-    assert staged[-1].columns == ["doc_id", "size", "source_size", "target", "taken"]
+    assert staged[-1].columns == ["doc_id", "size", "source_size", "target", "taken", "text", "lang", "source"]
+
+
+def test_stages_pass_columns_of_any_type(spark):
+    """Maps, variants, arrays and structs, with repeated rows, null texts throughout and no labels."""
+    made = "map('k', id) AS m, parse_json('[1, 2]') AS v, array(id) AS a, named_struct('x', id) AS s"
+    texts = "CASE WHEN id < 3 THEN 'one and the same text here' WHEN id < 6 THEN concat('another text of number ', id * 1000003) END"
+    docs = spark.sql(f"SELECT id AS doc_id, {texts} AS text, CAST(null AS string) AS lang, 'src' AS source, 0L AS n_chars, {made} FROM range(8)")
+    docs = docs.unionByName(docs.where("doc_id = 1"))
+    kept = stages.keep_recognised_languages(spark, docs, SMALL)
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == [0, 1, 1, 2, 3, 4, 5]  # no labels: all with a letter
+    for apply in (stages.keep_one_of_near_copies, stages.drop_contaminated, stages.mask_personal_data):
+        assert apply(spark, docs, SMALL).columns == docs.columns
+    once = [r.doc_id for r in stages.keep_one_of_near_copies(spark, docs, SMALL).select("doc_id").collect()]
+    assert 0 in once and 1 not in once and 2 not in once and len(once) == len(set(once)) and once.count(6) + once.count(7) == 1
+    assert stages.mix_sources(spark, docs, SMALL).count() == 9
 
 
 def test_stage_language(staged):
@@ -215,6 +230,7 @@ def test_stage_personal_data(staged):
 def test_stage_mix(staged):
     rows = staged[4].collect()
     ids = {r.doc_id: n for n, r in enumerate(rows)}
+    assert sorted((r.text or "") for r in staged[5].collect()) == sorted((r.text or "") for r in rows)
     got = [r.asDict() | {"doc_id": ids[r.doc_id]} for r in staged[5].collect()]
     check_mix([type("R", (), x | {"__getitem__": lambda self, k: getattr(self, k)})() for x in got], [(r.source, r.text) for r in rows], 0.03)
 

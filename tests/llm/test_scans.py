@@ -63,7 +63,8 @@ def contaminated(text, items, window=13):
             for i in range(len(w) - len(win) + 1):
                 if tuple(w[i : i + len(win)]) == win:
                     hit.update(range(i, i + len(win)))
-                    found.add(str(item))
+                    if item is not None:
+                        found.add(str(item))
     return len(w), len(hit), sorted(found)
 
 
@@ -77,7 +78,8 @@ def passages():
 
 def test_contamination(spark, docs, odd_texts, monkeypatch):
     items, texts = passages()
-    benchmark = spark.createDataFrame([(str(i), t, 1) for i, t in items] + [(None, "lost item", 2)], "item_id string, text string, score int")
+    items, texts = [*items, (None, "item without id"), (None, items[2][1])], [*texts, "an item without id, so it is", items[2][1]]
+    benchmark = spark.createDataFrame([(None if i is None else str(i), t, 1) for i, t in items], "item_id string, text string, score int")
     table = docs(odd_texts + texts, repeat=[15, 15])
     want = {i: contaminated(t, items) for i, t in enumerate(odd_texts + texts)}
     results = []
