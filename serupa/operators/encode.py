@@ -133,16 +133,19 @@ def encode_documents(
 def _encode_parts_once(parts: DataFrame, encoder: Encoder, names: tuple[str, ...]) -> DataFrame:
     """One encoder call per distinct text over all fields, one join back, one regrouping.
 
-    The vectors are written to the scratch folder, so the encoder runs in a job of its own. A text that very
-    many documents share makes a large partition of the join, which the adaptive skew join splits.
+    Documents are numbered in a staged copy, so a task that runs again gives the same numbers. The vectors are written to
+    the scratch folder, so the encoder runs in a job of its own. Missing texts, often most of them, do not enter the join.
+    A text that very many documents share makes a large partition of it, which the adaptive skew join splits.
     """
+    numbered = stage(parts.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    parts = numbered.drop("_row")
     texts = parts.select(F.explode(F.array(*[F.col(f"_{n}") for n in names])).alias("_text")).where("_text is not null")
     encoded = stage(texts.distinct().withColumn("_v", encoder.column(F.col("_text"))), "vectors")
     whole = F.struct(*[F.col(c) for c in parts.columns])
     cells = [F.struct(F.lit(i).alias("part"), F.col(f"_{n}").alias("_text"), (whole if i == 0 else F.lit(None).cast(parts.schema)).alias("doc")) for i, n in enumerate(names)]
-    numbered = parts.withColumn("_row", F.monotonically_increasing_id())  # below the generator: one number per document
     rows = numbered.select("_row", F.inline(F.array(*cells)))
-    joined = rows.join(encoded, "_text", "left").groupBy("_row")
+    missing = rows.where("_text IS NULL").withColumn("_v", F.lit(None).cast(encoded.schema["_v"].dataType))
+    joined = rows.where("_text IS NOT NULL").join(encoded, "_text").unionByName(missing).groupBy("_row")
     vector = lambda i: F.max_by("_v", F.when(F.col("part") == i, 1)).alias(f"_v_{names[i]}")
     back = joined.agg(F.max_by("doc", F.when(F.col("part") == 0, 1)).alias("doc"), *map(vector, range(len(names))))
     return back.select("doc.*", *[f"_v_{n}" for n in names])

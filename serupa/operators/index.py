@@ -59,17 +59,6 @@ def index_rows(
     )
 
 
-def apply_upserts(index: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows replace index entries of the same id; ``rows`` holds each id once."""
-    return index.join(rows.select("id"), "id", "left_anti").unionByName(rows)
-
-
-def apply_deletes(index: DataFrame, keys: DataFrame) -> DataFrame:
-    """Entries whose key is listed vanish; unknown keys do nothing."""
-    ids = keys.select(delete_key(F.col("key")).alias("id"))
-    return index.join(ids, "id", "left_anti")
-
-
 def page_of_ids(index: DataFrame, limit: int = 500, offset: int = 0, after: str | None = None) -> DataFrame:
     """One page of ids in order. ``after``, the last id of the page before, costs the same on every page;
     ``offset`` sorts all rows before it as well."""
