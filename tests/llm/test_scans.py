@@ -169,6 +169,77 @@ def test_secrets_in_assignments_sentences_and_files():
     assert not kinds(f"{JWT}.more")
 
 
+def confirmed(text):
+    return [(k, text[a:b]) for k, a, b in secret_scan.confirmed_spans(text)]
+
+
+def test_armoured_keys_in_literals_and_letters():
+    body = base64.encodebytes(PKCS8).decode()
+    plain = f"-----BEGIN PRIVATE KEY-----\n{body}-----END PRIVATE KEY-----"
+    shapes = [
+        plain, json.dumps(plain)[1:-1], json.dumps(json.dumps(plain))[3:-3], plain.replace("\n", "\\r\\n"), plain.replace("\n", "\r\n"),
+        plain.replace("\n", "\n> "), plain.replace("\n", "\n> > "), plain.replace("\n", "\n    "), plain.replace("\n", "\\n\" +\n  \""), plain.replace("\n", "\",\n\""),
+    ]
+    for shape in shapes:
+        assert confirmed(f'é {{"private_key": "{shape}"}}') == [("key", shape)], shape
+    assert not confirmed(plain.replace(body, "AAAA" + body)) and not confirmed(f"-----BEGIN PRIVATE KEY-----\n{'A' * 64}\n-----END PRIVATE KEY-----")
+    bare = body.strip()  # without sound armour the run itself is still a key
+    assert confirmed(plain.replace("\n", "\n! ")) == confirmed(plain.replace("END PRIVATE", "END RSA PRIVATE")) == [("key", bare)]
+    again = f"-----BEGIN PRIVATE KEY-----\nlost {plain} {plain}"
+    assert confirmed(again) == [("key", plain)] * 2
+
+
+def test_encrypted_keys():
+    cipher = base64.encodebytes(bytes(range(7, 103))).decode()
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{}\n\n"
+    block = "-----BEGIN RSA PRIVATE KEY-----\n{}" + cipher + "-----END RSA PRIVATE KEY-----"
+    sound = block.format(head.format("0F" * 16))
+    assert confirmed(sound) == [("key", sound)] and confirmed(sound.replace("\n", "\\n")) == [("key", sound.replace("\n", "\\n"))]
+    assert not confirmed(block.format("")) and not confirmed(block.format(head.format("0F" * 5)))
+    assert not confirmed(sound.replace(cipher, base64.encodebytes(bytes(50)).decode()))
+    oid = lambda text: der(6, bytes.fromhex(text))
+    locked = der(0x30, der(0x30, oid("2a864886f70d01050d") + der(0x30, b"")) + der(4, bytes(48)))
+    digest = der(0x30, der(0x30, oid("608648016503040201") + der(5, b"")) + der(4, bytes(32)))
+    for data, want in ((locked, ["key"]), (digest, []), (locked[:-1], [])):
+        assert [k for k, _ in confirmed(f"see {base64.b64encode(data).decode()}")] == want
+    pem = f"-----BEGIN ENCRYPTED PRIVATE KEY-----\n{base64.encodebytes(locked).decode()}-----END ENCRYPTED PRIVATE KEY-----"
+    assert confirmed(pem) == [("key", pem)]
+
+
+def test_broken_runs_are_joined():
+    run = base64.b64encode(RSA).decode()
+    for width in (40, 64, 76):
+        for end in ("\n", "\r\n", "\\n", "\n> ", "\n\t"):
+            lines = end.join(run[i : i + width] for i in range(0, len(run), width))
+            assert confirmed(f"key: {lines} end") == [("key", lines)], (width, end)
+            assert confirmed(f"key: {lines}\nThanks a lot\n") == [("key", lines)]
+    data = der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2b\x65\x70")) + der(4, b"k" * 82))  # 96 bytes, two full lines
+    full = base64.encodebytes(data).decode().replace("\n", "")
+    full = f"{full[:64]}\n{full[64:]}"
+    assert len(data) == 96 and confirmed(f"{full}\nThanks") == [("key", full)]
+    other = "\n".join(hashlib.sha256(bytes([i])).hexdigest() for i in range(50))
+    assert not confirmed(other) and not confirmed("\n".join("x" * 60 for _ in range(2000)))
+
+
+def test_decoded_texts_are_scanned_again():
+    pem = "-----BEGIN RSA PRIVATE KEY-----\n" + base64.encodebytes(RSA).decode() + "-----END RSA PRIVATE KEY-----\n"
+    wrap = lambda text: base64.b64encode(text.encode()).decode()
+    for inner in (pem, f"Bearer {JWT}", "Kennwörter: password=hunter2hunter2 für é", "パスワード password=hunter2hunter2"):
+        run = wrap(inner)
+        for _ in range(secret_scan.DEPTH):
+            assert confirmed(f"x {run} y") == [("wrapped", run)]
+            run = wrap(run)
+        assert not confirmed(f"x {run} y")
+    assert not confirmed(wrap("nothing of interest in this sentence, naïve as it is")) and not confirmed(wrap("password=hunter2hunter2\x01"))
+
+
+def test_clean_texts_have_no_confirmed_spans(spark):
+    texts = [r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").select("text").collect()]
+    r = random.Random(3)
+    noise = ["".join(r.choices("ABCDEFghijkl0123456789+/", k=r.randint(20, 300))) for _ in range(3000)]
+    assert not any(confirmed(t) for t in texts + noise)
+
+
 def plain_personal(text):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
@@ -207,7 +278,7 @@ def test_personal_data(docs, odd_texts):
 def test_long_runs_take_linear_time():
     for text in ("a" * 2_000_000 + "@", "1" * 2_000_000, "+" + "1 " * 1_000_000, "a@" * 300_000, "1." * 500_000):
         pii_field.base_spans(text)
-    for text in ("a" * 1_000_000, "a." * 500_000, "-----BEGIN PRIVATE KEY-----" + "a" * 1_000_000):
+    for text in ("a" * 1_000_000, "a." * 500_000, "-----BEGIN PRIVATE KEY-----" + "a" * 1_000_000, "-----BEGIN PRIVATE KEY-----" * 30_000, ("a" * 50 + "\n") * 20_000, ("a" * 50 + "\\n") * 20_000 + "=====", "-----BEGIN PRIVATE KEY-----A" + " " * 1_000_000 + "A-----END PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----" + "\"\\" * 500_000 + "-----END PRIVATE KEY-----"):
         secret_scan.base_spans(text), secret_scan.confirmed_spans(text)
 
 
