@@ -9,7 +9,7 @@ A template is found where its first key phrase stands and each further one stand
 place relative to some stand of the first. Base phrases are templates of one key phrase.
 
 Words are runs of characters other than ASCII non-alphanumerics, A-Z lowered. Score: 1 for a template of one
-phrase; for longer ones the share of the template's words that stand around its place; without any
+phrase; for longer ones the largest share of the template's words that stand around one of its places; without any
 template, half the largest share of a template's key phrases that were found.
 
 Defined results: null and wordless texts have no words, places or labels, and score 0. Repeated rows get equal
@@ -111,23 +111,24 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text", templates: list[T
     df = df.select("*", *[places(p).alias(f"p{n}") for n, p in enumerate(phrases)])
     place = {p: F.col(f"p{n}") for n, p in enumerate(phrases)}
 
-    def near(t: Template, phrase) -> Column:
+    def suited(t: Template, phrase) -> Column:
+        """Where the first key phrase may stand for the places of a further one."""
         gap = t.offset(phrase) - t.offset(t.phrases[0])
-        around = F.flatten(F.transform(place[t.phrases[0]], lambda s: F.sequence(s + gap - SLACK, s + gap + SLACK)))
-        return F.arrays_overlap(around, place[phrase])
+        return F.flatten(F.transform(place[phrase], lambda e: F.sequence(e - gap - SLACK, e - gap + SLACK)))
 
-    def present(t: Template) -> Column:
-        return reduce(Column.__and__, [near(t, p) for p in t.phrases[1:]], F.size(place[t.phrases[0]]) > 0)
+    def stands(t: Template) -> Column:
+        return reduce(F.array_intersect, [suited(t, p) for p in t.phrases[1:]], place[t.phrases[0]])
 
-    df = df.select("*", *[present(t).alias(f"t{n}") for n, t in enumerate(templates)])
+    df = df.select("*", *[stands(t).alias(f"t{n}") for n, t in enumerate(templates)])
+    present = [F.size(f"t{n}") > 0 for n in range(len(templates))]
 
     def share(n: int, t: Template) -> Column:
         if len(t.phrases) == 1:
-            return F.when(F.col(f"t{n}"), 1.0)
+            return F.when(present[n], 1.0)
         distinct = sorted(set(t.words))
-        begin = F.greatest(F.lit(0), place[t.phrases[0]][0] - t.offset(t.phrases[0]))
-        there = F.size(F.array_intersect(F.slice("words", begin + 1, len(t.words) + SLACK), _array(distinct)))
-        return F.when(F.col(f"t{n}"), there / len(distinct))
+        begin = lambda s: F.greatest(F.lit(0), s - t.offset(t.phrases[0]))
+        there = lambda s: F.size(F.array_intersect(F.slice("words", begin(s) + 1, len(t.words) + SLACK), _array(distinct)))
+        return F.when(present[n], F.array_max(F.transform(f"t{n}", there)) / len(distinct))
 
     def part(t: Template) -> Column:
         return sum((F.size(place[p]) > 0).cast("int") for p in t.phrases) / (2.0 * len(t.phrases))
@@ -135,7 +136,7 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text", templates: list[T
     scores = [F.coalesce(share(n, t), part(t)) for n, t in enumerate(templates)]
     base = [n for n, t in enumerate(templates) if t.base]
     starts = F.flatten(F.array(*[place[templates[n].phrases[0]] for n in base]))
-    labels = lambda numbers: F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(F.col(f"t{n}"), F.lit(templates[n].label)) for n in numbers]))))
+    labels = lambda numbers: F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(present[n], F.lit(templates[n].label)) for n in numbers]))))
     return df.select(
         *[F.col(f"_keep_{c}").alias(c) for c in keep],
         F.size("words").cast("long").alias("n_words"),
@@ -162,29 +163,30 @@ def _sql() -> str:
         for n, p in enumerate(phrases)
     ]
 
-    def present(t: Template) -> str:
+    def stands(t: Template) -> str:
         first = f"p{number[t.phrases[0]]}"
-        rest = "".join(
-            f" AND len(list_filter({first}, lambda s: len(list_filter(p{number[p]}, lambda e: abs(e - s - {t.offset(p) - t.offset(t.phrases[0])}) <= {SLACK})) > 0)) > 0"
+        near = " AND ".join(
+            f"len(list_filter(p{number[p]}, lambda e: abs(e - s - {t.offset(p) - t.offset(t.phrases[0])}) <= {SLACK})) > 0"
             for p in t.phrases[1:]
         )
-        return f"(len({first}) > 0{rest})"
+        return f"list_filter({first}, lambda s: {near})" if near else first
 
     def score(n: int, t: Template) -> str:
-        first, distinct = f"p{number[t.phrases[0]]}", sorted(set(t.words))
-        begin = f"greatest(0, {first}[1] - {t.offset(t.phrases[0])})"
-        there = f"len(list_intersect(list_distinct(w[{begin} + 1:{begin} + {len(t.words) + SLACK}]), {quoted(distinct)})) / {len(distinct)}"
+        distinct = sorted(set(t.words))
+        begin = f"greatest(0, s - {t.offset(t.phrases[0])})"
+        there = f"len(list_intersect(list_distinct(w[{begin} + 1:{begin} + {len(t.words) + SLACK}]), {quoted(distinct)}))"
+        best = f"list_max(list_transform(t{n}, lambda s: {there})) / {len(distinct)}"
         parts = " + ".join(f"(len(p{number[p]}) > 0)::INT" for p in t.phrases)
-        return f"CASE WHEN t{n} THEN {'1.0::DOUBLE' if len(t.phrases) == 1 else there} ELSE ({parts}) / (2.0 * {len(t.phrases)}) END"
+        return f"CASE WHEN len(t{n}) > 0 THEN {'1.0::DOUBLE' if len(t.phrases) == 1 else best} ELSE ({parts}) / (2.0 * {len(t.phrases)}) END"
 
     base = [n for n, t in enumerate(TEMPLATES) if t.base]
-    labels = lambda ns: "list_aggregate(list_sort(list_distinct(list_filter([" + ", ".join(f"CASE WHEN t{n} THEN '{TEMPLATES[n].label}' END" for n in ns) + "], lambda x: x IS NOT NULL))), 'string_agg', ',')"
+    labels = lambda ns: "list_aggregate(list_sort(list_distinct(list_filter([" + ", ".join(f"CASE WHEN len(t{n}) > 0 THEN '{TEMPLATES[n].label}' END" for n in ns) + "], lambda x: x IS NOT NULL))), 'string_agg', ',')"
     starts = "flatten([" + ", ".join(f"p{number[TEMPLATES[n].phrases[0]]}" for n in base) + "])"
     return rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM documents),
 l AS (SELECT *, ' ' || array_to_string(w, ' ') || ' ' AS line FROM d),
 p AS (SELECT doc_id, w, {", ".join(place)} FROM l),
-t AS (SELECT *, {starts} AS starts, {", ".join(f"{present(t)} AS t{n}" for n, t in enumerate(TEMPLATES))} FROM p)
+t AS (SELECT *, {starts} AS starts, {", ".join(f"{stands(t)} AS t{n}" for n, t in enumerate(TEMPLATES))} FROM p)
 SELECT doc_id, len(w)::BIGINT AS n_words, len(starts)::BIGINT AS n_base, list_min(starts)::BIGINT AS first_word, list_max(starts)::BIGINT AS last_word,
        coalesce({labels(base)}, '') AS base_labels, coalesce({labels(range(len(TEMPLATES)))}, '') AS labels,
        greatest({", ".join(score(n, t) for n, t in enumerate(TEMPLATES))})::DOUBLE AS score

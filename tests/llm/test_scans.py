@@ -6,6 +6,7 @@ import json
 import random
 import re
 
+import duckdb
 from conftest import SMALL
 from llm.conftest import LOWER
 
@@ -51,6 +52,29 @@ def test_license_templates_keep_positions(docs):
     assert got[0].score == 1 and 0 < got[2].score <= 0.5
 
 
+def test_license_scores_its_best_stand(docs):
+    mit, bsd = license_scan.NOTICES[0], next(n for n in license_scan.NOTICES if n[0] == "bsd")
+    broken = mit[1].replace("any person obtaining a copy of this software and associated documentation files the", "any person obtaining a copy x y z")
+    texts = [
+        mit[1], f"{mit[2][0]} and {'word ' * 200} {mit[1]}", f"{broken} {'word ' * 90} {mit[1]}", f"{mit[1]} {'word ' * 90} {broken}", broken,
+        f"{bsd[2][0]} {'word ' * 60} {bsd[1]} {bsd[2][1]}", f"{mit[2][1]} {mit[2][0]}", " ".join([mit[2][0], "word " * 100] * 300 + [mit[1]]),
+    ]
+    got = {r.doc_id: r for r in license_scan.scan(docs(texts), ["doc_id"]).collect()}
+    assert [got[i].score for i in (0, 1, 2, 3, 5, 7)] == [1] * 6 and 0.5 < got[4].score < 1
+    assert [got[i].labels for i in range(8)] == [["mit"]] * 5 + [["bsd"], ["mit"], ["mit"]]
+
+
+def test_license_sql_gives_the_same(spark, docs, odd_texts):
+    mit, gpl = license_scan.NOTICES[0], license_scan.NOTICES[3]
+    texts = [*odd_texts, mit[1], f"{mit[2][0]} {'word ' * 70} {mit[1]}", f"{gpl[2][1]} {gpl[1]}", f"{mit[2][1]} {mit[2][0]} {gpl[1][:-20]}", f"{gpl[2][0]} {'word ' * 20} {gpl[2][1]}"]
+    table = docs(texts)
+    got = {r.doc_id: (r.n_words, ",".join(r.labels), r.score) for r in license_scan.scan(table, ["doc_id"]).collect()}
+    con = duckdb.connect()
+    con.register("documents", table.select("doc_id", "text").toPandas())
+    want = con.sql(f"SELECT doc_id, n_words, labels, score FROM ({license_scan.OP1_SQL})").fetchall()
+    assert {i: (n, labels, score) for i, n, labels, score in want} == got
+
+
 def test_license_empty(docs):
     assert license_scan.scan(docs(["a"]).where("false"), ["doc_id"]).count() == 0
 
