@@ -473,6 +473,7 @@ SELECT 'skripsi_' || sid AS document_id, 'skripsi' AS document_type, sid AS skri
        program_studi, NULL::VARCHAR AS nim
 FROM ex WHERE sid IS NOT NULL AND length(judul) BETWEEN 5 AND 500 AND (tahun IS NULL OR tahun BETWEEN 1990 AND 2100)
 """
+ORACLE["reindex_ingest_array"] = ORACLE["reindex_ingest"]
 ORACLE["reindex_counters"] = f"""
 WITH {EXPORT},
 st AS (SELECT CASE WHEN sid IS NULL THEN 'skipped' WHEN length(judul) NOT BETWEEN 5 AND 500 THEN 'failed' ELSE 'sent' END AS s

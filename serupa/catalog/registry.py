@@ -30,6 +30,7 @@ from serupa.plans.load import bulk_load
 from serupa.plans.near_duplicates import near_duplicates
 from serupa.session import read_table, scratch_path, stage
 from serupa.sources.exports import from_payloads, read_export, to_payloads
+from serupa.sources.json_array import write_json_array
 from serupa.sources.reports import read_pairs, write_metrics
 from serupa.streaming.check import start_checks
 from serupa.streaming.sync import SyncStream, run_available
@@ -406,14 +407,17 @@ def build_metadata(spark: SparkSession, folder: str) -> DataFrame:
     return ing.metadata(src.text_documents(spark, folder))
 
 
-def _export(spark: SparkSession, folder: str) -> DataFrame:
-    """Page documents written as an export (JSON Lines) and read back as such."""
+def _export(spark: SparkSession, folder: str, lines: bool = True) -> DataFrame:
+    """Page documents written as an export (JSON Lines or arrays) and read back as such."""
     n = F.regexp_extract("document_id", "([0-9]+)$", 1)
     source = F.when(n % 7 == 0, None).when(n % 11 == 0, "0").when(n % 13 == 0, "").otherwise(n)
     path = scratch_path(spark, "export")
     docs = src.page_documents(spark, folder).select(source.alias("skripsi_id"), *schemas.EXPORT_RECORD.names[1:6])
-    docs.write.json(path)
-    return read_export(spark, path, lines=True)
+    if lines:
+        docs.write.json(path)
+    else:
+        write_json_array(docs, path)
+    return read_export(spark, path, lines)
 
 
 @query("reindex_ingest")
@@ -422,6 +426,12 @@ def reindex_ingest(spark: SparkSession, folder: str) -> DataFrame:
     return valid.select("document_id", "document_type", "skripsi_id", "judul", "tahun", "program_studi", "nim")
 
 
+@query("reindex_ingest_array")
+def reindex_ingest_array(spark: SparkSession, folder: str) -> DataFrame:
+    valid, _ = ing.ingest(ing.export_documents(_export(spark, folder, lines=False)))
+    return valid.select("document_id", "document_type", "skripsi_id", "judul", "tahun", "program_studi", "nim")
+
+
 @query("reindex_counters")
 def reindex_counters(spark: SparkSession, folder: str) -> DataFrame:
     return ing.export_counters(_export(spark, folder))

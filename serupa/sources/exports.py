@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from serupa import schemas
-from serupa.functions.text import strip
+from serupa.sources.json_array import read_json_array
 
 _PAYLOAD = T.StructType(
     [T.StructField("data", T.ArrayType(schemas.DOC)), T.StructField("reset_index", T.BooleanType())]
@@ -17,15 +17,12 @@ _PAYLOAD = T.StructType(
 def read_export(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Records of a document export.
 
-    ``lines=False`` reads files that hold one JSON array each; such a file cannot be split, so large
-    exports should be JSON Lines (``lines=True``).
+    ``lines=False`` reads files that hold one JSON array each, by byte ranges; JSON Lines (``lines=True``) are
+    read in one pass and need nothing staged.
     """
     if lines:
         return spark.read.schema(schemas.EXPORT_RECORD).json(path)
-    first = spark.read.text(path).select(strip(F.col("value")).alias("v")).where("v <> ''").first()
-    if first is None or not first.v.startswith("["):
-        raise ValueError("the export must be a JSON array")
-    return spark.read.schema(schemas.EXPORT_RECORD).option("multiLine", True).json(path)
+    return read_json_array(spark, path, schemas.EXPORT_RECORD)
 
 
 def to_payloads(docs: DataFrame, group: Column, reset_index: bool = False, order: Column | None = None) -> DataFrame:
