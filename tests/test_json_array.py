@@ -41,7 +41,7 @@ def written(tmp_path, text, name="a.json"):
 
 def objects(spark, path):
     rows = json_array.json_objects(spark, path).collect()
-    return [json.loads(r.record) for r in sorted(rows, key=lambda r: (r.file, r.number))], rows
+    return [json.loads(r.record) for r in sorted(rows, key=lambda r: (r.file, r.start, r.row))], rows
 
 
 def test_every_boundary(spark, split, tmp_path):
@@ -50,7 +50,7 @@ def test_every_boundary(spark, split, tmp_path):
     for size in (1, 2, 3, 7, 20):
         split(size)
         found, rows = objects(spark, path)
-        assert found == json.loads(text) and [r.number for r in sorted(rows, key=lambda r: r.number)] == [0, 1, 2], size
+        assert found == json.loads(text) and len(rows) == 3, size
 
 
 @pytest.mark.parametrize("indent", [None, 2])
@@ -63,7 +63,7 @@ def test_odd_objects_in_several_files(spark, split, tmp_path, indent):
         split(size)
         found, rows = objects(spark, str(tmp_path))
         assert found == [x for part in lists for x in part]
-        assert len({(r.file, r.number) for r in rows}) == len(rows)
+        assert len({(r.file, r.start, r.row) for r in rows}) == len(rows)
 
 
 def test_a_file_is_read_by_several_tasks(spark, split, tmp_path):
