@@ -7,22 +7,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from serupa import schemas
-from serupa.sources.json_array import read_json_array
+from serupa.functions.text import strip
+from serupa.sources.json_array import NOT_AN_ARRAY, read_json_array
 
 _PAYLOAD = T.StructType(
     [T.StructField("data", T.ArrayType(schemas.DOC)), T.StructField("reset_index", T.BooleanType())]
 )
 
 
-def read_export(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+def read_export(spark: SparkSession, path: str, lines: bool = False, whole_files: bool = False) -> DataFrame:
     """Records of a document export.
 
     ``lines=False`` reads files that hold one JSON array each, by byte ranges; JSON Lines (``lines=True``) are
-    read in one pass and need nothing staged.
+    read in one pass and need nothing staged. ``whole_files=True`` reads each array in one task: much less work,
+    for files that a task can hold.
     """
     if lines:
         return spark.read.schema(schemas.EXPORT_RECORD).json(path)
-    return read_json_array(spark, path, schemas.EXPORT_RECORD)
+    if not whole_files:
+        return read_json_array(spark, path, schemas.EXPORT_RECORD)
+    first = spark.read.text(path).select(strip(F.col("value")).alias("v")).where("v <> ''").first()
+    if first is None or not first.v.startswith("["):
+        raise ValueError(NOT_AN_ARRAY)
+    return spark.read.schema(schemas.EXPORT_RECORD).option("multiLine", True).json(path)
 
 
 def to_payloads(docs: DataFrame, group: Column, reset_index: bool = False, order: Column | None = None) -> DataFrame:

@@ -5,7 +5,6 @@ import random
 
 import pytest
 
-from serupa import schemas
 from serupa.sources import json_array
 from serupa.sources.exports import read_export
 
@@ -77,13 +76,16 @@ def test_a_file_is_read_by_several_tasks(spark, split, tmp_path):
 def test_anything_else_is_refused(spark, tmp_path, text):
     with pytest.raises(Exception, match="JSON array"):
         json_array.json_objects(spark, written(tmp_path, text)).collect()
+    if not text.startswith("["):
+        with pytest.raises(ValueError, match="JSON array"):
+            read_export(spark, str(tmp_path), whole_files=True)
 
 
 def test_rows_as_the_whole_file_reader_gives_them(spark, split, tmp_path):
     rows = [{"skripsi_id": i, "judul": f'Judul "{i}" }}', "abstrak": None if i % 3 else "a\\b {", "tahun": 2000 + i} for i in range(300)]
     path = written(tmp_path, json.dumps(rows, indent=1))
     split(1000)
-    plain = spark.read.schema(schemas.EXPORT_RECORD).option("multiLine", True).json(path)
+    plain = read_export(spark, path, whole_files=True)
     key = lambda df: sorted(map(str, df.collect()))
     assert key(read_export(spark, path)) == key(plain) and plain.count() == 300
 
