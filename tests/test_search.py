@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from serupa.config import Settings
+from serupa.operators import topk
 from serupa.operators.encode import HashEncoder, PandasEncoder, encode_documents, encode_texts
 from serupa.operators.index import index_rows
 from serupa.operators.ingest import with_columns
@@ -245,3 +246,57 @@ def test_compare_pairs(spark):
         got = {r.no: r for r in compare_pairs(pairs, encoder).collect()}
         assert got[1].similarity_score == 1.0 and got[1].level == "SANGAT TINGGI"
         assert got[2].lexical_score == 0.0
+
+
+def side(raw, k=None):
+    """Numpy vectors as a side of the search; ``k`` makes it a query side that excludes nothing."""
+    n = len(raw)
+    none, norm = np.full(n, None, object), np.linalg.norm(raw.astype(np.float64), axis=1)
+    if k is None:
+        return topk._Side(np.array([f"d{i:05d}" for i in range(n)], object), raw, norm, none)
+    return topk._Side(np.arange(n), raw, norm, none, np.full(n, k), none, np.full(n, topk.NO_FLOOR))
+
+
+def best_of(raw, corpus, k):
+    """By all cosines in double precision."""
+    unit = lambda x: np.divide(x, n := np.linalg.norm(x, axis=1, keepdims=True), out=np.zeros(x.shape), where=n > 0)
+    cosine = np.floor(unit(raw.astype(np.float64)) @ unit(corpus.astype(np.float64)).T * 1e10 + 0.5) / 1e10
+    return np.argsort(-cosine, axis=1, kind="stable")[:, :k]
+
+
+@pytest.mark.parametrize("k", [5, 51])
+def test_few_pairs_are_computed_in_double_precision(monkeypatch, k):
+    raw = np.random.default_rng(4).standard_normal((20_000, 64)).astype(np.float32)
+    corpus, queries = side(raw), side(raw[:256], k)
+    corpus = topk._in_id_order(corpus)
+    made, unit = [], topk._Side.unit
+    monkeypatch.setattr(topk._Side, "unit", lambda self, rows=slice(None): made.append(len(got := unit(self, rows))) or got)
+    monkeypatch.setattr(topk, "_in_id_order", lambda c: c)
+    best = topk._Best(queries)
+    assert len(corpus.single) == len(raw) and len(queries.single) == 256
+    made.clear()  # what follows is made for exact cosines
+    best.add(corpus)
+    got = best.rows["id"].str[1:].astype(int).to_numpy().reshape(256, k)
+    assert (got == best_of(raw[:256], raw, k)).all()
+    assert sum(made) < 0.1 * 256 * len(raw)
+
+
+def test_closer_than_single_precision_can_tell():
+    """Vectors that differ in the last bits, copies and zero vectors; more of them than a block may leave open."""
+    rng = np.random.default_rng(6)
+    raw = np.repeat(rng.standard_normal((3, 16)), 2000, axis=0) + 1e-6 * rng.integers(-3, 4, (6000, 16))
+    raw[1000:1400], raw[5000:5300] = raw[1000], 0
+    raw = raw[rng.permutation(len(raw))]
+    best = topk._Best(side(raw[:300], 7))
+    for part in (slice(0, 4500), slice(4500, None)):
+        whole = side(raw)
+        best.add(topk._Side(whole.ids[part], whole.raw[part], whole.norm[part], whole.types[part]))
+    got = best.rows["id"].str[1:].astype(int).to_numpy().reshape(300, 7)
+    assert (got == best_of(raw[:300], raw, 7)).all()
+
+
+def test_tiles_are_few_and_bounded():
+    """Every tile of one side is a copy of the other: at 64 and 256 dimensions they are as large as a task may hold."""
+    for dim, rows in ((64, 262_144), (256, 65_536), (4096, 4096)):
+        assert Settings().rows_a_tile(dim) == rows
+    assert Settings(tile_rows=37).rows_a_tile(64) == 37
