@@ -21,7 +21,7 @@ from serupa.operators import index as ix
 from serupa.operators import ingest as ing
 from serupa.operators.cells import topk_cosine_cells
 from serupa.operators.encode import PandasEncoder, encode_documents, encode_texts
-from serupa.operators.index import IndexTable, index_rows
+from serupa.operators.index import IndexTable, index_rows, last_documents
 from serupa.operators.pooling import mean_pool
 from serupa.operators.topk import topk_cosine
 from serupa.plans.check import in_report_order, parse_hit_id, similarity_hits, similarity_summary
@@ -461,7 +461,7 @@ def _page_rows(spark: SparkSession, folder: str) -> DataFrame:
 def _event_rows(spark: SparkSession, folder: str) -> DataFrame:
     saves, _ = ing.ingest(src.event_changes(spark, folder).where("op = 'upsert'"))
     saves = saves.withColumn("position", F.col("event_time"))
-    return index_rows(saves, ENCODER, carry=("position",))
+    return index_rows(last_documents(saves), ENCODER, carry=("position",))
 
 
 def _table(spark: SparkSession) -> IndexTable:
@@ -518,7 +518,7 @@ def index_upsert_payload(spark: SparkSession, folder: str) -> DataFrame:
     items = editions.withColumns({"judul": F.concat("judul", F.lit(" edisi "), "k"), "nim": F.lit(None), "nama_mahasiswa": F.lit(None)})
     payloads = stage(to_payloads(items, F.floor(n / 100), order=n * 10 + F.col("k")), "payloads")
     docs, _ = ing.ingest(from_payloads(payloads).where("judul NOT LIKE '% edisi 0'"))
-    table.upsert(index_rows(docs, ENCODER, carry=("position",)))
+    table.upsert(index_rows(last_documents(docs), ENCODER, carry=("position",)))
     return table.read().select("id", "document", "document_type", "skripsi_id", "tahun")
 
 

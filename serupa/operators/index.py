@@ -59,6 +59,14 @@ def index_rows(
     )
 
 
+def last_documents(docs: DataFrame) -> DataFrame:
+    """Valid documents without those that a load would drop: the last of each id by ``position``, then by title.
+
+    For use before ``index_rows``: rows without vectors are narrow to sort, and only what is kept is encoded.
+    """
+    return last_per_key(docs, "document_id", "position", "judul") if "position" in docs.columns else docs
+
+
 def page_of_ids(index: DataFrame, limit: int = 500, offset: int = 0, after: str | None = None) -> DataFrame:
     """One page of ids in order. ``after``, the last id of the page before, costs the same on every page;
     ``offset`` sorts all rows before it as well."""

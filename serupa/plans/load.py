@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from serupa.config import DEFAULTS, Settings
 from serupa.operators import corpus
 from serupa.operators.encode import Encoder
-from serupa.operators.index import EmptyInput, IndexTable, index_rows
+from serupa.operators.index import EmptyInput, IndexTable, index_rows, last_documents
 from serupa.operators.ingest import ingest
 from serupa.operators.ledger import JobLedger
 
@@ -49,7 +49,7 @@ def bulk_load(
     try:
         valid, quarantine = ingest(raw, settings)
         carry = ("position",) if "position" in raw.columns else ()
-        rows = index_rows(valid, encoder, dynamic, settings, carry)
+        rows = index_rows(last_documents(valid), encoder, dynamic, settings, carry)
         rejected = index.reject(quarantine, job_id)
         expected = valid.agg(F.countDistinct("document_id")).first()[0]
         total = (index.replace if reset_index else index.upsert)(rows, source=job_id, expected=expected)

@@ -1,6 +1,7 @@
 import subprocess
 import sys
 
+import numpy as np
 import pytest
 from conftest import ROOT
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from serupa import schemas
 from serupa.config import Settings
 from serupa.operators import index as ix
 from serupa.operators.corpus import program_distribution, year_distribution
-from serupa.operators.encode import HashEncoder
+from serupa.operators.encode import HashEncoder, PandasEncoder
 from serupa.operators.index import ConcurrentCommit, EmptyInput, InconsistentIndex, IndexTable, index_rows
 from serupa.operators.ingest import with_columns
 from serupa.operators.ledger import JobLedger
@@ -307,3 +308,24 @@ def test_stream_check_sees_commits(spark):
         spark.createDataFrame([(i, "Deteksi penyakit jagung", 5, 0.9, None)], schemas.QUERY).write.mode("append").parquet(root)
         run_available(lambda: start_checks(feed(), table.read, ENC, out, checkpoint))
     assert [(r.query_id, r.id) for r in spark.read.parquet(out).collect()] == [(1, "skripsi_2")]
+
+
+def test_only_last_of_an_id_is_encoded(spark):
+    """Repeated ids are cut down before they get vectors, by position and then by title."""
+    rows = [(f"skripsi_{i % 7}", "skripsi", f"judul nomor {i:03d}", i // 14) for i in range(140)] + [("skripsi_1", "skripsi", "judul tanpa tempat", None)]
+    items = with_columns(spark.createDataFrame(rows, "document_id STRING, document_type STRING, judul STRING, position BIGINT"), schemas.DOC)
+    seen = spark.sparkContext.accumulator(0)
+
+    def load():
+        def encode(texts):
+            seen.add(len(texts))
+            return np.ones((len(texts), 4))
+
+        return encode
+
+    table = IndexTable(spark, scratch_path(spark, "index"))
+    jobs = JobLedger(spark, scratch_path(spark, "ledger"))
+    bulk_load("job", items, table, jobs, PandasEncoder(load, 4, "counting"), reset_index=True)
+    assert {(r.id, r.document) for r in table.read().collect()} == {(f"skripsi_{i % 7}", f"judul nomor {i:03d}") for i in range(133, 140)}
+    assert seen.value == 7
+    assert ix.last_documents(items.drop("position")).count() == 141  # without an order all rows stay
