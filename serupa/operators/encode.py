@@ -19,6 +19,7 @@ from serupa.functions.weights import resolve_weights
 from serupa.operators.skew import join_unique
 from serupa.session import stage
 
+_ROWS = 512  # of a batch whose sums are held in double precision at once
 VECTOR = T.ArrayType(T.FloatType(), containsNull=False)
 
 
@@ -54,6 +55,17 @@ class HashEncoder(Encoder):
 
 def _bucket_sums(dim: int):
     def sums(codes: pa.Array) -> pa.Array:
+        rows = len(codes)
+        out = np.empty((rows, dim), np.float32)
+        for i in range(0, rows, _ROWS):
+            out[i : i + _ROWS] = units(codes.slice(i, _ROWS))
+        return pa.ListArray.from_arrays(
+            pa.array(np.arange(rows + 1, dtype=np.int32) * np.int32(dim)),
+            pa.array(out.ravel()),
+            mask=codes.is_null() if codes.null_count else None,
+        )
+
+    def units(codes: pa.Array) -> np.ndarray:
         rows = len(codes)
         lengths = pc.fill_null(pc.list_value_length(codes), 0).to_numpy(zero_copy_only=False)
         flat = codes.flatten().to_numpy(zero_copy_only=False)
@@ -61,12 +73,7 @@ def _bucket_sums(dim: int):
         counts = np.bincount(cells, weights=1.0 - 2.0 * (flat & 1), minlength=rows * dim)
         counts = counts.astype(np.float64).reshape(rows, dim)
         norms = np.sqrt(np.square(counts).sum(axis=1, keepdims=True))
-        unit = np.divide(counts, norms, out=np.zeros_like(counts), where=norms > 0)
-        return pa.ListArray.from_arrays(
-            pa.array(np.arange(rows + 1, dtype=np.int32) * np.int32(dim)),
-            pa.array(unit.astype(np.float32).ravel()),
-            mask=codes.is_null() if codes.null_count else None,
-        )
+        return np.divide(counts, norms, out=np.zeros_like(counts), where=norms > 0)
 
     return F.arrow_udf(sums, VECTOR)
 
@@ -82,13 +89,12 @@ class PandasEncoder(Encoder):
         def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             model = load()
             for texts in batches:
-                parts = [
-                    np.asarray(model(list(texts[i : i + batch])), dtype=np.float64) for i in range(0, len(texts), batch)
-                ]
-                vectors = np.concatenate(parts) if parts else np.zeros((0, dim))
-                norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-                unit = np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
-                yield pd.Series(list(unit.astype(np.float32)), index=texts.index)
+                out = np.empty((len(texts), dim), np.float32)
+                for i in range(0, len(texts), batch):
+                    part = np.asarray(model(list(texts[i : i + batch])), dtype=np.float64)
+                    norms = np.linalg.norm(part, axis=1, keepdims=True)
+                    out[i : i + batch] = np.divide(part, norms, out=np.zeros_like(part), where=norms > 0)
+                yield pd.Series(list(out), index=texts.index)
 
         self._udf = F.pandas_udf(encode, VECTOR)
 

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from serupa.config import Settings
-from serupa.operators import topk
+from serupa.operators import encode, topk
 from serupa.operators.encode import HashEncoder, PandasEncoder, encode_documents, encode_texts
 from serupa.operators.index import index_rows
 from serupa.operators.ingest import with_columns
@@ -300,3 +300,22 @@ def test_tiles_are_few_and_bounded():
     for dim, rows in ((64, 262_144), (256, 65_536), (4096, 4096)):
         assert Settings().rows_a_tile(dim) == rows
     assert Settings(tile_rows=37).rows_a_tile(64) == 37
+
+
+def test_encoding_holds_little_in_double_precision():
+    """Beside a batch and its vectors only a slice of it is in memory, and slices give the same vectors."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    lists = [None if i % 97 == 0 else [int(x) for x in rng.integers(0, 1 << 36, i % 40)] for i in range(10_000)]
+    codes = pa.array(lists, pa.list_(pa.int64()))
+    sums = encode._bucket_sums(256).func
+    tracemalloc.start()
+    got = sums(codes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * 10_000 * 256 * 4 + (8 << 20)
+    for i in (0, 1, 511, 512, 513, 9999):
+        assert got[i].as_py() == sums(codes.slice(i, 1))[0].as_py()
