@@ -9,6 +9,7 @@ from serupa.operators.index import index_rows
 from serupa.operators.ingest import with_columns
 from serupa.operators.skew import join_unique
 from serupa.operators.topk import topk_cosine
+from serupa.plans import check
 from serupa.plans.check import EmptyIndex, similarity_check, similarity_hits, similarity_summary
 from serupa.plans.compare import compare_pairs
 from serupa.plans.near_duplicates import near_duplicates
@@ -240,6 +241,45 @@ def test_large_forms_give_the_same_report(spark):
     assert all(r[0] != r[1] for r in plain)
 
 
+def test_texts_do_not_travel_with_every_pair(spark, monkeypatch):
+    """Of the pairs found, two different texts meet once, and only if their sizes let them reach the threshold."""
+    rng = np.random.default_rng(5)
+    words = [f"kata{i}" for i in range(400)]
+    titles = ["padi sawah daun citra"] * 60 + [" ".join(rng.choice(words, n)) for n in (4, 40, 300) for _ in range(30)] + ["", "- -"]
+    index = index_rows(documents(spark, [(f"skripsi_{i}", "skripsi", t, None, None) for i, t in enumerate(titles)]), HashEncoder()).cache()
+    wide, real = [], check.join_unique
+
+    def counted(left, right, *how):
+        out = real(left, right, *how)
+        if any(c == "_hit_words" or c.startswith("_text") for c in out.columns):
+            wide.append(out.count())
+        return out
+
+    monkeypatch.setattr(check, "join_unique", counted)
+
+    def report(threshold, **options):
+        got = near_duplicates(index, HashEncoder(), threshold=threshold, settings=Settings(**options)).collect()
+        return sorted((r.source_id, r.id, r.similarity_score, r.semantic_rank) for r in got)
+
+    plain = report(0.2)
+    assert not wide and len(plain) > 300
+    assert report(0.2, broadcast_rows=0) == plain
+    assert wide and max(wide) <= 90 * 5
+    wide.clear()
+    assert report(0.6, broadcast_rows=0) == report(0.6)
+    assert wide and max(wide) < len(titles)  # of five pairs a title; copies and pairs of unlike sizes need no text
+
+
+def test_copies_are_told_by_digests(spark, monkeypatch):
+    corpus, raw = vectors(spark)
+    queries, rows = asked(spark, raw)
+    staged, real = {}, topk.stage
+    monkeypatch.setattr(topk, "stage", lambda df, name: staged.setdefault(name, df.columns) and real(df, name))
+    got = result(topk_cosine(queries, corpus, DIM, settings=Settings(broadcast_bytes=0, tile_rows=37)))
+    assert got == brute(raw, [(q, np.array(v), k, t, x) for q, v, k, t, x in rows])
+    assert "embedding" not in staged["answers"]  # no join on whole vectors
+
+
 def test_compare_pairs(spark):
     pairs = spark.createDataFrame([(1, "Deteksi Padi", "deteksi padi"), (2, "Deteksi", "Musik")], "no BIGINT, judul_a STRING, judul_b STRING")
     for encoder in (HashEncoder(), count_encoder()):
