@@ -57,6 +57,20 @@ def test_clusters_are_pruned(spark, tile_rows):
     assert len({x[:2] for x in got} & {x[:2] for x in want}) >= 0.9 * len(want) and share <= 0.1
 
 
+def test_small_cells_share_products():
+    """Neighbouring cells that mostly the same queries look at are one product; others keep their own."""
+    cell, marks = np.repeat(np.arange(40), 3), np.zeros((1000, 40), bool)
+    marks[:, :20], marks[:10, 20:] = True, True
+    marks[10, 3] = False
+    packed = np.packbits(marks, axis=1)
+    met = np.zeros((1000, len(cell)), int)
+    runs = list(cells._runs(packed, cell, wide=True))
+    for start, stop, rows in runs:
+        met[rows, start:stop] += 1
+    assert len(runs) == 2 and met.max() == 1 and (met >= marks[:, cell]).all()
+    assert len(list(cells._runs(packed, cell, wide=False))) == 40
+
+
 def test_recall_without_clusters(spark):
     """Directions without any structure are the worst case of cells."""
     raw = np.random.default_rng(5).standard_normal((3000, 32))
