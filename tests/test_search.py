@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from serupa.config import Settings
+from serupa.functions import scoring
 from serupa.operators import encode, topk
 from serupa.operators.encode import HashEncoder, PandasEncoder, encode_documents, encode_texts
 from serupa.operators.index import index_rows
@@ -270,6 +271,36 @@ def test_texts_do_not_travel_with_every_pair(spark, monkeypatch):
     assert wide and max(wide) < len(titles)  # of five pairs a title; copies and pairs of unlike sizes need no text
 
 
+def test_equal_texts_and_unlike_sizes_meet_nobody(spark, monkeypatch):
+    """Only pairs that need a lexical score take part in its joins; each gets that of its word sets."""
+    texts = ["a b c d", "d c b a", "b c d e", "", "  ", "a " + " ".join(f"w{i}" for i in range(30)), "x y z v"]
+    rows = [(i, j, texts[i], texts[j]) for i in range(7) for j in range(7) for _ in range(3)]
+    df = spark.createDataFrame(rows, "i INT, j INT, a STRING, b STRING").withColumn("want", scoring.jaccard(F.col("a"), F.col("b")))
+    sized = df.select("*", *check.text_of_words(scoring.word_set(F.col("a")))).drop("_text")
+    held = sized.select("*", *[c.alias(f"_hit{n}") for c, n in zip(check.text_of_words(scoring.word_set(F.col("b"))), ("_text", "_n", "_digest"), strict=True)])
+    pairs = check.by_size(held.drop("_hit_text")).cache()
+    known = df.select(*check.text_of_words(scoring.word_set(F.col("a")))).select("_digest", "_text")
+    links, real = [], check.stage
+    monkeypatch.setattr(check, "stage", lambda df, name: links.append(df.count()) or real(df, name) if name == "links" else real(df, name))
+    got = check.with_lexical(pairs, known, F.lit(True)).collect()
+    assert len(got) == len(rows) and all(r._lexical == r.want for r in got)
+    assert links.pop() == 10  # five different word sets
+    close = F.col("_n_small") >= F.col("_n_large") * 0.5
+    got = check.with_lexical(pairs, known, close).collect()
+    assert len(got) == len(rows) and all((r._lexical >= 0.5) == (r.want >= 0.5) for r in got)
+    assert links == [3]
+
+
+def test_corpus_is_dealt_out_before_it_is_copied(spark, monkeypatch):
+    """Few tasks may hold all vectors, when they pack well; each makes its copies only after a shuffle by id."""
+    met = []
+    monkeypatch.setattr(topk, "_meet", lambda q, c, *how: met.append(c.rdd.getNumPartitions()) or c)
+    corpus, _ = vectors(spark, 300)
+    queries = corpus.coalesce(1).withColumn("query_id", F.col("id")).withColumn("top_k", F.lit(5))
+    topk._tiled(queries, corpus.coalesce(1), DIM, 300, 300, Settings(tile_rows=30))
+    assert met[0] > 1
+
+
 def test_copies_are_told_by_digests(spark, monkeypatch):
     corpus, raw = vectors(spark)
     queries, rows = asked(spark, raw)
