@@ -7,11 +7,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_cells import clustered, table
-from test_search import documents, result
+from test_search import DIM, asked, brute, documents, result, vectors
 
 from serupa.catalog import registry
 from serupa.config import Settings
-from serupa.operators import cells
+from serupa.operators import cells, topk
 from serupa.operators.cells import topk_cosine_cells
 from serupa.operators.encode import HashEncoder
 from serupa.operators.index import index_rows
@@ -56,6 +56,20 @@ def test_what_a_table_was_made_from_goes(spark):
     assert staged(spark, "kept-alone") and not any(staged(spark, f"once-{x}") for x in "abc")
 
 
+@pytest.mark.parametrize("floor", [-2.0, 0.3])
+def test_tiles_meet_in_rounds(spark, monkeypatch, floor):
+    """All rows against all: copies of a round are bounded by both sides, those of all rounds are not."""
+    corpus, raw = vectors(spark)
+    queries, rows = asked(spark, raw, 150)
+    made, real = [], topk._meet
+    monkeypatch.setattr(topk, "_meet", lambda q, c, *how: made.append(q.count() + c.count()) or real(q, c, *how))
+    settings = Settings(broadcast_bytes=0, tile_rows=17, copied_bytes=0)
+    got = result(topk_cosine(queries.withColumn("floor", F.lit(floor)), corpus, DIM, settings=settings))
+    assert got == brute(raw, [(q, np.array(v), k, t, x) for q, v, k, t, x in rows], floor)
+    assert len(made) > 3 and sum(made) > 8 * 450
+    assert max(made) <= 4 * 450  # twice both sides; a round holds whole tiles and queries are dealt by a hash
+
+
 @pytest.mark.parametrize("exact", [True, False])
 def test_cells_are_visited_in_rounds(spark, monkeypatch, exact):
     raw = np.concatenate([clustered(500, 16, 5, 1), np.random.default_rng(2).standard_normal((500, 16))])
