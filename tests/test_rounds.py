@@ -114,3 +114,11 @@ def test_the_report_stores_texts_once(spark, monkeypatch):
     monkeypatch.setattr(registry, "stage", lambda df, name: columns.extend(df.columns) or stage(df, name))
     assert registry._near(spark, "/root/testdata/sf0.001").count()
     assert "document" in columns and "judul" not in columns
+
+
+def test_first_visit_of_cells_is_gone_before_the_second(spark):
+    raw = clustered(300, 16, 5, 1)
+    rows, names = table(spark, raw), ("routed", "raised")
+    held = [len(staged(spark, name)) for name in names]
+    topk_cosine_cells(rows, rows.drop("exclude_id", "query_id"), 16, 5, exact=True, settings=Settings(tile_rows=60))
+    assert [len(staged(spark, name)) - n for name, n in zip(names, held, strict=True)] == [1, 0]
